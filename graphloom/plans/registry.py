@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.operators import hierarchy
+from graphloom.operators import hierarchy, packed
 from graphloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.unpack(table(spark, sf_dir, "dgl_page_summaries"))
+
+
+def p2_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.topic_counts(table(spark, sf_dir, "dgl_page_summaries"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.found(table(spark, sf_dir, "mlr_partof"))
 
@@ -20,12 +28,23 @@ def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.paths(table(spark, sf_dir, "mlr_partof"))
 
 
+def p6_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.loops(table(spark, sf_dir, "mlr_partof"))
+
+
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(table(spark, sf_dir, "mlr_partof"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
+    return {
+        "p2_found": p2_found,
+        "p2_topics": p2_topics,
+        "p6_found": p6_found,
+        "p6_paths": p6_paths,
+        "p6_descendants": p6_descendants,
+        "p6_loops": p6_loops,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
