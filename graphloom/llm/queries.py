@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import copies
+from graphloom.llm import copies, entries
 from graphloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,16 @@ def p4_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(table(spark, sf_dir, "mlr_formula"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.map_entries(table(spark, sf_dir, "mlr_formula"), table(spark, sf_dir, "mlr_concepts"))
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.unmatched(table(spark, sf_dir, "mlr_formula"), table(spark, sf_dir, "mlr_concepts"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_collapse": p4_collapse}
+    return {"p4_found": p4_found, "p4_collapse": p4_collapse, "p5_found": p5_found, "p5_unmatched": p5_unmatched}
 
 
 def oracle_sql() -> dict[str, str]:
