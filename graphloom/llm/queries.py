@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import copies, entries
+from graphloom.llm import copies, encoding, entries, overlap, packing
 from graphloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,28 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.unmatched(table(spark, sf_dir, "mlr_formula"), table(spark, sf_dir, "mlr_concepts"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "train_labels_initial"), table(spark, sf_dir, "test_neg"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "train_labels_initial"), table(spark, sf_dir, "test_neg"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(encoding.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p9_fill(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_collapse": p4_collapse, "p5_found": p5_found, "p5_unmatched": p5_unmatched}
+    return {"p4_found": p4_found, "p4_collapse": p4_collapse, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_fill": p9_fill, "p9_report": p9_report}
 
 
 def oracle_sql() -> dict[str, str]:
