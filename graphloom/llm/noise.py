@@ -38,6 +38,7 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 ODD = re.compile(r"[^a-zA-Z'’-]")
 
 NUMBER_ALONE = re.compile(r"[\W_]*(?:page|p\.|pg\.?|seite|s\.)?\s*(\d{1,5})(?:\s*(?:of|/|von)\s*\d{1,5})?[\W_]*", re.I)
+ROMAN = re.compile(r"[\W_]*(?=[ivxlc])(?:x[lc]|l?x{0,3})(?:i[vx]|v?i{0,3})[\W_]*")
 HEADING = re.compile(r"\d+(?:\.\d+)*\.?\s+[A-Z][^A-Z]*$")
 WORD = re.compile(r"[^\W\d_][\w'’|€†-]*")
 
@@ -54,6 +55,8 @@ def features(line: str, page: int | None) -> tuple[int, ...]:
     alone = NUMBER_ALONE.fullmatch(text)
     if alone:
         number = 3 if own and not re.search(r"\d[.\])]*\.$", text) else 2
+    elif ROMAN.fullmatch(text) and text[-1] not in ").":
+        number = 3
     else:
         edge = own and (re.match(rf"\D{{0,3}}{page}\b(?!\.\d)", text) or re.search(rf"(?<![\d.]){page}\W{{0,3}}$", text))
         number = 1 if edge else 0
@@ -228,6 +231,13 @@ def _asked(first: str, second: str) -> tuple[str, str, str]:
     return unodd(a + b), unodd(f"{a}-{b}"), unodd(b)
 
 
+def _misread_break(first: str, second: str, counts: dict[str, int]) -> bool:
+    """Whether a broken word holds odd characters without which the corpus knows it."""
+    raw = strip_edges(first).lower() + strip_edges(second).lower()
+    joined = _asked(first, second)[0]
+    return raw != joined and counts.get(joined, 0) > 0
+
+
 def is_broken(first: str, hyphen: str, second: str, counts: dict[str, int]) -> bool:
     """Whether a word was broken here, rather than a compound at its own hyphen."""
     joined, compound, rest = _asked(first, second)
@@ -286,7 +296,7 @@ def found(df: DataFrame, id_col: str = "passage_id", text: str = "text", page: s
                 kind = set()
                 if any(is_broken(b[1], b[2], b[3], counts) for b in breaks):
                     kind.add("hyphenation")
-                if misreads or any(c in LIGATURES for c in t):
+                if misreads or any(c in LIGATURES for c in t) or any(_misread_break(b[1], b[3], counts) for b in breaks):
                     kind.add("misread")
                 for line, s in zip(lines, states):
                     if s == HEADER:
@@ -313,6 +323,8 @@ def rebuild(lines: list[str], states: list[int], breaks: list[list[str]], misrea
     for k, (at, line) in enumerate(body):
         gap = k > 0 and not hyphen.get(k - 1) and any(s == GAP for s in states[body[k - 1][0] + 1 : at])
         torn = any(s in (HEADER, NUMBER) for s in states[body[k - 1][0] + 1 : at]) if k else False
+        if k and re.match(r"\d{1,2}[.)] ", line.lstrip()) and paragraph.endswith((".", "!", "?", ":")):  # list items
+            glue = "\n"
         if gap and not (torn and paragraph and paragraph[-1] not in ".!?:”\")"):  # a page break inside a sentence is no paragraph
             out.append(paragraph)
             paragraph, glue = "", ""

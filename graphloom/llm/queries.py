@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import copies, encoding, entries, overlap, packing
+from graphloom.llm import copies, encoding, entries, noise, overlap, packing, truncation
 from graphloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.found(table(spark, sf_dir, "passage"))
+
+
+def p1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.repair(table(spark, sf_dir, "passage"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(table(spark, sf_dir, "passage"), table(spark, sf_dir, "source_context"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(table(spark, sf_dir, "passage"), table(spark, sf_dir, "source_context"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.hidden_copies(table(spark, sf_dir, "mlr_formula"))
 
@@ -49,7 +65,21 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_collapse": p4_collapse, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_fill": p9_fill, "p9_report": p9_report}
+    return {
+        "p1_found": p1_found,
+        "p1_repair": p1_repair,
+        "p3_found": p3_found,
+        "p3_rates": p3_rates,
+        "p4_found": p4_found,
+        "p4_collapse": p4_collapse,
+        "p5_found": p5_found,
+        "p5_unmatched": p5_unmatched,
+        "p7_found": p7_found,
+        "p7_report": p7_report,
+        "p8_ids": p8_ids,
+        "p9_fill": p9_fill,
+        "p9_report": p9_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
