@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import copies, encoding, entries, noise, overlap, packing, truncation
+from graphloom.llm import copies, encoding, entries, noise, overlap, packing, pii, truncation
 from graphloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p9_fill(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p10_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -79,6 +87,8 @@ def queries() -> dict[str, Query]:
         "p8_ids": p8_ids,
         "p9_fill": p9_fill,
         "p9_report": p9_report,
+        "p10_found": p10_found,
+        "p10_mask": p10_mask,
     }
 
 
