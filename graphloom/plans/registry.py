@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators import hierarchy, packed
+from graphloom.plans import catalogue
 from graphloom.session import table
 
+P6_SQL = """WITH RECURSIVE e AS (SELECT node, min(parent) AS parent FROM (
+  SELECT trim(regexp_replace(lower(replace(part_concept, chr(65279), '')), '\\s+', ' ', 'g')) AS node, trim(regexp_replace(lower(whole_concept), '\\s+', ' ', 'g')) AS parent FROM mlr_partof)
+  WHERE node <> '' AND parent <> '' AND NOT (node = 'part_concept' AND parent = 'whole_concept') GROUP BY 1),
+d AS (SELECT DISTINCT parent AS name, parent AS root, 0 AS depth FROM e WHERE parent NOT IN (SELECT node FROM e)
+  UNION ALL SELECT e.node, d.root, d.depth + 1 FROM d JOIN e ON e.parent = d.name)
+SELECT e.node AS concept, coalesce(d.root, '') AS root_concept, coalesce(d.depth, -1)::INT AS depth FROM e LEFT JOIN d ON d.name = e.node"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -44,8 +52,9 @@ def queries() -> dict[str, Query]:
         "p6_paths": p6_paths,
         "p6_descendants": p6_descendants,
         "p6_loops": p6_loops,
+        **catalogue.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_SQL, **catalogue.SQL}
