@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import plain_key
+from graphloom.session import nonempty
 
 VERBS = r"(^|[^a-z])(is|are|means|refers|defines|measures|describes|denotes|gives|shows|limits|controls|compares)([^a-z]|$)"
 
@@ -99,6 +100,7 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, id_col: str, text: str)
         raise ValueError("more than 200000 phrases: match them in blocks")
     shared = texts.sparkSession.sparkContext.broadcast(sorted(names))
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie: dict = {}
         for name in shared.value:

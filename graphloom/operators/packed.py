@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import cut, nonempty
 
 #: Delimiters, quotes with their closing marks, and characters that a backslash escapes.
 DELIMITERS = "|;,\t\n\r、；，｜·•"
@@ -169,6 +169,7 @@ def spans(pieces: list[tuple[str, str]], widest: int) -> list[str]:
 
 
 def _first_pass(column: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [v for text in batch[column].dropna() for _, v in unmark(atoms(text)[0])]
@@ -199,6 +200,7 @@ def _automaton(values: list[str]):
 
 
 def _second_pass(id_col: str, column: str, broadcast, widest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(broadcast.value)
         for batch in batches:
@@ -222,11 +224,13 @@ def _with_joined(df: DataFrame, id_col: str, column: str, values: DataFrame, wid
     """The same cover, with the known spans found by a join; for dictionaries that are too large to broadcast."""
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @nonempty
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, s) for k, text in zip(batch["_row"], batch[column]) if text is not None for s in set(spans(unmark(atoms(text)[0]), widest))]
             yield pd.DataFrame(rows, columns=["_row", "value"])
 
+    @nonempty
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, pos, topics = [], [], []

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, width
+from graphloom.session import cut, nonempty, width
 
 TOP = "src long, dst long, weight double"
 
@@ -34,6 +34,7 @@ def topk_cosine(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return np.array([x["id"] for x in part]), m / np.where(norm == 0, 1, norm)
 
+    @nonempty
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for left, right in zip(batch["l"], batch["r"]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark import StorageLevel
@@ -80,6 +81,18 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return burning.unionByName(warm)
 
 
+def nonempty(run):
+    """A mapInPandas function that yields no empty frames, whose string columns Arrow would not take."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        for frame in run(batches):
+            if len(frame):
+                yield frame
+
+    return wrapped
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Keep rows that several later plans read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
