@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, lookup_join, width
+from graphloom.session import cut, lookup_join, nonempty, width
 
 #: LaTeX commands that only set space or bracket size, and delimiters of maths.
 SPACING = [r"\,", r"\:", r"\;", r"\!", r"\ ", r"\>", r"\quad", r"\qquad", r"\left", r"\right", "~", "$", r"\(", r"\)", r"\[", r"\]", r"\thinspace", r"\displaystyle"]
@@ -124,6 +124,7 @@ class SortedTrie:
         return None if self.text is None else (self.text, self.keep, self.count)
 
 
+@nonempty
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in (bucket, key) order to one row per terminal."""
     trie, bucket = SortedTrie(), None

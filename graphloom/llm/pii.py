@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import nonempty
+
 TYPES = ["email", "phone", "identity", "address", "name"]
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, MARGIN, BATCH = 192, 24, 768
@@ -306,6 +308,7 @@ def _spans(texts: list[str | None], weights: str) -> Iterator[tuple[int, str, li
 def found(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str = str(WEIGHTS)) -> DataFrame:
     """(id_col, pii_type, pii_text): one row per document, type and distinct mention."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, kinds, surfaces = [], [], []
@@ -323,6 +326,7 @@ def found(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: st
 def mask(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str = str(WEIGHTS)) -> DataFrame:
     """(id_col, masked): texts with every mention replaced by its type in square brackets."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[text].tolist()
