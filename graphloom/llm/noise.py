@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.vocabulary import FORMULA_RE, strip_edges, word_counts
-from graphloom.session import cut
+from graphloom.session import cut, nonempty
 
 BODY, HEADER, NUMBER, GAP = range(4)
 HYPHENS = "-‐‑¬­"
@@ -54,7 +54,7 @@ def features(line: str, page: int | None) -> tuple[int, ...]:
     own = page is not None and (page in numbers)
     alone = NUMBER_ALONE.fullmatch(text)
     if alone:
-        number = 3 if own and not re.search(r"\d[.\])]*\.$", text) else 2
+        number = 3 if (own or page is None) and not re.search(r"\d[.\])]*\.$", text) else 0
     elif ROMAN.fullmatch(text) and text[-1] not in ").":
         number = 3
     else:
@@ -180,6 +180,7 @@ def misread_words(words: DataFrame, least: int = 5, ratio: float = 20.0) -> Data
     Words of four letters or more qualify by any look-alike, shorter ones and words with digits only by odd characters.
     """
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -257,6 +258,7 @@ def annotate(df: DataFrame, id_col: str = "passage_id", text: str = "text", page
     model = spark.sparkContext.broadcast(fit_line_model(df, text, page, id_col, sample))
     rows = cut(df.filter(F.length(text) > 0).select(F.monotonically_increasing_id().alias("_row"), id_col, F.col(text).alias("_text"), F.col(page).cast("int").alias("_page")))
 
+    @nonempty
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -286,6 +288,7 @@ def annotate(df: DataFrame, id_col: str = "passage_id", text: str = "text", page
 def found(df: DataFrame, id_col: str = "passage_id", text: str = "text", page: str = "page") -> DataFrame:
     """(id_col, noise): one row per passage and kind of noise."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, kinds = [], []
@@ -352,6 +355,7 @@ def _mend(token: str, misreads: dict[str, str]) -> str:
 def repair(df: DataFrame, id_col: str = "passage_id", text: str = "text", page: str = "page") -> DataFrame:
     """(id_col, clean): every passage as readable paragraphs; null and empty texts unchanged."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             clean = [
