@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import keys
 from graphloom.operators import aliases, evidence, graphq, labels, metrics, pseudo, simgraph
+from graphloom.operators import publication
 from graphloom.plans import catalogue, registry
 from graphloom.sources import readers, sinks
 from graphloom.streaming import increments
@@ -137,3 +138,11 @@ def test_sibling_parts_of_a_hot_whole(spark):
     rows = spark.createDataFrame([(f"p{i:03d}", "w") for i in range(300)], "src string, dst string")
     got = graphq.sibling_parts(rows, 2)
     assert got.count() == 600 and got.filter("concept = 'p000'").orderBy("rank").first()["sibling"] == "p001"
+
+
+def test_claims(spark):
+    schema = "i int, claims array<struct<text: string, kind: string, ids: array<string>>>"
+    ok, bare, back = ("a", "supported", ["1"]), ("a", "supported", []), ("b", "background", [])
+    rows = [(0, [ok, back]), (1, []), (2, None), (3, [("a", "other", [])]), (4, [bare]), (5, [("b", "background", ["1"])]), (6, [back, back])]
+    got = {r["i"]: r["r"] for r in spark.createDataFrame(rows, schema).select("i", publication.claims_reason(F.col("claims")).alias("r")).collect()}
+    assert got == {0: "ok", 1: "none", 2: "none", 3: "kind", 4: "unsupported", 5: "background_ids", 6: "backgrounds"}
