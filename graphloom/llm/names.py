@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+#: Slips that all words of a name may have together.
+MOST_SLIPS = 4
+
 WORD = re.compile(r"[^\W_]+")
 
 #: British endings and the American ones that stand for them, longest first.
@@ -92,7 +95,7 @@ def distance(typed: list[str], meant: list[str], vocabulary=frozenset()) -> int
                 break
             total += n
         if total is not None:
-            return total
+            return total if total <= MOST_SLIPS else None
     if abs(len(typed) - len(meant)) > 2 and len(typed) != 1 and len(meant) != 1:
         return None
     a, b = "".join(typed), "".join(meant)

@@ -1,11 +1,11 @@
 """Overlap of splits (problem 7): evaluation records that also stand in the training split, exactly or nearly.
 
 Method: weighted cosine join of term-weight vectors between the splits. The join runs over the distinct names of each
-side, not over rows: a name's vector holds its character 4-grams, weighted by rarity; grams that the other split
+side, not over rows: a name's vector holds its character 5-grams, weighted by rarity; grams that the other split
 lacks weigh nothing. In the common order, rarest gram first, each vector is indexed only as far as the rest can't
 reach the threshold, bounded both by the norm of the rest and by the largest weights that the other split has for it.
-The two inverted lists are joined by gram; a pair survives if its first common gram and the residual norms still
-allow the threshold. Exact dot products follow, then the check of the words (see names.distance). Rows are then joined
+The two inverted lists are joined by gram and by the digits of the name; a pair survives if its first common gram and the
+residual norms still allow the threshold, and if place of the gram, lengths and letters agree up to MOST_SLIPS slips. Exact dot products follow, then the check of the words (see names.distance). Rows are then joined
 by equality of both matched names, so that copies meet only where they are asked for.
 
 Hot names cost one vector, whatever their number of rows. A gram is indexed only while it is among the rarest of its
@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.names import distance, words
-from graphloom.session import cut
+from graphloom.llm.names import MOST_SLIPS, distance, words
+from graphloom.session import cut, nonempty
 
-GRAM = 4
+GRAM = 5
 
 
 def name_key(x: Column) -> Column:
@@ -36,20 +36,36 @@ def name_key(x: Column) -> Column:
 
 
 def _grams(key: Column) -> Column:
-    """Distinct 4-grams of the name without spaces, with its ends marked."""
+    """Distinct 5-grams of the name without spaces, with its ends marked."""
     text = F.concat(F.lit("^"), F.regexp_replace(key, " ", ""), F.lit("$"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM))))
 
 
+def _letters(key: Column) -> Column:
+    """Two bits for each letter: it stands in the name, it stands there twice. A slip changes at most two of them."""
+    bits = F.lit(0).cast("long")
+    for k, letter in enumerate("abcdefghijklmnopqrstuvwxyz"):
+        n = F.length(key) - F.length(F.translate(key, letter, ""))
+        bits = bits + F.when(n >= 2, F.lit(3 << (2 * k))).when(n == 1, F.lit(1 << (2 * k))).otherwise(F.lit(0)).cast("long")
+    return bits
+
+
+def _described(names: DataFrame) -> DataFrame:
+    """(key, about) of the distinct names, with what the join compares before texts: digits, length, letters."""
+    key = F.col("key")
+    about = F.struct(F.regexp_replace(key, r"[^0-9]", "").alias("digits"), F.length(F.regexp_replace(key, " ", "")).alias("len"), _letters(key).alias("letters"))
+    return cut(names.select("key").filter(F.length("key") > 0).distinct().withColumn("about", about))
+
+
 def vectors(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, gram, w, rank_w, rest) of both sides' distinct keys: unit vectors over the grams that both sides have.
+    """(key, about, gram, w, rest, cap) of both sides' distinct keys: unit vectors over the grams that both sides have.
 
     rest is the norm of what follows the gram in the common order; cap bounds the dot product of that rest.
     """
-    lg, rg = (side.select("key", F.explode(_grams(F.col("key"))).alias("gram")) for side in (left, right))
+    lg, rg = (side.select("key", "about", F.explode(_grams(F.col("key"))).alias("gram")) for side in (left, right))
     ldf, rdf = (g.groupBy("gram").agg(F.count(F.lit(1)).alias(n)) for g, n in ((lg, "ln"), (rg, "rn")))
     total = math.log(max(2, left.count() + right.count()))
-    weights = cut(ldf.join(rdf, "gram").select("gram", (F.col("ln") + F.col("rn")).alias("df"), (2 - F.log(F.col("ln") + F.col("rn")) / total).alias("weight")))
+    weights = cut(ldf.join(rdf, "gram").select("gram", (F.col("ln") + F.col("rn")).alias("df"), F.pow(0.5 + total - F.log(F.col("ln") + F.col("rn")), F.lit(0.75)).alias("weight")))
 
     def unit(g: DataFrame) -> DataFrame:
         by_key = Window.partitionBy("key")
@@ -64,34 +80,34 @@ def vectors(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
             u.join(top, "gram")
             .withColumn("rest", F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(order), F.lit(0.0))))
             .withColumn("cap", F.coalesce(F.sum(F.col("w") * F.col("top")).over(order), F.lit(0.0)))
-            .select("key", "gram", "w", "rest", "cap")
+            .select("key", "about", "gram", "w", "rest", "cap")
         )
 
     return cut(bounded(lu, rmax)), cut(bounded(ru, lmax))
 
 
+@nonempty
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = [distance(words(a), words(b)) is not None or distance(words(b), words(a)) is not None for a, b in zip(batch["lkey"], batch["rkey"])]
         yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.45) -> DataFrame:
     """(lkey, rkey, cosine) of the distinct names `key` of both sides that denote the same thing."""
-    left, right = (cut(x.select("key").filter(F.length("key") > 0).distinct()) for x in (left, right))
+    left, right = _described(left), _described(right)
     lv, rv = vectors(left, right)
     # a gram is indexed while it and what follows can reach the threshold
     indexed = lambda v: v.filter(F.least(F.sqrt(F.col("rest") * F.col("rest") + F.col("w") * F.col("w")), F.col("cap") + F.col("w")) >= threshold)
     slack = 1e-9
-    lp = indexed(lv).select(F.col("key").alias("lkey"), "gram", F.col("w").alias("lw"), F.col("rest").alias("lrest"))
-    rp = indexed(rv).select(F.col("key").alias("rkey"), "gram", F.col("w").alias("rw"), F.col("rest").alias("rrest"))
-    digits = lambda c: F.regexp_replace(c, r"[^0-9]", "")
-    spread = lambda c: F.length(F.regexp_replace(c, " ", ""))
+    place = F.position("gram", F.concat(F.lit("^"), F.regexp_replace("key", " ", ""), F.lit("$")))
+    side = lambda v, p: indexed(v).select(F.col("key").alias(f"{p}key"), "gram", F.col("about.digits").alias("digits"), F.col("about.len").alias(f"{p}len"), F.col("about.letters").alias(f"{p}letters"), place.alias(f"{p}at"), F.col("w").alias(f"{p}w"), F.col("rest").alias(f"{p}rest"))
     pairs = (
-        lp.join(rp, "gram")
+        side(lv, "l").join(side(rv, "r"), ["gram", "digits"])
         .filter(F.col("lw") * F.col("rw") + F.col("lrest") * F.col("rrest") >= threshold - slack)  # for the first common gram
-        .filter((digits(F.col("lkey")) == digits(F.col("rkey"))) & (F.abs(spread(F.col("lkey")) - spread(F.col("rkey"))) <= 10))
-        .filter(F.levenshtein("lkey", "rkey", 16) >= 0)  # two slips a word, of at most six words, a swap counting twice
+        .filter((F.abs(F.col("llen") - F.col("rlen")) <= MOST_SLIPS) & (F.abs(F.col("lat") - F.col("rat")) <= MOST_SLIPS))
+        .filter(F.bit_count(F.col("lletters").bitwiseXOR(F.col("rletters"))) <= 2 * MOST_SLIPS)
+        .filter(F.levenshtein("lkey", "rkey", 2 * MOST_SLIPS + 3) >= 0)  # a swap counts twice, a joint between words once
         .select("lkey", "rkey")
         .distinct()
     )
@@ -114,7 +130,7 @@ def _keyed(df: DataFrame, id_col: str, prefix: str, source: str, target: str) ->
     )
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, id_col: str = "label_id", source: str = "source", target: str = "target", threshold: float = 0.5) -> DataFrame:
+def overlaps(train: DataFrame, evaluation: DataFrame, id_col: str = "label_id", source: str = "source", target: str = "target", threshold: float = 0.45) -> DataFrame:
     """(train_id, eval_id, eval_source, split) of all pairs of rows with the same source and target."""
     t, e = cut(_keyed(train, id_col, "train", source, target)), cut(_keyed(evaluation, id_col, "eval", source, target))
     names = lambda d, p: d.select(F.col(f"{p}_source").alias("key")).union(d.select(F.col(f"{p}_target").alias("key")))
