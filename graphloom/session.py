@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +31,27 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that they need no copy of it on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="graphloom-code-"), "graphloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*")):
+            if f.suffix in (".py", ".npz"):
+                z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(target)  # served by the driver to every executor
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
