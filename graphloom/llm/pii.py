@@ -16,6 +16,7 @@ repeated ids are handled row by row and give each row once. Extra columns are ig
 
 from __future__ import annotations
 
+import io
 import string
 from collections.abc import Iterator
 from functools import lru_cache
@@ -98,7 +99,26 @@ GRAMMAR = {
         rf"(?<![\p{{L}}\d.’'-]){TOKEN} {INITIAL}(?=\s*(?:$|\n|,))",
     ],
 }
-COMPILED = {t: [regex.compile(p) for p in ps] for t, ps in GRAMMAR.items()}
+def _spaced(pattern: str) -> str:
+    """The pattern with every space standing for any run of up to four blanks of one line."""
+    blanks = " \\t\\u00a0\\u2000-\\u200b\\u202f\\u3000"
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            out.append(pattern[k : k + 2])
+            k += 2
+            continue
+        if c == "[" and not inside:
+            inside = True
+        elif c == "]" and inside:
+            inside = False
+        out.append((blanks if inside else f"(?:[{blanks}]{{1,4}})") if c == " " else c)
+        k += 1
+    return "".join(out)
+
+
+COMPILED = {t: [regex.compile(_spaced(p)) for p in ps] for t, ps in GRAMMAR.items()}
 #: Titles, which don't belong to a name.
 TITLE = regex.compile(r"^(?:(?i:Dr|Prof|Professor|Mr|Mrs|Ms|Mme|Mlle|Herr|Frau|Sr|Sra|Señor|Señora|Don|Doña|Alumno|Alumna|Madame|Monsieur|Doctor)\.? )+")
 
@@ -145,7 +165,7 @@ def settle(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None
                 a += m.end()
             elif text[a : a + 4] == "von " and regex.search(r"(?i:abgegeben|eingereicht) $", text[max(0, a - 12) : a]):
                 a += 4
-            if " " not in text[a:b] or not _is_name(text, a, b):
+            if not regex.search(r"\s|\u200b", text[a:b]) or not _is_name(text, a, b):
                 continue
         both = min(b, end) - max(a, start)
         if both <= 0:
@@ -277,9 +297,10 @@ def mentions(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-@lru_cache(1)
-def tagger(path: str) -> Tagger:
-    with np.load(path) as data:
+@lru_cache(2)
+def tagger(weights: bytes) -> Tagger:
+    """One network per process, from the bytes of a weights file."""
+    with np.load(io.BytesIO(weights)) as data:
         return Tagger(dict(data))
 
 
@@ -298,22 +319,24 @@ def _blocks(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[li
         yield ids, part
 
 
-def _spans(texts: list[str | None], weights: str) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
+def _spans(texts: list[str | None], weights: bytes) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
     net = tagger(weights)
     for ids, part in _blocks(texts):
         for k, t, labels in zip(ids, part, net.labels(part)):
             yield k, t, mentions(t, labels)
 
 
-def found(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str = str(WEIGHTS)) -> DataFrame:
+def found(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str | None = None) -> DataFrame:
     """(id_col, pii_type, pii_text): one row per document, type and distinct mention."""
 
+    network = Path(weights or WEIGHTS).read_bytes()  # 17 KB, sent with the function
+
     @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, kinds, surfaces = [], [], []
             own = batch[id_col].tolist()
-            for k, t, spans in _spans(batch[text].tolist(), weights):
+            for k, t, spans in _spans(batch[text].tolist(), network):
                 for kind, surface in sorted({(kind, t[a:b]) for a, b, kind in spans}):
                     ids.append(own[k])
                     kinds.append(kind)
@@ -323,14 +346,16 @@ def found(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: st
     return _even(df, id_col, text).mapInPandas(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, pii_type string, pii_text string")
 
 
-def mask(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str = str(WEIGHTS)) -> DataFrame:
+def mask(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str | None = None) -> DataFrame:
     """(id_col, masked): texts with every mention replaced by its type in square brackets."""
 
+    network = Path(weights or WEIGHTS).read_bytes()  # 17 KB, sent with the function
+
     @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[text].tolist()
-            for k, t, spans in _spans(list(out), weights):
+            for k, t, spans in _spans(list(out), network):
                 for a, b, kind in reversed(spans):
                     t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
                 out[k] = t
