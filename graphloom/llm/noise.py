@@ -185,7 +185,7 @@ def misread_words(words: DataFrame, least: int = 5, ratio: float = 20.0) -> Data
         for batch in batches:
             rows = []
             for word, n in zip(batch["word"], batch["n"]):
-                if len(word) > 40 or "\\" in word or not any(c.isalpha() for c in word):
+                if len(word) > 40 or "\\" in word or "$" in (word[0], word[-1]) or not any(c.isalpha() for c in word):  # a piece of a formula is no word
                     continue
                 odd = bool(ODD.search(word))
                 if not odd and len(word) < 4:
