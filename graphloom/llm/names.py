@@ -71,6 +71,15 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 4 or any(c.isdigit() for c in word) else 1 if len(word) < 6 else 2
 
 
+def word_slips(a: str, b: str) -> int | None:
+    """Slips between two words that stand at the same place of a name, None if they are different words."""
+    x, y = stem(a), stem(b)
+    if x == y:
+        return 0
+    n = min(slips(x, y), slips(a, b))
+    return n if n <= min(allowed(x), allowed(y)) else None
+
+
 def distance(typed: list[str], meant: list[str], vocabulary=frozenset()) -> int | None:
     """Slips between two names, None if they are different names.
 
@@ -83,14 +92,8 @@ def distance(typed: list[str], meant: list[str], vocabulary=frozenset()) -> int
     if len(typed) == len(meant):
         total = 0
         for a, b in zip(typed, meant):
-            x, y = stem(a), stem(b)
-            if x == y:
-                continue
-            if x in vocabulary:
-                total = None
-                break
-            n = min(slips(x, y), slips(a, b))
-            if n > min(allowed(x), allowed(y)) and not (n == 1 and min(len(x), len(y)) >= 4 and x.isalpha() and y.isalpha()):
+            n = word_slips(a, b)
+            if n is None or (stem(a) != stem(b) and stem(a) in vocabulary):
                 total = None
                 break
             total += n

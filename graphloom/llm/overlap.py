@@ -1,15 +1,20 @@
 """Overlap of splits (problem 7): evaluation records that also stand in the training split, exactly or nearly.
 
-Method: weighted cosine join of term-weight vectors between the splits. The join runs over the distinct names of each
-side, not over rows: a name's vector holds its character 5-grams, weighted by rarity; grams that the other split
-lacks weigh nothing. In the common order, rarest gram first, each vector is indexed only as far as the rest can't
-reach the threshold, bounded both by the norm of the rest and by the largest weights that the other split has for it.
-The two inverted lists are joined by gram and by the digits of the name; a pair survives if its first common gram and the
-residual norms still allow the threshold, and if place of the gram, lengths and letters agree up to MOST_SLIPS slips. Exact dot products follow, then the check of the words (see names.distance). Rows are then joined
-by equality of both matched names, so that copies meet only where they are asked for.
+Method: two joins over the distinct names of each side, not over rows, find every pair that names.distance may allow,
+and names.distance decides. Neither join has a threshold.
 
-Hot names cost one vector, whatever their number of rows. A gram is indexed only while it is among the rarest of its
-vector, which keeps lists short.
+Names of as many words: the distinct words of both sides that are near each other meet by their deletion
+neighbourhoods, the texts that up to two deletions leave (words within two slips share one). The names are then walked
+word by word as paths from their first word: a pair of paths goes on where the next words are near, so only pairs
+that agree so far are carried on.
+
+Joined words: texts without spaces that are within two slips have a half with at most one, so they share what one
+deletion leaves of the first or of the second half; texts of up to SHORT characters share what two deletions leave of the
+whole. The keys hold the digits and the number of words, so that only names of different numbers of words meet.
+Names of as many words whose texts without spaces are equal meet by that text.
+
+Rows are then joined by equality of both matched names, so that copies meet only where they are asked for. Hot names
+cost one path, whatever their number of rows.
 
 Defined results: rows with a null source or target match nothing; names without letters or digits match nothing;
 repeated rows give one pair each. Extra columns are ignored. Empty tables give an empty result.
@@ -17,17 +22,18 @@ repeated rows give one pair each. Extra columns are ignored. Empty tables give a
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.names import MOST_SLIPS, distance, words
+from graphloom.llm.names import allowed, distance, stem, word_slips, words
 from graphloom.session import cut, nonempty
 
-GRAM = 5
+#: Texts of up to this length are keyed as a whole; two longer, since the other text may be, on the same keys.
+SHORT = 10
 
 
 def name_key(x: Column) -> Column:
@@ -35,55 +41,106 @@ def name_key(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"(?U)[^\p{L}\p{N}\p{M}]+", " "))
 
 
-def _grams(key: Column) -> Column:
-    """Distinct 5-grams of the name without spaces, with its ends marked."""
-    text = F.concat(F.lit("^"), F.regexp_replace(key, " ", ""), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM))))
-
-
-def _letters(key: Column) -> Column:
-    """Two bits for each letter: it stands in the name, it stands there twice. A slip changes at most two of them."""
-    bits = F.lit(0).cast("long")
-    for k, letter in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        n = F.length(key) - F.length(F.translate(key, letter, ""))
-        bits = bits + F.when(n >= 2, F.lit(3 << (2 * k))).when(n == 1, F.lit(1 << (2 * k))).otherwise(F.lit(0)).cast("long")
-    return bits
+@nonempty
+def _worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ws = [words(k) for k in batch["key"]]
+        yield pd.DataFrame({"key": batch["key"], "words": ws, "path": [" ".join(w) for w in ws], "text": ["".join(w) for w in ws]})
 
 
 def _described(names: DataFrame) -> DataFrame:
-    """(key, about) of the distinct names, with what the join compares before texts: digits, length, letters."""
-    key = F.col("key")
-    about = F.struct(F.regexp_replace(key, r"[^0-9]", "").alias("digits"), F.length(F.regexp_replace(key, " ", "")).alias("len"), _letters(key).alias("letters"))
-    return cut(names.select("key").filter(F.length("key") > 0).distinct().withColumn("about", about))
-
+    """(key, words, path, text) of the distinct names: their words, joined by spaces and without."""
+    keys = names.select("key").filter(F.length("key") > 0).distinct()
+    return cut(keys.mapInPandas(_worded, "key string, words array<string>, path string, text string").filter(F.size("words") > 0))
 
-def vectors(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, about, gram, w, rest, cap) of both sides' distinct keys: unit vectors over the grams that both sides have.
 
-    rest is the norm of what follows the gram in the common order; cap bounds the dot product of that rest.
-    """
-    lg, rg = (side.select("key", "about", F.explode(_grams(F.col("key"))).alias("gram")) for side in (left, right))
-    ldf, rdf = (g.groupBy("gram").agg(F.count(F.lit(1)).alias(n)) for g, n in ((lg, "ln"), (rg, "rn")))
-    total = math.log(max(2, left.count() + right.count()))
-    weights = cut(ldf.join(rdf, "gram").select("gram", (F.col("ln") + F.col("rn")).alias("df"), F.pow(0.5 + total - F.log(F.col("ln") + F.col("rn")), F.lit(0.75)).alias("weight")))
+def deletions(text: str, most: int) -> set[str]:
+    """What is left of the text after up to `most` deletions."""
+    out = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
 
-    def unit(g: DataFrame) -> DataFrame:
-        by_key = Window.partitionBy("key")
-        return g.join(weights, "gram").withColumn("w", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(by_key))).drop("weight")
 
-    lu, ru = cut(unit(lg)), cut(unit(rg))
-    lmax, rmax = (u.groupBy("gram").agg(F.max("w").alias("top")) for u in (lu, ru))
-    order = Window.partitionBy("key").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, -1)  # what comes after in the common order
+@nonempty
+def _word_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(w, crc32(k.encode())) for w in batch["word"] for k in deletions(stem(w), allowed(stem(w))) | deletions(w, allowed(stem(w)))]
+        yield pd.DataFrame(out, columns=["word", "k"])
 
-    def bounded(u: DataFrame, top: DataFrame) -> DataFrame:
-        return (
-            u.join(top, "gram")
-            .withColumn("rest", F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(order), F.lit(0.0))))
-            .withColumn("cap", F.coalesce(F.sum(F.col("w") * F.col("top")).over(order), F.lit(0.0)))
-            .select("key", "about", "gram", "w", "rest", "cap")
-        )
 
-    return cut(bounded(lu, rmax)), cut(bounded(ru, lmax))
+@nonempty
+def _near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[pd.Series([word_slips(a, b) is not None for a, b in zip(batch["lword"], batch["rword"])], index=batch.index, dtype=bool)]
+
+
+def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lword, rword): words of both sides that may stand for each other in names of as many words."""
+    keyed = lambda side, p: side.select(F.explode("words").alias("word")).distinct().mapInPandas(_word_keys, "word string, k long").withColumnRenamed("word", f"{p}word")
+    met = keyed(left, "l").join(keyed(right, "r"), "k").select("lword", "rword").distinct()
+    return cut(met.mapInPandas(_near_words, met.schema))
+
+
+def _steps(side: DataFrame, p: str) -> DataFrame:
+    """(i, parent, word, path): the distinct steps of the names' paths, the i-th word following the path of those before it."""
+    w = F.col("words")
+    at = side.select("words", F.explode(F.sequence(F.lit(1), F.size(w))).alias("i")).select("i", F.array_join(F.slice(w, F.lit(1), F.col("i") - 1), " ").alias(f"{p}parent"), F.element_at(w, F.col("i")).alias(f"{p}word"), F.array_join(F.slice(w, F.lit(1), F.col("i")), " ").alias(f"{p}path"))
+    return cut(at.distinct())
+
+
+def word_by_word(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lkey, rkey) of the names of as many words that are near each other word by word."""
+    near, ls, rs = near_words(left, right), _steps(left, "l"), _steps(right, "r")
+    longest = min(side.agg(F.coalesce(F.max("i"), F.lit(0))).first()[0] for side in (ls, rs))
+    lnames, rnames = (side.select(F.col("key").alias(f"{p}key"), F.col("path").alias(f"{p}path")) for side, p in ((left, "l"), (right, "r")))
+    out, pairs = None, None
+    for i in range(1, longest + 1):
+        here = ls.filter(F.col("i") == i).drop("i")
+        on = here if pairs is None else pairs.select(F.col("lpath").alias("lparent"), F.col("rpath").alias("rparent")).join(here, "lparent")
+        pairs = cut(on.join(near, "lword").join(rs.filter(F.col("i") == i).drop("i"), ["rword"] if i == 1 else ["rparent", "rword"]).select("lpath", "rpath"))
+        done = pairs.join(lnames, "lpath").join(rnames, "rpath").select("lkey", "rkey")
+        out = done if out is None else out.unionByName(done)
+    return lnames.join(rnames, F.lit(False)).select("lkey", "rkey") if out is None else out
+
+
+def _joined_keys(text: str, probe: bool) -> set[str]:
+    """Keys of a text without spaces; a probe has those of all halves that a text within two slips may have."""
+    m = len(text)
+    out = {f"w{k}" for k in deletions(text, 2)} if m <= SHORT + 2 else set()
+    if m > SHORT:
+        firsts, seconds = (range(m // 2 - 2, m // 2 + 3), range((m + 1) // 2 - 2, (m + 1) // 2 + 3)) if probe else ([m // 2], [m - m // 2])
+        out |= {f"a{k}" for h in firsts for k in deletions(text[:h], 1)} | {f"b{k}" for h in seconds for k in deletions(text[m - h :], 1)}
+    return out
+
+
+def _text_keys(counts: list[int], probe: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(key, k) by which names meet names of other numbers of words; `counts` are those of the other side."""
+
+    @nonempty
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                out = []
+                for key, ws, text in zip(batch["key"][at : at + 500], batch["words"][at : at + 500], batch["text"][at : at + 500]):
+                    n, digits = len(ws), "".join(c for c in text if c.isdigit())
+                    met = [c for c in counts if c != n and (abs(c - n) <= 2 or c == 1 or n == 1)]
+                    if met:
+                        keys = {k for form in {text, stem(text)} for k in _joined_keys(form, probe)}
+                        out += [(key, crc32(f"{k} {digits} {(c, n) if probe else (n, c)}".encode())) for k in keys for c in met]
+                yield pd.DataFrame(out, columns=["key", "k"])
+
+    return run
+
+
+def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lkey, rkey) of the names whose texts without spaces may be within two slips (equal, if they have as many words)."""
+    counts = lambda side: sorted(r[0] for r in side.select(F.size("words")).distinct().collect())  # noqa: E731  # word counts of names
+    lk = left.select("key", "words", "text").mapInPandas(_text_keys(counts(right), False), "key string, k long").withColumnRenamed("key", "lkey")
+    rk = right.select("key", "words", "text").mapInPandas(_text_keys(counts(left), True), "key string, k long").withColumnRenamed("key", "rkey")
+    equal = left.select(F.col("key").alias("lkey"), "text").join(right.select(F.col("key").alias("rkey"), "text"), "text")
+    return lk.join(rk, "k").select("lkey", "rkey").distinct().unionByName(equal.select("lkey", "rkey"))
 
 
 @nonempty
@@ -93,35 +150,11 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """(lkey, rkey, cosine) of the distinct names `key` of both sides that denote the same thing."""
+def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lkey, rkey) of the distinct names `key` of both sides that denote the same thing."""
     left, right = _described(left), _described(right)
-    lv, rv = vectors(left, right)
-    # a gram is indexed while it and what follows can reach the threshold
-    indexed = lambda v: v.filter(F.least(F.sqrt(F.col("rest") * F.col("rest") + F.col("w") * F.col("w")), F.col("cap") + F.col("w")) >= threshold)
-    slack = 1e-9
-    place = F.position("gram", F.concat(F.lit("^"), F.regexp_replace("key", " ", ""), F.lit("$")))
-    side = lambda v, p: indexed(v).select(F.col("key").alias(f"{p}key"), "gram", F.col("about.digits").alias("digits"), F.col("about.len").alias(f"{p}len"), F.col("about.letters").alias(f"{p}letters"), place.alias(f"{p}at"), F.col("w").alias(f"{p}w"), F.col("rest").alias(f"{p}rest"))
-    pairs = (
-        side(lv, "l").join(side(rv, "r"), ["gram", "digits"])
-        .filter(F.col("lw") * F.col("rw") + F.col("lrest") * F.col("rrest") >= threshold - slack)  # for the first common gram
-        .filter((F.abs(F.col("llen") - F.col("rlen")) <= MOST_SLIPS) & (F.abs(F.col("lat") - F.col("rat")) <= MOST_SLIPS))
-        .filter(F.bit_count(F.col("lletters").bitwiseXOR(F.col("rletters"))) <= 2 * MOST_SLIPS)
-        .filter(F.levenshtein("lkey", "rkey", 2 * MOST_SLIPS + 3) >= 0)  # a swap counts twice, a joint between words once
-        .select("lkey", "rkey")
-        .distinct()
-    )
-    dots = (
-        cut(pairs)
-        .join(lv.select(F.col("key").alias("lkey"), "gram", F.col("w").alias("lw")), "lkey")
-        .join(rv.select(F.col("key").alias("rkey"), "gram", F.col("w").alias("rw")), ["rkey", "gram"])
-        .groupBy("lkey", "rkey")
-        .agg(F.sum(F.col("lw") * F.col("rw")).alias("cosine"))
-        .filter(F.col("cosine") >= threshold - slack)
-    )
-    near = dots.filter("lkey <> rkey").mapInPandas(_check, dots.schema)
-    same = left.join(right, "key").select(F.col("key").alias("lkey"), F.col("key").alias("rkey"), F.lit(1.0).alias("cosine"))
-    return near.unionByName(same)
+    pairs = word_by_word(left, right).unionByName(joined(left, right)).distinct()
+    return pairs.mapInPandas(_check, pairs.schema)
 
 
 def _keyed(df: DataFrame, id_col: str, prefix: str, source: str, target: str) -> DataFrame:
@@ -130,11 +163,11 @@ def _keyed(df: DataFrame, id_col: str, prefix: str, source: str, target: str) ->
     )
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, id_col: str = "label_id", source: str = "source", target: str = "target", threshold: float = 0.45) -> DataFrame:
+def overlaps(train: DataFrame, evaluation: DataFrame, id_col: str = "label_id", source: str = "source", target: str = "target") -> DataFrame:
     """(train_id, eval_id, eval_source, split) of all pairs of rows with the same source and target."""
     t, e = cut(_keyed(train, id_col, "train", source, target)), cut(_keyed(evaluation, id_col, "eval", source, target))
     names = lambda d, p: d.select(F.col(f"{p}_source").alias("key")).union(d.select(F.col(f"{p}_target").alias("key")))
-    same = cut(similar_names(names(t, "train"), names(e, "eval"), threshold).select("lkey", "rkey"))
+    same = cut(similar_names(names(t, "train"), names(e, "eval")))
     # distinct evaluation pairs, each with the training spellings of both of its names
     pairs = e.select("eval_source", "eval_target").distinct()
     spelled = (

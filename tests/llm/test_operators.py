@@ -115,6 +115,13 @@ def test_overlap_matches_brute_force(spark):
     assert overlap.report(pairs(spark, train), pairs(spark, evaluation)).agg(F.sum("n_pairs")).first()[0] == len(want)
 
 
+def test_overlap_of_short_and_joined_names(spark):
+    alike = [("lasso", "lazso"), ("kernel", "krenel"), ("latent tree", "latet tree"), ("core loop", "coreloop"), ("damped sketching bound", "dmpedsketching bonud"), ("ab c de", "a bc de")]
+    train = [(i, a, "entropic splitting", "train") for i, (a, _) in enumerate(alike)]
+    evaluation = [(100 + i, b, "entropic spliting", "val") for i, (_, b) in enumerate(alike)] + [(200, "lasing", "entropic splitting", "val"), (201, "latent l1 tree", "entropic splitting", "val")]
+    assert {tuple(r) for r in overlap.found(pairs(spark, train), pairs(spark, evaluation)).collect()} == {(i, 100 + i) for i in range(len(alike))}
+
+
 def test_overlap_empty(spark):
     some = pairs(spark, [(1, "a b c", "d e f", "train")])
     assert overlap.found(some, pairs(spark, [])).count() == 0
