@@ -1,11 +1,13 @@
 """Packed fields (problem 2): several values in one string, split into one row per value with its position.
 
 Method: dictionary-guided segmentation. A first pass over all records cuts each string at its delimiters outside
-quotes, brackets and escapes, and gives the dictionary of whole values of the corpus. A second pass finds, with one
-multi-pattern automaton, all known whole values between possible cuts, and dynamic programming picks the cheapest
-cover: a known value costs less than an unknown one, and a delimiter may stay inside a value only if that whole value
-is known. So `reward, layered sketching` stays whole where it was seen quoted elsewhere, while two topics that stand
-for themselves are parted.
+quotes, brackets and escapes, and gives the dictionary of the values that were met whole: quoted, escaped, in JSON or
+alone in their record. Pieces of a bare cut aren't in it, since the cut is what is to be decided. A second pass finds,
+with one multi-pattern automaton, all known whole values between possible cuts, and dynamic programming picks the
+cheapest cover: a delimiter may stay inside a value only if that whole value is known, a known whole value costs less
+than any pieces of it, and among covers that overlap the one that leaves known values wins. So `reward, layered
+sketching` stays whole where it was seen quoted elsewhere, while other topics are parted. A piece that is itself
+quoted, escaped or from JSON is never joined with its neighbours.
 
 The automaton is broadcast only while the dictionary has at most `max_values` values (counted first); beyond it the
 same spans are found by a shuffle join of the candidate spans with the dictionary. Both give the same rows.
@@ -34,31 +36,35 @@ ESCAPED = "|;,/\"'\\\t\n"
 MARKER = re.compile(r"\s*(?:[•*·–-]\s+|\(?(\d{1,4})[.)]\s+)")
 INLINE = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,4})[.)]\s+")
 
-KNOWN, JOINED, UNKNOWN = 1.0, 2.5, 3.0
+#: Costs of a value: known, known with delimiters inside (less than two known pieces), met in bare cuts only.
+KNOWN, JOINED, UNKNOWN = 1.0, 1.5, 3.0
 
+#: Delimiter text before a piece, the piece, and whether quotes, escapes or JSON held it together.
+Piece = tuple[str, str, bool]
 
-def atoms(text: str) -> tuple[list[tuple[str, str]], bool]:
-    """The pieces between delimiters outside protection, each with the delimiter text before it; whether from JSON."""
+
+def atoms(text: str) -> tuple[list[Piece], bool]:
+    """The pieces between delimiters outside protection; whether from JSON."""
     t = text.strip()
     if t.startswith("["):
         try:
             values = json.loads(t)
             if isinstance(values, list):
-                return [("\n", v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for v in values if v is not None], True
+                return [("\n", v if isinstance(v, str) else json.dumps(v, ensure_ascii=False), True) for v in values if v is not None], True
         except ValueError:
             pass
-    out, cur, gap, i, n, depth, start, open_quotes = [], [], "", 0, len(t), 0, True, set()
+    out, cur, gap, i, n, depth, start, held, open_quotes = [], [], "", 0, len(t), 0, True, False, set()
     while i < n:
         c = t[i]
         if c == "\\" and i + 1 < n and t[i + 1] in ESCAPED:
             cur.append(t[i + 1])
-            i, start = i + 2, False
+            i, start, held = i + 2, False, True
             continue
         if start and c in QUOTES and c not in open_quotes:
             end, inner = _quoted(t, i)
             if end:
                 cur.append(inner)
-                i, start = end, False
+                i, start, held = end, False, True
                 continue
             open_quotes.add(c)  # no closing mark in the rest
         if c == "(":
@@ -67,13 +73,13 @@ def atoms(text: str) -> tuple[list[tuple[str, str]], bool]:
             depth = max(0, depth - 1)
         slash = c == "/" and 0 < i < n - 1 and t[i - 1].isspace() and t[i + 1].isspace()
         if (depth == 0 or c in "\n\r\t") and (c in DELIMITERS or slash):
-            out.append((gap, "".join(cur)))
-            cur, gap, start, depth = [], c, True, 0
+            out.append((gap, "".join(cur), held))
+            cur, gap, start, held, depth = [], c, True, False, 0
         else:
             start = start and c.isspace()
             cur.append(c)
         i += 1
-    out.append((gap, "".join(cur)))
+    out.append((gap, "".join(cur), held))
     return out, False
 
 
@@ -102,36 +108,36 @@ def _quoted(t: str, i: int) -> tuple[int, str]:
     return 0, ""
 
 
-def unmark(pieces: list[tuple[str, str]]) -> list[tuple[str, str]]:
+def unmark(pieces: list[Piece]) -> list[Piece]:
     """Pieces without bullets and numbering; numbered lists on one line are cut at their numbers."""
-    full = [(g, p.strip()) for g, p in pieces if p.strip()]
+    full = [(g, p.strip(), h) for g, p, h in pieces if p.strip()]
     if not full:
         return []
     first = MARKER.match(full[0][1])
     if first is None:
         return full
     if first.group(1) is None:  # bullets
-        return [(g, MARKER.sub("", p, count=1) if (m := MARKER.match(p)) and m.group(1) is None else p) for g, p in full]
+        return [(g, MARKER.sub("", p, count=1) if (m := MARKER.match(p)) and m.group(1) is None else p, h) for g, p, h in full]
     out, want = [], int(first.group(1))
-    for gap, piece in full:
+    for gap, piece, held in full:
         last = 0
         for m in INLINE.finditer(piece):
             if int(m.group(1)) == want:  # numbers that continue the list are marks, others belong to the text
                 if piece[last : m.start()].strip():
-                    out.append((gap, piece[last : m.start()].strip()))
+                    out.append((gap, piece[last : m.start()].strip(), held))
                 gap, last, want = "\n", m.end(), want + 1
         if piece[last:].strip():
-            out.append((gap, piece[last:].strip()))
+            out.append((gap, piece[last:].strip(), held))
     return out
 
 
-def cover(pieces: list[tuple[str, str]], known: Callable[[str], bool], widest: int) -> list[str]:
+def cover(pieces: list[Piece], known: Callable[[str], bool], widest: int) -> list[str]:
     """Cheapest cover of the pieces by values; `widest` is the most delimiters that a known value holds."""
     n = len(pieces)
     best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
     for i in range(n):
         joined = pieces[i][1]
-        for j in range(i + 1, min(n, i + 1 + widest) + 1):
+        for j in range(i + 1, _reach(pieces, i, widest) + 1):
             if j > i + 1:
                 joined = _join(joined, pieces[j - 1])
             is_known = known(joined)
@@ -151,18 +157,26 @@ def cover(pieces: list[tuple[str, str]], known: Callable[[str], bool], widest: i
     return out[::-1]
 
 
-def _join(left: str, piece: tuple[str, str]) -> str:
-    gap, text = piece
+def _reach(pieces: list[Piece], i: int, widest: int) -> int:
+    """End of the longest run of pieces from i that one value may hold; held pieces stand alone."""
+    j, last = i + 1, min(len(pieces), i + 1 + widest)
+    while j < last and not pieces[i][2] and not pieces[j][2]:
+        j += 1
+    return j
+
+
+def _join(left: str, piece: Piece) -> str:
+    gap, text, _ = piece
     return f"{left} / {text}" if gap == "/" else f"{left}{gap}{text}" if gap == "|" else f"{left}{gap} {text}"
 
 
-def spans(pieces: list[tuple[str, str]], widest: int) -> list[str]:
+def spans(pieces: list[Piece], widest: int) -> list[str]:
     """All texts that the cover may ask for."""
     out = []
     for i in range(len(pieces)):
         joined = pieces[i][1]
         out.append(joined)
-        for j in range(i + 1, min(len(pieces), i + 1 + widest)):
+        for j in range(i + 1, _reach(pieces, i, widest)):
             joined = _join(joined, pieces[j])
             out.append(joined)
     return out
@@ -172,14 +186,15 @@ def _first_pass(column: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [v for text in batch[column].dropna() for _, v in unmark(atoms(text)[0])]
+            cuts = (unmark(atoms(text)[0]) for text in batch[column].dropna())
+            out = [v for pieces in cuts for _, v, held in pieces if held or len(pieces) == 1]
             yield pd.DataFrame({"value": out}, dtype=object)
 
     return run
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, cuts): whole values of the corpus with their count and the delimiters that they hold."""
+    """(value, n, cuts): values that the corpus has whole, apart from bare cuts, with their count and the delimiters that they hold."""
     return (
         df.select(column)
         .mapInPandas(_first_pass(column), "value string")

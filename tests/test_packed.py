@@ -48,6 +48,14 @@ def test_dictionary_protects_delimiters(spark):
     assert values(spark, texts)[2] == ["a b", "c d"]
 
 
+@pytest.mark.parametrize("limit", [300_000, 0])
+def test_known_whole_value_beats_its_pieces(spark, limit):
+    texts = ['"reward, layered sketching"|a b', '["u, v, w"]', "m\\, n", "reward, layered sketching; a b", "layered sketching, reward", "reward; layered sketching", "u, v, w, a b", "c d, m, n", '"reward", layered sketching']
+    assert values(spark, texts, max_values=limit)[3:] == [
+        ["reward, layered sketching", "a b"], ["layered sketching", "reward"], ["reward", "layered sketching"], ["u, v, w", "a b"], ["c d", "m, n"], ["reward", "layered sketching"],
+    ]
+
+
 def test_join_path_gives_the_same(spark):
     texts = [c[0] for c in CASES] + ["reward, layered sketching; a b", '"reward, layered sketching"']
     assert values(spark, texts, max_values=0) == values(spark, texts)
