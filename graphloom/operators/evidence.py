@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,7 +139,7 @@ def fuzzy_equal(a: str, b: str) -> bool:
     x, y = a.split(), b.split()
     if not x or not y:
         return False
-    if SequenceMatcher(None, a, b).ratio() >= 0.90 and len({*x} & {*y}) / len({*x} | {*y}) >= 0.80:
+    if len({*x} & {*y}) / len({*x} | {*y}) >= 0.80 and SequenceMatcher(None, a, b).ratio() >= 0.90:
         return True
     if len(x) != len(y):
         return False
@@ -146,30 +147,85 @@ def fuzzy_equal(a: str, b: str) -> bool:
     return min(each) >= 0.85 and sum(each) / len(each) >= 0.92
 
 
+def _near_words(vocabulary: list[str], least: float = 0.85) -> dict[str, list[str]]:
+    """For each word the words that are alike by `least`; common letters, counted in 64 classes, bound the ratio from above."""
+    counts = np.zeros((len(vocabulary), 64), dtype=np.int16)
+    for k, w in enumerate(vocabulary):
+        for c in w:
+            counts[k, ord(c) % 64] += 1
+    sizes = counts.sum(axis=1)
+    near = {}
+    for k, w in enumerate(vocabulary):
+        may = np.flatnonzero(2 * np.minimum(counts, counts[k]).sum(axis=1) >= least * (sizes + sizes[k]) - 1e-9)
+        near[w] = [q for q in (vocabulary[j] for j in may) if SequenceMatcher(None, w, q).ratio() >= least]
+    return near
+
+
+class _Known:
+    """Names and aliases of the entries so far; finds all that fuzzy_equal may accept for a name."""
+
+    def __init__(self, near: dict[str, list[str]]):
+        self.near, self.entry = near, {}  # each name with its first entry
+        self.trie: dict = {}
+        self.by_word: dict[str, list[str]] = {}
+
+    @staticmethod
+    def _rare(name: str) -> list[str]:
+        """Words of which two names that share four fifths of all their words have one in common, by the order of words."""
+        ws = sorted({*name.split()})
+        return ws[: len(ws) - (4 * len(ws) + 4) // 5 + 1]
+
+    def add(self, name: str, entry: int) -> None:
+        if name in self.entry:
+            self.entry[name] = min(self.entry[name], entry)
+            return
+        self.entry[name] = entry
+        node = self.trie
+        for w in name.split():
+            node = node.setdefault(w, {})
+        node.setdefault(None, []).append(name)
+        for w in self._rare(name):
+            self.by_word.setdefault(w, []).append(name)
+
+    def first(self, name: str) -> int | None:
+        """The first entry that has an equal name."""
+        nodes = [self.trie]
+        for w in name.split():
+            nodes = [node[q] for node in nodes for q in self.near[w] if q in node]
+        found = {n for node in nodes for n in node.get(None, ())}.union(*(self.by_word.get(w, ()) for w in self._rare(name)))
+        best = self.entry.get(name)
+        for other in found:
+            if (best is None or self.entry[other] < best) and fuzzy_equal(name, other):
+                best = self.entry[other]
+        return best
+
+
 def greedy_merge(candidates: DataFrame) -> DataFrame:
     """(group, name, merged_into): candidates (group, name, relevance, page) merged into the first equal one.
 
     Order decides (most relevant first, then page and name), and equality is not transitive, so a group is one task.
-    Within a group, candidates are compared only with earlier ones that share a three-letter word start.
+    A candidate joins the first entry of which any name or alias equals its name or one of its `aliases`, if it has
+    that column (an array); its names become aliases of that entry. Rows whose name is not merged_into are the decisions.
     """
+    extra = ["aliases"] if "aliases" in candidates.columns else []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["relevance", "page", "name"], ascending=[False, True, True])
+        names = [[n, *(() if a is None else a)] for n, a in zip(pdf["name"], pdf["aliases"] if extra else [None] * len(pdf))]
+        known = _Known(_near_words(sorted({w for ns in names for n in ns for w in n.split()})))
         heads: list[str] = []
-        index: dict[str, list[int]] = {}
         out = []
-        for group, name in zip(pdf["group"], pdf["name"]):
-            near = sorted({k for w in name.split() for k in index.get(w[:3], ())})
-            hit = next((heads[k] for k in near if fuzzy_equal(heads[k], name)), None)
+        for group, ns in zip(pdf["group"], names):
+            hit = min((k for n in ns if (k := known.first(n)) is not None), default=None)
             if hit is None:
-                for w in name.split():
-                    index.setdefault(w[:3], []).append(len(heads))
-                heads.append(name)
-                hit = name
-            out.append((group, name, hit))
+                hit = len(heads)
+                heads.append(ns[0])
+            for n in ns:
+                known.add(n, hit)
+            out.append((group, ns[0], heads[hit]))
         return pd.DataFrame(out, columns=["group", "name", "merged_into"])
 
-    return candidates.groupBy("group").applyInPandas(run, "group string, name string, merged_into string")
+    return candidates.select("group", "name", "relevance", "page", *extra).groupBy("group").applyInPandas(run, "group string, name string, merged_into string")
 
 
 def page_chunks(pages: DataFrame, budget: int, overlap: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Core operators on the shapes that the reference behaviour fixes, and the catalogue against DuckDB."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -128,6 +129,29 @@ def test_fuzzy_and_phrases(spark):
     assert {(r["phrase"], r["n"]) for r in evidence.phrase_matches(t, p, "id", "text").collect()} == {("deep neural network", 1), ("neural net", 1)}
 
 
+def test_merge_compares_all_names_and_aliases(spark):
+    rng = random.Random(3)
+    made = ["regularization", "rgeularization", "regularizations", "xegularizations"]
+    for _ in range(150):
+        w = list(rng.choice(["sparse gradient descent", "deep network pruning", "l1 lattice", "l2 lattice", "one two three four five"]))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice("abe ")
+        made.append(" ".join("".join(w).split()))
+    rows = [("g", n, len(made) - i, i) for i, n in enumerate(dict.fromkeys(made))]
+    entries, want = [], {}
+    for _, name, _, _ in rows:  # the rule without an index
+        hit = next((e for e in entries if any(evidence.fuzzy_equal(name, other) for other in e)), None)
+        if hit is None:
+            entries.append(hit := [])
+        hit.append(name)
+        want[name] = hit[0]
+    got = {r["name"]: r["merged_into"] for r in evidence.greedy_merge(spark.createDataFrame(rows, "group string, name string, relevance long, page long")).collect()}
+    assert got == want and got["rgeularization"] == "regularization" and got["xegularizations"] == "regularization"
+    assert not evidence.fuzzy_equal("xegularizations", "regularization")
+    aliased = spark.createDataFrame([("g", "ridge", 2, 1, ["tikhonov"]), ("g", "weight decay", 1, 1, ["tikhonovs"])], "group string, name string, relevance long, page long, aliases array<string>")
+    assert {r["merged_into"] for r in evidence.greedy_merge(aliased).collect()} == {"ridge"}
+
+
 def test_keys(spark):
     row = spark.createDataFrame([("  Batch\tNormalised  Policies—bosses ",)], "x string").select(keys.clean_field(F.col("x")).alias("a"), keys.plural_key(F.col("x")).alias("b"), keys.slug(F.lit("!!")).alias("c"), keys.folded(F.lit("Straße")).alias("d")).first()
     assert row["b"] == "batch normalised policy bosse"  # -ses keeps its e by the rule
