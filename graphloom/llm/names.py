@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-#: Slips that all words of a name may have together.
-MOST_SLIPS = 4
-
 WORD = re.compile(r"[^\W_]+")
 
 #: British endings and the American ones that stand for them, longest first.
@@ -83,7 +80,7 @@ def word_slips(a: str, b: str) -> int | None:
 def distance(typed: list[str], meant: list[str], vocabulary=frozenset()) -> int | None:
     """Slips between two names, None if they are different names.
 
-    Names of as many words are compared word by word: stems may differ by the slips that their length allows, and a
+    Names of as many words are compared word by word: stems may differ by the slips that their length allows each, and a
     typed word that is itself a word of `vocabulary` (stems) stands for no other. Otherwise the words may be joined:
     then the texts without spaces are compared, and digits must agree.
     """
@@ -98,7 +95,7 @@ def distance(typed: list[str], meant: list[str], vocabulary=frozenset()) -> int
                 break
             total += n
         if total is not None:
-            return total if total <= MOST_SLIPS else None
+            return total
     if abs(len(typed) - len(meant)) > 2 and len(typed) != 1 and len(meant) != 1:
         return None
     a, b = "".join(typed), "".join(meant)

@@ -74,6 +74,11 @@ def test_names():
     assert d("", "a") is None
 
 
+def test_slips_count_per_word():
+    assert distance(words("dmpaed skecthnig bonuds"), words("damped sketching bound")) == 5
+    assert distance(words("dmpaed skecthnigx bonuds"), words("damped sketching bound")) is None
+
+
 def test_entries(spark):
     concepts = spark.createDataFrame([(0, "damped sketching", "DSK", "core loop"), (1, "damped neighbour tree", None, "core loop"), (2, "l1 vocabulary estimator", "", None), (3, "l2 vocabulary estimator", None, None)], "concept_id int, canonical string, alias_1 string, alias_2 string")
     typed = {
