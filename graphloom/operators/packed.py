@@ -2,15 +2,16 @@
 
 Method: dictionary-guided segmentation. A first pass over all records cuts each string at its delimiters outside
 quotes, brackets and escapes, and gives the dictionary of the values that were met whole: quoted, escaped, in JSON or
-alone in their record. Pieces of a bare cut aren't in it, since the cut is what is to be decided. A second pass finds,
-with one multi-pattern automaton, all known whole values between possible cuts, and dynamic programming picks the
-cheapest cover: a delimiter may stay inside a value only if that whole value is known, a known whole value costs less
-than any pieces of it, and among covers that overlap the one that leaves known values wins. So `reward, layered
-sketching` stays whole where it was seen quoted elsewhere, while other topics are parted. A piece that is itself
-quoted, escaped or from JSON is never joined with its neighbours.
+alone in their record. Pieces of a bare cut aren't in it, since the cut is what is to be decided. A second pass runs a
+multi-pattern automaton of the dictionary's values that hold delimiters over the texts, keeps the matches that begin
+and end at possible cuts, and dynamic programming picks the cheapest cover: a delimiter may stay inside a value only if
+that whole value is known, a known whole value costs less than any pieces of it, and among covers that overlap the one
+that leaves known values wins. So `reward, layered sketching` stays whole where it was seen quoted elsewhere, while
+other topics are parted. A piece that is itself quoted, escaped or from JSON is never joined with its neighbours.
 
-The automaton is broadcast only while the dictionary has at most `max_values` values (counted first); beyond it the
-same spans are found by a shuffle join of the candidate spans with the dictionary. Both give the same rows.
+The dictionary is sharded by the first piece of its values, with at most `max_values` values in a shard's automaton; a
+distinct text goes only to the shards of its own pieces, and shards that many texts ask for are salted. Nothing is
+broadcast, and the same path runs at every size.
 
 Defined results: null, empty and delimiter-only fields give no rows; positions count the non-empty values from 1;
 repeated values stay; a JSON array gives its elements (nulls left out); an unclosed quote is an ordinary character;
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, nonempty
+from graphloom.session import cut, lookup_join, nonempty, width
 
 #: Delimiters, quotes with their closing marks, and characters that a backslash escapes.
 DELIMITERS = "|;,\t\n\r、；，｜·•"
@@ -38,6 +40,8 @@ INLINE = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,4})[.)]\s+")
 
 #: Costs of a value: known, known with delimiters inside (less than two known pieces), met in bare cuts only.
 KNOWN, JOINED, UNKNOWN = 1.0, 1.5, 3.0
+#: Distinct texts that one salt of a shard takes.
+TEXTS = 200_000
 
 #: Delimiter text before a piece, the piece, and whether quotes, escapes or JSON held it together.
 Piece = tuple[str, str, bool]
@@ -131,54 +135,66 @@ def unmark(pieces: list[Piece]) -> list[Piece]:
     return out
 
 
-def cover(pieces: list[Piece], known: Callable[[str], bool], widest: int) -> list[str]:
-    """Cheapest cover of the pieces by values; `widest` is the most delimiters that a known value holds."""
+def cover(pieces: list[Piece], spans: Iterable[tuple[int, int]], singles: Iterable[int] = ()) -> list[str]:
+    """Cheapest cover of the pieces by values; `spans` are known values from piece i up to piece j, `singles` known pieces."""
+    joined, known = defaultdict(list), set(singles)
+    for i, j in sorted(spans):
+        joined[j].append(i)
+    if not joined:
+        return [p for _, p, _ in pieces]
     n = len(pieces)
-    best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    for i in range(n):
-        joined = pieces[i][1]
-        for j in range(i + 1, _reach(pieces, i, widest) + 1):
-            if j > i + 1:
-                joined = _join(joined, pieces[j - 1])
-            is_known = known(joined)
-            if j > i + 1 and not is_known:
-                continue
-            cost = best[i] + (UNKNOWN if not is_known else KNOWN if j == i + 1 else JOINED)
-            if cost < best[j]:
-                best[j], back[j] = cost, i
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    for j in range(1, n + 1):
+        best[j], back[j] = best[j - 1] + (KNOWN if pieces[j - 1][2] or j - 1 in known else UNKNOWN), j - 1
+        for i in joined[j]:
+            if best[i] + JOINED < best[j]:
+                best[j], back[j] = best[i] + JOINED, i
     out, j = [], n
     while j:
-        i = back[j]
-        joined = pieces[i][1]
-        for piece in pieces[i + 1 : j]:
-            joined = _join(joined, piece)
-        out.append(joined)
-        j = i
+        out.append(_text(pieces[back[j] : j]))
+        j = back[j]
     return out[::-1]
 
 
-def _reach(pieces: list[Piece], i: int, widest: int) -> int:
-    """End of the longest run of pieces from i that one value may hold; held pieces stand alone."""
-    j, last = i + 1, min(len(pieces), i + 1 + widest)
-    while j < last and not pieces[i][2] and not pieces[j][2]:
-        j += 1
-    return j
+def _gap(gap: str) -> str:
+    return " / " if gap == "/" else gap if gap == "|" else f"{gap} "
 
 
-def _join(left: str, piece: Piece) -> str:
-    gap, text, _ = piece
-    return f"{left} / {text}" if gap == "/" else f"{left}{gap}{text}" if gap == "|" else f"{left}{gap} {text}"
+def _text(pieces: list[Piece]) -> str:
+    """Pieces with the delimiters between them."""
+    return pieces[0][1] + "".join(_gap(g) + p for g, p, _ in pieces[1:])
 
 
-def spans(pieces: list[Piece], widest: int) -> list[str]:
-    """All texts that the cover may ask for."""
+def stretches(pieces: list[Piece]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of two or more pieces that nothing holds together."""
+    out, i = [], 0
+    while i < len(pieces):
+        j = i + 1
+        if not pieces[i][2]:
+            while j < len(pieces) and not pieces[j][2]:
+                j += 1
+            if j > i + 1:
+                out.append((i, j))
+        i = j
+    return out
+
+
+def matches(pieces: list[Piece], automaton) -> list[tuple[int, int]]:
+    """(i, j) of the automaton's values that reach from the start of piece i to the end of piece j - 1."""
     out = []
-    for i in range(len(pieces)):
-        joined = pieces[i][1]
-        out.append(joined)
-        for j in range(i + 1, _reach(pieces, i, widest)):
-            joined = _join(joined, pieces[j])
-            out.append(joined)
+    for a, b in stretches(pieces):
+        text = _text(pieces[a:b])
+        starts, ends, at = {}, {}, 0
+        for k in range(a, b):
+            if k > a:
+                at += len(_gap(pieces[k][0]))
+            starts[at] = k
+            at += len(pieces[k][1])
+            ends[at] = k + 1
+        for last, size in automaton.iter(text):
+            i, j = starts.get(last + 1 - size), ends.get(last + 1)
+            if i is not None and j is not None and j > i + 1:
+                out.append((i, j))
     return out
 
 
@@ -187,91 +203,112 @@ def _first_pass(column: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cuts = (unmark(atoms(text)[0]) for text in batch[column].dropna())
-            out = [v for pieces in cuts for _, v, held in pieces if held or len(pieces) == 1]
-            yield pd.DataFrame({"value": out}, dtype=object)
+            out = []
+            for value in (v for pieces in cuts for _, v, held in pieces if held or len(pieces) == 1):
+                parts = [(g, p.strip(), h) for g, p, h in atoms(value)[0] if p.strip()] or [("", value, True)]
+                out.append((_text(parts), parts[0][1], len(parts) - 1))
+            yield pd.DataFrame(out, columns=["value", "first", "cuts"])
 
     return run
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, cuts): values that the corpus has whole, apart from bare cuts, with their count and the delimiters that they hold."""
-    return (
-        df.select(column)
-        .mapInPandas(_first_pass(column), "value string")
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("cuts", F.regexp_count("value", F.lit(r"[|;,、；，｜·•]| / ")))
-    )
+    """(value, first, cuts, n): values that the corpus has whole, apart from bare cuts, with their first piece, the delimiters that they hold and their count."""
+    return df.select(column).mapInPandas(_first_pass(column), "value string, first string, cuts int").groupBy("value", "first", "cuts").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _automaton(values: list[str]):
-    import ahocorasick
+@nonempty
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(tid, first): pieces with which a value of several pieces may begin."""
+    for batch in batches:
+        out = []
+        for tid, text in zip(batch["tid"], batch["text"]):
+            pieces = unmark(atoms(text)[0])
+            out += [(tid, first) for first in {pieces[k][1] for a, b in stretches(pieces) for k in range(a, b - 1)}]
+        yield pd.DataFrame(out, columns=["tid", "first"])
 
-    automaton = ahocorasick.Automaton()
-    for value in values:
-        automaton.add_word(f"\x00{value}\x00", value)
-    automaton.make_automaton()
-    return automaton
 
+@nonempty
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([(tid, k, p) for tid, text in zip(batch["tid"], batch["text"]) for k, (_, p, _) in enumerate(unmark(atoms(text)[0]))], columns=["tid", "k", "value"])
 
-def _second_pass(id_col: str, column: str, broadcast, widest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    @nonempty
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(broadcast.value)
-        for batch in batches:
-            ids, pos, topics = [], [], []
-            for rec, text in zip(batch[id_col], batch[column]):
-                if text is None:
-                    continue
-                pieces = unmark(atoms(text)[0])
-                asked = spans(pieces, widest)
-                found = {v for _, v in automaton.iter("\x00" + "\x00\x00".join(asked) + "\x00")} if asked and len(automaton) else set()
-                for k, topic in enumerate(cover(pieces, found.__contains__, widest), 1):
-                    ids.append(rec)
-                    pos.append(k)
-                    topics.append(topic)
-            yield pd.DataFrame({id_col: ids, "pos": pos, "topic": topics})
-
-    return run
 
+@nonempty
+def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shard, the shard's values before its texts, to (tid, i, j) of the matches."""
+    import ahocorasick
 
-def _with_joined(df: DataFrame, id_col: str, column: str, values: DataFrame, widest: int) -> DataFrame:
-    """The same cover, with the known spans found by a join; for dictionaries that are too large to broadcast."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    shard, automaton, ready = None, None, False
+    for batch in batches:
+        out = []
+        for key, tid, text in zip(zip(batch["shard"], batch["sub"], batch["salt"]), batch["tid"], batch["text"]):
+            if key != shard:
+                shard, automaton, ready = key, ahocorasick.Automaton(), False
+            if tid < 0:
+                automaton.add_word(text, len(text))
+                continue
+            if not ready:
+                automaton.make_automaton()
+                ready = True
+            out += [(tid, i, j) for i, j in matches(unmark(atoms(text)[0]), automaton)]
+        yield pd.DataFrame(out, columns=["tid", "i", "j"])
+
+
+def known_spans(texts: DataFrame, values: DataFrame, max_values: int) -> DataFrame:
+    """(text, spans, singles) of the texts (tid, text) in which values with delimiters inside are met."""
+    several = values.filter("cuts > 0").select("value", "first")
+    shards = max(1, -(-several.count() // max(1, max_values)))
+    # a first piece with more values than a shard may hold is parted again, and its texts go to all parts
+    firsts = several.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / max(1, max_values)).cast("int").alias("parts"))
+    shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard")
+    sent = cut(
+        texts.mapInPandas(_asked, "tid long, first string").join(firsts, "first")
+        .select("tid", shard, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub")).distinct()
+    )
+    salts = sent.groupBy("shard", "sub").agg(F.ceil(F.count(F.lit(1)) / TEXTS).cast("int").alias("salts"))
+    held = several.join(firsts, "first").select(shard, F.pmod(F.xxhash64("value"), F.col("parts")).cast("int").alias("sub"), F.col("value").alias("text"))
+    patterns = held.join(salts, ["shard", "sub"]).select("shard", "sub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("tid"), "text")
+    asking = sent.join(salts, ["shard", "sub"]).join(texts, "tid").select("shard", "sub", F.pmod(F.xxhash64("tid"), F.col("salts")).cast("int").alias("salt"), "tid", "text")
+    met = cut(
+        patterns.unionByName(asking).repartition(width(texts), "shard", "sub", "salt").sortWithinPartitions("shard", "sub", "salt", F.col("tid") >= 0)
+        .mapInPandas(_match, "tid long, i int, j int").groupBy("tid").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
+    )
+    asked = texts.join(met.select("tid"), "tid", "left_semi")
+    singles = asked.mapInPandas(_pieces, "tid long, k int, value string").join(values.filter("cuts = 0").select("value"), "value").groupBy("tid").agg(F.collect_set("k").alias("singles"))
+    return cut(texts.join(met, "tid").join(singles, "tid", "left").select("text", "spans", "singles"))
 
-    @nonempty
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, s) for k, text in zip(batch["_row"], batch[column]) if text is not None for s in set(spans(unmark(atoms(text)[0]), widest))]
-            yield pd.DataFrame(rows, columns=["_row", "value"])
 
+def _second_pass(id_col: str, column: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     @nonempty
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, pos, topics = [], [], []
-            for rec, text, found in zip(batch[id_col], batch[column], batch["found"]):
-                have = set(() if found is None else found)
-                for k, topic in enumerate(cover(unmark(atoms(text)[0]), have.__contains__, widest), 1):
+            for rec, text, spans, singles in zip(batch[id_col], batch[column], batch["spans"], batch["singles"]):
+                spans = [] if spans is None else [(s["i"], s["j"]) for s in spans]
+                for k, topic in enumerate(cover(unmark(atoms(text)[0]), spans, () if singles is None else singles), 1):
                     ids.append(rec)
                     pos.append(k)
                     topics.append(topic)
             yield pd.DataFrame({id_col: ids, "pos": pos, "topic": topics})
 
-    rows = cut(df.filter(F.col(column).isNotNull()).select(id_col, column).withColumn("_row", F.monotonically_increasing_id()))
-    found = rows.select("_row", column).mapInPandas(ask, "_row long, value string").join(values.select("value"), "value").groupBy("_row").agg(F.collect_list("value").alias("found"))
-    return rows.join(found, "_row", "left").select(id_col, column, "found").mapInPandas(answer, f"`{id_col}` {id_type}, pos int, topic string")
+    return run
 
 
-def unpack(df: DataFrame, id_col: str = "summary_id", column: str = "key_topics", max_values: int = 300_000) -> DataFrame:
-    """(id_col, pos, topic): one row per value of every record."""
-    spark = df.sparkSession
+def unpack(df: DataFrame, id_col: str = "summary_id", column: str = "key_topics", max_values: int = 100_000) -> DataFrame:
+    """(id_col, pos, topic): one row per value of every record. `max_values`: values in one shard of the dictionary."""
     values = cut(dictionary(df, column))
-    size = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("cuts"), F.lit(0)).alias("widest")).first()
-    if size["n"] > max_values:
-        return _with_joined(df, id_col, column, values, int(size["widest"]))
-    broadcast = spark.sparkContext.broadcast([r[0] for r in values.select("value").toLocalIterator()])
+    rows = df.filter(F.col(column).isNotNull()).select(id_col, column)
+    spans = None
+    if not values.filter("cuts > 0").isEmpty():
+        texts = cut(rows.select(F.col(column).alias("text")).distinct().withColumn("tid", F.monotonically_increasing_id()))
+        spans = known_spans(texts.select("tid", "text"), values, max_values)
+    if spans is None or spans.isEmpty():
+        asked = rows.withColumns({"spans": F.lit(None).cast("array<struct<i:int,j:int>>"), "singles": F.lit(None).cast("array<int>")})
+    else:
+        asked = lookup_join(rows, spans.withColumnRenamed("text", column), column, "left")
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, column).mapInPandas(_second_pass(id_col, column, broadcast, int(size["widest"])), f"`{id_col}` {id_type}, pos int, topic string")
+    return asked.select(id_col, column, "spans", "singles").mapInPandas(_second_pass(id_col, column), f"`{id_col}` {id_type}, pos int, topic string")
 
 
 def topic_counts(df: DataFrame, id_col: str = "summary_id", column: str = "key_topics") -> DataFrame:

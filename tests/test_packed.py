@@ -70,3 +70,24 @@ def test_empty_repeated_and_long(spark):
 @pytest.mark.parametrize("text", ["\x00", "((((", '"' * 999, "\\", "[[1,2],{}]"])
 def test_odd_texts_do_not_fail(spark, text):
     values(spark, [text])
+
+
+@pytest.mark.parametrize("limit", [1, 2, 100_000])
+def test_one_two_and_three_inner_delimiters(spark, limit):
+    texts = [
+        '"a, b"; "c, d, e"; "f | g; h, i"', "a, b, x", "x, c, d, e, y", "z; f | g; h, i; a, b", "a; b", "c, d", "y", "b",
+        '"p, q"', '"q, r"', "r", "p, q, r",
+    ]
+    got = values(spark, texts, max_values=limit)
+    assert got[1:6] == [["a, b", "x"], ["x", "c, d, e", "y"], ["z", "f|g; h, i", "a, b"], ["a", "b"], ["c", "d"]]
+    assert got[11] == ["p, q", "r"]  # of covers that overlap the one that leaves a known value
+
+
+def test_own_pieces_do_not_vouch(spark):
+    assert values(spark, ["a, b", "b, c", "a, b, c"]) == [["a", "b"], ["b", "c"], ["a", "b", "c"]]
+
+
+def test_shards_are_salted_and_parted(spark, monkeypatch):
+    monkeypatch.setattr(p, "TEXTS", 2)
+    texts = [f'"a, v{k}"' for k in range(9)] + [f"a, v{k % 9}, w{k}" for k in range(40)]
+    assert values(spark, texts, max_values=2)[9:] == [[f"a, v{k % 9}", f"w{k}"] for k in range(40)]
