@@ -1,10 +1,11 @@
 """Hidden copies (problem 4): records that differ in dress only, collapsed and counted.
 
-Method: recursive radix partitioning on canonical bytes. Each record is reduced to a canonical key. Records are
-bucketed by a prefix of the key; buckets above `limit` rows are split by twice as many leading bytes until each fits
-or holds one key only. Each bucket is then counted by a trie with terminal counters, fed in key order, so that a task
-holds only the spine of the trie, however large the bucket is. A bucket that cannot be split any more (one key) is
-spread over salted tasks and its counters are added up.
+Method: recursive radix partitioning on canonical bytes. Each record is reduced to a canonical key, whose UTF-8 bytes
+are used. A level counts the rows of the prefixes of four lengths at once; a row's bucket is its shortest prefix with at
+most `limit` rows, and what is still oversized goes to the next level with longer prefixes. Each bucket is then counted
+by a byte trie with terminal counters: a terminal holds the record ids of its key, so it gives the number of copies, the
+record kept and its copies. A bucket of one key above the limit can't be split by bytes; it is spread over salts, each
+with a trie of its own, and the counters of its terminals are added up.
 
 Defined results: null in either field: the record is no case and no copy of any. Empty strings are values. Equal ids
 count as one record. Extra columns are ignored. An empty table gives an empty result.
@@ -12,13 +13,13 @@ count as one record. Extra columns are ignored. An empty table gives an empty re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, lookup_join, nonempty, width
+from graphloom.session import cut, nonempty, width
 
 #: LaTeX commands that only set space or bracket size, and delimiters of maths.
 SPACING = [r"\,", r"\:", r"\;", r"\!", r"\ ", r"\>", r"\quad", r"\qquad", r"\left", r"\right", "~", "$", r"\(", r"\)", r"\[", r"\]", r"\thinspace", r"\displaystyle"]
@@ -60,113 +61,141 @@ def canonical_records(df: DataFrame, id_col: str = "formula_id", name: str = "co
     )
 
 
-def radix_buckets(keyed: DataFrame, limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(rec_id, key, bucket) of all rows, and the buckets (bucket) of one key that are above `limit`.
+#: Oversized prefixes up to this number are broadcast (counted first), more are joined by shuffling.
+FEW = 20_000
 
-    Prefix lengths double (1, 2, 4, ...), so a level reads only what is still oversized, and the number of levels is
-    the logarithm of the longest key. Oversized buckets are kept as a DataFrame: at most rows / limit of them.
+
+def radix_buckets(keyed: DataFrame, limit: int = 50_000) -> DataFrame:
+    """(rec_id, key, bucket, salt, hot) of all rows of (rec_id, key): key and bucket in bytes, salts of buckets of one key.
+
+    A level tries prefixes of 1, 2, 4 and 8 times its first length, which is 16 times that of the level before, so the
+    number of levels is the logarithm of the longest key; a level reads only what is still oversized.
     """
-    rows = keyed.withColumn("bucket", F.substring("key", 1, 1))
-    hot, length = None, 1
+    open_, done, first = keyed.select("rec_id", F.col("key").cast("binary").alias("key")), None, 1
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        over = cut(sizes.filter(F.col("n") > limit).select("bucket", (F.col("lo") == F.col("hi")).alias("single")))
-        if over.isEmpty():
-            break
-        if over.filter(~F.col("single")).isEmpty():
-            hot = over.filter("single").select("bucket")
-            break
-        length *= 2
-        rows = rows.join(over.filter(~F.col("single")).select("bucket", F.lit(True).alias("split")), "bucket", "left").select(
-            "rec_id", "key", F.when(F.col("split"), F.substring("key", 1, length)).otherwise(F.col("bucket")).alias("bucket")
+        lengths = [first, 2 * first, 4 * first, 8 * first]
+        prefix = [F.struct(F.lit(n).alias("length"), F.substring("key", 1, n).alias("bucket")) for n in lengths]
+        sizes = open_.select(F.xxhash64("key").alias("h"), F.explode(F.array(*prefix)).alias("p")).groupBy("p.length", "p.bucket").agg(
+            F.count(F.lit(1)).alias("n"), (F.min("h") == F.max("h")).alias("single")
         )
-    if hot is None:
-        hot = keyed.sparkSession.createDataFrame([], "bucket string")
-    return rows, hot
-
-
-class SortedTrie:
-    """Trie over keys that arrive in order: only the right spine is kept, finished branches leave as counters."""
+        over = cut(sizes.filter(F.col("n") > limit).select("length", "bucket", F.when(F.col("single"), F.ceil(F.col("n") / limit).cast("int")).otherwise(0).alias("salts")))
+        n_over = over.count()
+        rows = open_.withColumns({"bucket": F.lit(None).cast("binary"), "salts": F.lit(0)})
+        if not n_over:
+            rows = rows.withColumn("bucket", F.substring("key", 1, first))
+        for n in lengths if n_over else ():
+            here = over.filter(F.col("length") == n).select(F.col("bucket").alias("_prefix"), F.col("salts").alias("_salts"))
+            here = F.broadcast(here) if n_over <= FEW else here
+            rows = rows.withColumn("_prefix", F.substring("key", 1, n)).join(here, "_prefix", "left")
+            fits = F.col("bucket").isNull() & (F.col("_salts").isNull() | (F.col("_salts") > 0))
+            rows = rows.select("rec_id", "key", F.when(fits, F.col("_prefix")).otherwise(F.col("bucket")).alias("bucket"), F.when(fits, F.coalesce("_salts", F.lit(0))).otherwise(F.col("salts")).alias("salts"))
+        more = bool(over.filter((F.col("length") == lengths[-1]) & (F.col("salts") == 0)).count())
+        rows = cut(rows) if more else rows
+        closed = rows.filter(F.col("bucket").isNotNull()) if more else rows
+        done = closed if done is None else done.unionByName(closed)
+        if not more:
+            hot = F.col("salts") > 0
+            return done.select("rec_id", "key", "bucket", F.when(hot, F.pmod(F.xxhash64("rec_id"), F.col("salts")).cast("int")).otherwise(0).alias("salt"), hot.alias("hot"))
+        open_, first = rows.filter(F.col("bucket").isNull()).select("rec_id", "key"), 16 * first
+
+
+class Node:
+    """Node of a byte trie whose edges hold runs of bytes; `ids` are the records that end here."""
+
+    __slots__ = ("edges", "ids", "label")
+
+    def __init__(self, label: bytes, ids: set[str] | None = None) -> None:
+        self.label, self.ids, self.edges = label, ids, {}
+
+
+class Trie:
+    """Counts keys: a terminal is a node with ids."""
 
     def __init__(self) -> None:
-        self.labels: list[str] = []  # edge labels of the spine, of any length
-        self.text, self.keep, self.count = None, None, 0
-
-    def add(self, key: str, rec_id: str) -> tuple[str, str, int] | None:
-        """Count one record; gives the finished terminal (key, smallest id, copies) when the key changes."""
-        if key == self.text:  # at the terminal of the spine
-            self.count += 1
-            self.keep = min(self.keep, rec_id)
-            return None
-        done = self.finish()
-        self._branch(key)
-        self.text, self.keep, self.count = key, rec_id, 1
-        return done
-
-    def _branch(self, key: str) -> None:
-        depth = 0
-        for k, label in enumerate(self.labels):  # walk down the common part, split the edge where the keys part
-            if key.startswith(label, depth):
-                depth += len(label)
-                continue
-            same = 0
-            while same < len(label) and depth + same < len(key) and label[same] == key[depth + same]:
-                same += 1
-            del self.labels[k:]
-            if same:
-                self.labels.append(label[:same])
-                depth += same
-            break
-        if depth < len(key):
-            self.labels.append(key[depth:])
-
-    def finish(self) -> tuple[str, str, int] | None:
-        return None if self.text is None else (self.text, self.keep, self.count)
-
-
-@nonempty
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in (bucket, key) order to one row per terminal."""
-    trie, bucket = SortedTrie(), None
-    for batch in batches:
-        out = []
-        for b, key, rec_id in zip(batch["bucket"], batch["key"], batch["rec_id"]):
-            if b != bucket:
-                if (last := trie.finish()) is not None:
-                    out.append(last)
-                trie, bucket = SortedTrie(), b
-            if (done := trie.add(key, rec_id)) is not None:
-                out.append(done)
-        yield pd.DataFrame(out, columns=["key", "keep_id", "copies"])
-    if (last := trie.finish()) is not None:
-        yield pd.DataFrame([last], columns=["key", "keep_id", "copies"])
-
-
-def copy_counts(keyed: DataFrame, limit: int = 20_000, salts: int = 64) -> DataFrame:
-    """(key, keep_id, copies): one row per canonical key. `keyed` has (rec_id, key)."""
-    keyed = cut(keyed.dropDuplicates(["rec_id", "key"]))
-    rows, hot = radix_buckets(keyed, limit)
-    salted = rows.join(hot.withColumn("hot", F.lit(True)), "bucket", "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rec_id"), F.lit(salts))).otherwise(F.lit(0))
-    )
-    counted = (
-        salted.repartition(width(keyed), "bucket", "salt")
-        .sortWithinPartitions("bucket", "key", "rec_id")
-        .select("bucket", "key", "rec_id")
-        .mapInPandas(_count, "key string, keep_id string, copies long")
-    )
-    return counted.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+        self.root = Node(b"")
+
+    def add(self, key: bytes, rec_id: str) -> None:
+        node, at = self.root, 0
+        while at < len(key):
+            child = node.edges.get(key[at])
+            if child is None:
+                node.edges[key[at]] = Node(key[at:], {rec_id})
+                return
+            label = child.label
+            if not key.startswith(label, at):  # the edge is split where the keys part
+                same, most = 1, min(len(label), len(key) - at)
+                while same < most and label[same] == key[at + same]:
+                    same += 1
+                middle = Node(label[:same])
+                child.label = label[same:]
+                middle.edges[child.label[0]] = child
+                node.edges[key[at]] = child = middle
+            node = child
+            at += len(child.label)
+        if node.ids is None:
+            node.ids = set()
+        node.ids.add(rec_id)
+
+    def terminals(self) -> Iterator[tuple[bytes, set[str]]]:
+        """(key, ids) of every key."""
+        stack = [(b"", self.root)]
+        while stack:
+            path, node = stack.pop()
+            path += node.label
+            if node.ids is not None:
+                yield path, node.ids
+            stack += [(path, child) for child in node.edges.values()]
+
+
+def _tries(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows in order of their buckets to one row per terminal with at least `least` ids; all of hot buckets."""
+
+    @nonempty
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie, now, hot, out = Trie(), None, False, []
+
+        def leave() -> None:
+            for key, ids in trie.terminals():
+                if hot or len(ids) >= least:
+                    keep = min(ids)
+                    out.append((key if hot else None, keep, list(ids)))
+
+        for batch in batches:
+            for bucket, salt, is_hot, key, rec_id in zip(batch["bucket"], batch["salt"], batch["hot"], batch["key"], batch["rec_id"]):
+                if (bucket, salt) != now:
+                    leave()
+                    trie, now, hot = Trie(), (bucket, salt), is_hot
+                trie.add(key, rec_id)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["key", "keep_id", "ids"])
+                out = []
+        leave()
+        yield pd.DataFrame(out, columns=["key", "keep_id", "ids"])
+
+    return run
+
+
+def copy_counts(keyed: DataFrame, limit: int = 50_000, least: int = 1) -> DataFrame:
+    """(keep_id, ids): one row per canonical key with at least `least` records; `keyed` has (rec_id, key).
+
+    The terminals of a hot key come in several rows, one per salt, with the same keep_id.
+    """
+    rows = radix_buckets(keyed, limit).repartition(width(keyed), "bucket", "salt").sortWithinPartitions("bucket", "salt")
+    ends = cut(rows.select("bucket", "salt", "hot", "key", "rec_id").mapInPandas(_tries(least), "key binary, keep_id string, ids array<string>"))
+    hot = ends.filter(F.col("key").isNotNull())  # one row per hot key and salt
+    kept = hot.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= least)
+    return ends.filter(F.col("key").isNull()).select("keep_id", "ids").unionByName(hot.drop("keep_id").join(kept, "key").select("keep_id", "ids"))
 
 
-def hidden_copies(df: DataFrame, id_col: str = "formula_id", name: str = "concept", latex: str = "latex", limit: int = 20_000) -> DataFrame:
+def hidden_copies(df: DataFrame, id_col: str = "formula_id", name: str = "concept", latex: str = "latex", limit: int = 50_000) -> DataFrame:
     """(keep_id, dup_id): one row per further record of each group of copies."""
     keyed = cut(canonical_records(df, id_col, name, latex))
-    groups = copy_counts(keyed, limit).filter("copies > 1").select("key", "keep_id")
-    return lookup_join(keyed.dropDuplicates(["rec_id", "key"]), groups, "key").filter("rec_id <> keep_id").select("keep_id", F.col("rec_id").alias("dup_id"))
+    return copy_counts(keyed, limit, 2).select("keep_id", F.explode("ids").alias("dup_id")).filter("dup_id <> keep_id")
 
 
-def collapse(df: DataFrame, id_col: str = "formula_id", name: str = "concept", latex: str = "latex", limit: int = 20_000) -> DataFrame:
+def collapse(df: DataFrame, id_col: str = "formula_id", name: str = "concept", latex: str = "latex", limit: int = 50_000) -> DataFrame:
     """(keep_id, copies): one row per formula with its number of records; records with a null value stand alone."""
-    groups = copy_counts(canonical_records(df, id_col, name, latex), limit).select("keep_id", "copies")
+    keyed = cut(canonical_records(df, id_col, name, latex))
+    groups = copy_counts(keyed, limit).groupBy("keep_id").agg(F.sum(F.size("ids")).cast("long").alias("copies"))
     alone = df.filter(F.col(name).isNull() | F.col(latex).isNull()).select(F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("copies"))
     return groups.unionByName(alone.distinct())
