@@ -45,20 +45,25 @@ class Sums:
         a = np.arange(1, gap // 2 + 1)
         if not len(a):
             return None
-        both = np.minimum(self.counts[a], self.counts[gap - a])
-        for k in np.argsort(-both, kind="stable")[:4]:
-            found = (int(gap - a[k]), int(a[k]))
-            if both[k] > 0 and self.has(used + found):
-                self.pairs[gap] = found
-                return found
-        return None
+        left = self.counts[: gap].copy()
+        for size in used:
+            if size < gap:
+                left[size] -= 1
+        both = np.minimum(left[a], left[gap - a])
+        if gap % 2 == 0:
+            both[-1] = left[gap // 2] // 2  # the same size twice
+        k = int(np.argmax(both))
+        if both[k] <= 0:
+            return None
+        self.pairs[gap] = (int(gap - a[k]), int(a[k]))
+        return self.pairs[gap]
 
     def triple(self, gap: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
         if (known := self.triples.get(gap)) and self.has(used + known):
             return known
         sizes = np.flatnonzero(self.counts[: gap - 1])
         for a in sizes[sizes >= gap / 3][::-1]:
-            if (rest := self.pair(gap - int(a), used + (int(a),))) is not None:
+            if self.has((*used, int(a))) and (rest := self.pair(gap - int(a), used + (int(a),))) is not None:
                 self.triples[gap] = (int(a), *rest)
                 return self.triples[gap]
         return None
