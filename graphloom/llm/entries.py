@@ -5,8 +5,10 @@ inverted index of character trigrams of the reference forms, scored by weighted
 threshold and with a margin over the next entry. An exact check of the words follows: each word must agree up to
 inflection, spelling and slips, so that another content word makes another concept.
 
-The reference list is read in blocks of `block` forms, each broadcast in turn, and the best two entries of a value
-over all blocks decide; so the list has no size limit. Values are deduplicated before and joined back after.
+The words and the gram weights of the whole reference list are joined to the values and forms first. Then the list is
+read in blocks of `block` forms, each broadcast in turn, and the best two entries of a value over all blocks decide; so
+the list has no size limit and blocks of any size give the same rows. Values are deduplicated before and joined back
+after.
 
 Defined results: null names: no row (for found) or entry null; a name that denotes none: -1; a form that stands for
 several entries, met exactly: the smallest id of them. Empty tables give empty results; extra columns are ignored.
@@ -57,85 +59,121 @@ def grams(text: str) -> Counter:
     return Counter(padded[i : i + 3] for i in range(len(padded) - 2))
 
 
+#: Slips of an exact hit by the r-th reading are EXACT + r, so that earlier readings win over all blocks.
+EXACT = -10
+
+
 class FormIndex:
-    """Inverted index of character trigrams over the forms of the reference list."""
-
-    def __init__(self, forms: list[tuple[int, str]], vocabulary: frozenset[str]) -> None:
-        self.forms = [(i, words(f)) for i, f in forms]
-        self.vocabulary = vocabulary
-        counts = [grams("".join(w)) for _, w in self.forms]
-        df = Counter(g for c in counts for g in c)
-        self.idf = {g: 1 + math.log(len(counts) / n) for g, n in df.items()}
+    """Inverted index of character trigrams over some forms (entry, form, weights) of the reference list."""
+
+    def __init__(self, forms: list[tuple[int, str, dict[str, float]]]) -> None:
+        self.forms = [(i, words(f)) for i, f, _ in forms]
         lists: dict[str, list] = defaultdict(list)
-        for k, c in enumerate(counts):
-            norm = math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in c.items())) or 1.0
-            for g, n in c.items():
-                lists[g].append((k, n * self.idf[g] / norm))
+        for k, (_, form, idf) in enumerate(forms):
+            c = {g: n * idf[g] for g, n in grams("".join(words(form))).items()}
+            norm = math.sqrt(sum(w * w for w in c.values())) or 1.0
+            for g, w in c.items():
+                lists[g].append((k, w / norm))
         self.lists = {g: (np.array([k for k, _ in v]), np.array([w for _, w in v])) for g, v in lists.items()}
         self.exact: dict[str, int] = {}
         for i, w in self.forms:
             key = "".join(w)
             self.exact[key] = min(i, self.exact.get(key, i))
 
-    def candidates(self, reading: list[str], least: float) -> list[tuple[int, float]]:
+    def candidates(self, reading: list[str], idf: dict[str, float], least: float) -> list[tuple[int, float]]:
         """(form, cosine) of all forms with a weighted cosine of at least `least`; grams that no form has weigh nothing."""
-        c = {g: n * self.idf[g] for g, n in grams("".join(reading)).items() if g in self.idf}
-        if not c:
+        c = {g: n * idf[g] for g, n in grams("".join(reading)).items() if g in idf}
+        met = [g for g in c if g in self.lists]
+        if not met:
             return []
         norm = math.sqrt(sum(w * w for w in c.values()))
-        at = np.concatenate([self.lists[g][0] for g in c])
-        score = np.bincount(at, np.concatenate([self.lists[g][1] * w for g, w in c.items()]), len(self.forms)) / norm
+        at = np.concatenate([self.lists[g][0] for g in met])
+        score = np.bincount(at, np.concatenate([self.lists[g][1] * c[g] for g in met]), len(self.forms)) / norm
         return [(int(k), float(score[k])) for k in np.flatnonzero(score >= least)]
 
-    def best(self, text: str, least: float) -> list[tuple[int, int, float]]:
+    def best(self, text: str, vocabulary: frozenset[str], idf: dict[str, float], least: float) -> list[tuple[int, int, float]]:
         """(entry, slips, cosine) of the closest entries that pass the check, closest first, one form each."""
         best: dict[int, tuple[int, float]] = {}
-        for reading in readings(text, self.vocabulary):
+        for r, reading in enumerate(readings(text, vocabulary)):
             if (entry := self.exact.get("".join(reading))) is not None:
-                return [(entry, -1, 1.0)]
-            for k, score in self.candidates(reading, least):
+                return [(entry, EXACT + r, 1.0)]
+            for k, score in self.candidates(reading, idf, least):
                 entry, form = self.forms[k]
                 if len("".join(form)) < 5 and form != reading:
                     continue  # an acronym is met exactly or not at all
-                n = distance(reading, form, self.vocabulary)
+                n = distance(reading, form, vocabulary)
                 if n is not None and (entry not in best or (n, -score) < (best[entry][0], -best[entry][1])):
                     best[entry] = (n, score)
         return sorted(((e, n, s) for e, (n, s) in best.items()), key=lambda x: (x[1], -x[2], x[0]))[:2]
 
 
-def _search(index_data, least: float):
+def _search(forms, least: float):
     @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = FormIndex(*index_data.value)
+        index = FormIndex(forms.value)
         for batch in batches:
-            out = [(t, e, n, s) for t in batch["typed"] for e, n, s in index.best(t, least)]
+            out = [(t, e, n, s) for t, own, idf in zip(batch["typed"], batch["own"], batch["idf"]) for e, n, s in index.best(t, frozenset(own), dict(idf), least)]
             yield pd.DataFrame(out, columns=["typed", "entry", "slips", "score"])
 
     return run
 
 
+@nonempty
+def _stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([(t, s) for t in batch["text"] for s in {stem(w) for w in words(t)}], columns=["text", "stem"])
+
+
+@nonempty
+def _form_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([(t, g) for t in batch["text"] for g in grams("".join(words(t)))], columns=["text", "gram"])
+
+
+@nonempty
+def _value_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([(t, g) for t, own in zip(batch["text"], batch["own"]) for g in {g for r in readings(t, frozenset(own)) for g in grams("".join(r))}], columns=["text", "gram"])
+
+
+def _collected(rows: DataFrame, pairs: DataFrame, column: str, kind: str) -> DataFrame:
+    """`rows` (text, ...) with what `pairs` (text, ...) gathered by text, empty where there is nothing."""
+    return rows.join(pairs, "text", "left").withColumn(column, F.coalesce(column, F.from_json(F.lit("{}" if kind.startswith("map") else "[]"), kind)))
+
+
 def match_values(values: DataFrame, forms: DataFrame, least: float = 0.45, margin: float = 0.02, block: int = 50_000) -> DataFrame:
     """(typed, entry, slips, score) of the distinct texts `typed` that denote an entry of forms (entry INT, form STRING).
 
-    Accepted: cosine of at least `least`, words that pass the check, and either fewer slips than the next entry or a
-    cosine that is better by `margin`.
+    Accepted: an exact form (slips -1; of several entries the smallest id), or a cosine of at least `least` and words
+    that pass the check, with fewer slips than the next entry or a cosine that is better by `margin`.
     """
     spark = values.sparkSession
     forms = cut(forms.filter(F.col("form").isNotNull() & (F.trim("form") != "")).distinct())
-    blocks = max(1, math.ceil(forms.count() / block))
-    numbered = forms.withColumn("block", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
-    values = cut(values.select("typed").filter(F.col("typed").isNotNull()).distinct().repartition(spark.sparkContext.defaultParallelism * 2))
-    vocabulary = frozenset(stem(w) for (form,) in forms.select("form").toLocalIterator() for w in words(form)) if blocks == 1 else None
+    n_forms = forms.count()
+    blocks = max(1, math.ceil(n_forms / block))
+    texts = forms.select(F.col("form").alias("text"))
+    vocabulary = texts.mapInPandas(_stems, "text string, stem string").select("stem").distinct()
+    # a form of several entries counts once for each, as it stands in the index once for each
+    in_forms = texts.mapInPandas(_form_grams, "text string, gram string")
+    weights = cut(in_forms.groupBy("gram").agg((1 + F.log(F.lit(float(n_forms)) / F.count(F.lit(1)))).alias("w")))
+    gathered = lambda pairs: pairs.join(weights, "gram").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("idf"))
+
+    asked = cut(values.select(F.col("typed").alias("text")).filter(F.col("text").isNotNull()).distinct().repartition(spark.sparkContext.defaultParallelism * 2))
+    own = asked.mapInPandas(_stems, "text string, stem string").join(vocabulary, "stem").groupBy("text").agg(F.collect_set("stem").alias("own"))
+    asked = _collected(asked, own, "own", "array<string>")
+    asked = cut(_collected(asked, gathered(asked.mapInPandas(_value_grams, "text string, gram string")), "idf", "map<string,double>").withColumnRenamed("text", "typed"))
+    numbered = cut(
+        _collected(forms.withColumnRenamed("form", "text"), gathered(in_forms.distinct()), "idf", "map<string,double>").withColumn("block", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
+    )
     found = None
     for b in range(blocks):
-        part = [(r[0], r[1]) for r in numbered.filter(F.col("block") == b).select("entry", "form").collect()]  # one block
-        own = vocabulary if vocabulary is not None else frozenset(stem(w) for _, f in part for w in words(f))
-        hits = values.mapInPandas(_search(spark.sparkContext.broadcast((part, own)), least), "typed string, entry int, slips int, score double")
+        part = [(r["entry"], r["text"], r["idf"]) for r in numbered.filter(F.col("block") == b).collect()]  # one block
+        hits = asked.mapInPandas(_search(spark.sparkContext.broadcast(part), least), "typed string, entry int, slips int, score double")
         found = hits if found is None else found.unionByName(hits)
     ranked = found.groupBy("typed").agg(F.array_sort(F.collect_list(F.struct("slips", (-F.col("score")).alias("minus"), "entry"))).alias("r"))
     first, second = F.col("r")[0], F.get("r", F.lit(1))
-    clear = second.isNull() | (first["slips"] < second["slips"]) | (second["minus"] - first["minus"] >= margin)
-    return ranked.filter(clear).select("typed", first["entry"].alias("entry"), first["slips"].alias("slips"), (-first["minus"]).alias("score"))
+    clear = second.isNull() | (first["slips"] < 0) | (first["slips"] < second["slips"]) | (second["minus"] - first["minus"] >= margin)
+    return ranked.filter(clear).select("typed", first["entry"].alias("entry"), F.greatest(first["slips"], F.lit(-1)).alias("slips"), (-first["minus"]).alias("score"))
 
 
 def concept_forms(concepts: DataFrame, id_col: str = "concept_id") -> DataFrame:

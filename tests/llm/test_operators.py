@@ -35,7 +35,7 @@ def formulas(spark, rows):
     return clash(spark.createDataFrame(rows, "formula_id string, concept string, latex string"))
 
 
-@pytest.mark.parametrize("limit", [1, 3, 20_000])
+@pytest.mark.parametrize("limit", [1, 3, 50_000])
 def test_copies(spark, limit):
     got = {tuple(r) for r in copies.hidden_copies(formulas(spark, FORMULAS), limit=limit).collect()}
     assert got == {("f1", "f2"), ("f1", "f3")}
@@ -53,6 +53,15 @@ def test_copies_of_a_hot_group_match_brute_force(spark):
     assert {tuple(r) for r in copies.hidden_copies(formulas(spark, rows), limit=16).collect()} == want
 
 
+def test_trie_counts_keys():
+    trie = copies.Trie()
+    keys = [b"", b"a", b"ab", b"abc", b"abd", b"b\x00", b"b", b"abc", "é".encode(), "è".encode()]
+    for k, key in enumerate(keys):
+        trie.add(key, str(k))
+    trie.add(b"abc", "3")  # an equal id counts once
+    assert {k: len(v) for k, v in trie.terminals()} == {k: keys.count(k) for k in keys}
+
+
 def test_copies_empty(spark):
     assert copies.hidden_copies(formulas(spark, [])).count() == 0
     assert copies.collapse(formulas(spark, [])).count() == 0
@@ -94,6 +103,15 @@ def test_entries(spark):
     assert {r["typed"]: r["entry"] for r in by_block.collect()}["dampd  sketching"] == 0
 
 
+def test_entries_do_not_depend_on_blocks(spark):
+    forms = [(k, "core loop") for k in (3, 5, 8, 9, 12)] + [(1, "damped sketching"), (2, "nested bound"), (20, "bounds of nested trees"), (21, "damped sketchings of trees")]
+    typed = [("core loop",), ("Core  Loop",), ("loop, core",), ("dampd sketching",), ("tested bound",), ("nestd bound",), ("trees bounds",), ("core lop",), (None,)]
+    forms, typed = spark.createDataFrame(forms, "entry int, form string"), spark.createDataFrame(typed, "typed string")
+    got = [sorted(tuple(r) for r in entries.match_values(typed, forms, block=b).collect()) for b in (1, 7, 50_000)]
+    assert got[0] == got[1] == got[2]
+    assert {r[0]: r[1] for r in got[0]}["core loop"] == 3 and {r[0]: r[1] for r in got[0]}["loop, core"] == 3
+
+
 # ---------------------------------------------------------------- overlap
 
 
@@ -153,6 +171,15 @@ def test_encoding_equals_the_public_tokenizer(spark):
     assert encoding.encode(texts(spark, [])).count() == 0
 
 
+def test_pairs_are_found_behind_used_sizes():
+    import numpy as np
+
+    counts = np.zeros(101, int)
+    counts[[5, 6, 7, 8, 9, 11, 12, 13, 14, 15]] = 1
+    assert packing.Sums(counts).pair(20, (15, 14, 13, 12)) == (11, 9)
+    assert packing.Sums(counts).pair(20, (15, 14, 13, 12, 9)) is None
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_valid_and_tight(spark, seed):
     rng = random.Random(seed)
