@@ -2,11 +2,12 @@
 
 Method: the corpus vocabulary is kept as a trie in table form, one row per node (prefix) with the count of the words
 that end there and of those that go on; a value's final token is looked up in it by a join, so the trie has no size
-limit. A value whose final token is an unknown proper prefix of known words ends inside a word. Together with it count
-how the text ends (open brackets and formulas, marks of omission, no closing punctuation) and the lengths of the
-values: lengths that are much more frequent than their neighbours are field limits. Whether a text may end in a formula
-is learnt from what the corpus shows after the word before the formula. Page footers after the body are left out
-first, by the line model of the noise operator.
+limit. A value without a closing mark whose final token is an unknown proper prefix of known words ends inside a word.
+Lengths that are much more frequent than their neighbours are field limits, and a value of such a length without a
+closing mark is cut whatever its last word. A cut between two words off the limits leaves no prefix: such a value is a
+case if its final token is a word of the trie and no closing mark follows. Open brackets and formulas and marks of
+omission are evidence by themselves. Whether a text may end in a formula is learnt from what the corpus shows after the
+word before the formula. Page footers after the body are left out first, by the line model of the noise operator.
 
 Defined results: null and blank values are no cases; a record delivered twice counts once; captions (`Figure 3: ...`)
 and keyword lists are cases only if they end in an unknown prefix at a field limit. Extra columns are ignored.
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.noise import BODY, features, fit_line_model
 from graphloom.llm.vocabulary import FORMULA_RE, strip_edges, word_counts
-from graphloom.session import cut, nonempty
+from graphloom.session import cut, lookup_join, nonempty
 
 OMISSION = re.compile(r"(?:\[(?:\.{3}|…)\]|\.{3}|…)$")
 CLOSERS = "\"'”’»)]*"
 LABEL = re.compile(r"(?:[A-Z][a-z]+ [A-Z]?\d+(?:\.\d+)*[:.] |(?:key ?words|topics|terms|index)\s*: )[^.!?]*$", re.I)
+ABBREVIATION = re.compile(r"[(\[]?(?:Fig|Figs|Eq|Eqs|Sec|Tab|Ch|No|pp?|cf|vs|e\.g|i\.e)\.$")
 ENDING = "tbl string, rec_key string, source string, ending string, token string, lead string, length int"
 
 
@@ -47,11 +49,14 @@ def ending(text: str) -> tuple[str, str, str]:
     if t.count("$") % 2:
         return "open", "", ""
     core = t.rstrip(CLOSERS)
-    last = re.split(r"(?<=[.!?])\s+(?=[A-Z])", t[-600:])[-1]
-    if re.match(r"(?:Fig|Eq|Sec|Tab|No|pp?|cf|vs|e\.g|i\.e)\.", last) and len(last) < 8:
-        last = t[-200:]
+    sentences = re.split(r"(?<=[.!?])\s+(?=[A-Z])", t)
+    k = len(sentences) - 1
+    last = sentences[k]
+    while k and ABBREVIATION.match(sentences[k - 1].rsplit(None, 1)[-1]):  # no sentence ended there
+        k -= 1
+        last = f"{sentences[k]} {last}"
     bare_last = FORMULA_RE.sub(" ", last)
-    if bare_last.count("(") > bare_last.count(")") or bare_last.count("[") > bare_last.count("]"):
+    if bare_last.count("(") > bare_last.count(")") or bare_last.rfind("[") > max(map(bare_last.rfind, ")]")):
         return "open", token, ""
     if t.endswith("$"):
         before = t[: t.rfind("$", 0, len(t) - 1)].split()
@@ -86,14 +91,28 @@ def _endings(tbl: str, model) -> object:
     return run
 
 
+#: Characters of a word that are laid out as nodes; longer tokens are met by this prefix and then compared.
+DEEP = 60
+
+
 def trie(words: DataFrame) -> DataFrame:
-    """(prefix, n_word, n_below): nodes of the vocabulary trie with the words that end at or go on below each."""
-    nodes = words.filter(F.length("word") <= 60).select("n", F.col("word"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
-    return nodes.select(F.substring("word", F.lit(1), F.col("k")).alias("prefix"), (F.col("k") == F.length("word")).alias("ends"), "n").groupBy("prefix").agg(
-        F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("n_word"), F.sum(F.when(~F.col("ends"), F.col("n")).otherwise(0)).alias("n_below")
+    """(prefix, n_word, n_below): nodes of the vocabulary trie with the words that end at or go on below each, down to DEEP characters."""
+    nodes = words.select("n", "word", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(DEEP)))).alias("k"))
+    ends = F.col("k") == F.length("word")
+    return nodes.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("prefix")).agg(
+        F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("n_word"), F.sum(F.when(~ends, F.col("n")).otherwise(0)).alias("n_below")
     )
 
 
+def looked_up(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, n_word, n_below) of distinct tokens in the trie of the vocabulary."""
+    near = tokens.filter(F.length("token") <= DEEP).join(trie(words).withColumnRenamed("prefix", "token"), "token")
+    head = lambda c: F.substring(c, 1, DEEP)
+    far = tokens.filter(F.length("token") > DEEP).withColumn("head", head("token")).join(words.filter(F.length("word") > DEEP).withColumn("head", head("word")), "head").filter(F.startswith("word", "token"))
+    same = F.col("word") == F.col("token")
+    return near.unionByName(far.groupBy("token").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("n_word"), F.sum(F.when(~same, F.col("n")).otherwise(0)).alias("n_below")))
+
+
 def length_limits(values: DataFrame, least: int = 5, ratio: float = 4.0) -> DataFrame:
     """(tbl, length): lengths at least `ratio` times as frequent as the mean of the five on either side."""
     counts = values.groupBy("tbl", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -103,7 +122,7 @@ def length_limits(values: DataFrame, least: int = 5, ratio: float = 4.0) -> Data
 
 def formula_leads(texts: DataFrame) -> DataFrame:
     """(lead, end_share): how often a formula after this word ends its text or sentence."""
-    found = F.regexp_extract_all("text", F.lit(r"(?U)(\S+)\s+\$[^$\n]{1,200}\$\s*([.!?]|\z|\S)"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(r"(?U)(\S+)\s+\$[^$\n]+\$\s*([.!?]|\z|\S)"), F.lit(0))
     one = texts.select(F.explode(found).alias("m"))
     lead, after = F.lower(F.regexp_extract("m", r"(?U)^(\S+)", 1)), F.regexp_extract("m", r"(?U)\$\s*(\S?)$", 1)
     tail = F.when(F.col("m").rlike(r"\$\s*$"), True).otherwise(after.isin(".", "!", "?", "$"))
@@ -119,17 +138,22 @@ def judged(passages: DataFrame, contexts: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast(fit_line_model(p, "text", "page", "rec_key"))
     ends = cut(p.mapInPandas(_endings("passage", model), ENDING).unionByName(c.mapInPandas(_endings("source_context", None), ENDING)))
     both = p.select("text").unionByName(c.select("text"))
-    nodes = trie(word_counts(both))
     leads = formula_leads(both)
+    # endings without a token, or without a word before a formula, take no part in the joins: '' would be a hot key
+    nodes = cut(looked_up(ends.filter("token <> ''").select("token").distinct(), word_counts(both)))
+    nothing = lambda d, *cs: d.withColumns({c: F.lit(None).cast(t) for c, t in cs})
+    with_token = lookup_join(ends.filter("token <> ''"), nodes, "token", "left").unionByName(nothing(ends.filter("token = ''"), ("n_word", "long"), ("n_below", "long")))
     looked = (
-        ends.join(nodes.withColumnRenamed("prefix", "token"), "token", "left")
-        .join(leads, "lead", "left")
+        lookup_join(with_token.filter("lead <> ''"), leads, "lead", "left").unionByName(nothing(with_token.filter("lead = ''"), ("end_share", "double")))
         .join(length_limits(ends).withColumn("limit", F.lit(True)), ["tbl", "length"], "left")
     )
     inside = (F.coalesce("n_below", F.lit(0)) > 0) & (F.coalesce("n_word", F.lit(0)) * 20 < F.coalesce("n_below", F.lit(0)))
     at_limit = F.coalesce("limit", F.lit(False))
+    # without a length limit a bare ending must be met in the trie: as a proper prefix, or as a word after which texts go on
+    met = inside | (F.coalesce("n_word", F.lit(0)) > 0)
     is_cut = (
-        F.when(F.col("ending").isin("omission", "open", "bare"), True)
+        F.when(F.col("ending").isin("omission", "open"), True)
+        .when(F.col("ending") == "bare", met | at_limit)
         .when(F.col("ending") == "formula", (F.coalesce("end_share", F.lit(1.0)) < 0.5) & ~F.col("lead").rlike("[.!?:]$"))
         .when(F.col("ending") == "number", at_limit)
         .when(F.col("ending") == "label", at_limit & inside)

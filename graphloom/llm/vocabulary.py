@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Formulas, which hold no words.
-FORMULA = r"\$[^$\n]{0,400}\$"
+FORMULA = r"\$[^$\n]*\$"
 #: What may surround a word without belonging to it.
 EDGE = r"^[(\[{\"'“‘„«.,;:!?…*_–—-]+|[)\]}\"'”’»“.,;:!?…*_–—-]+$"
 EDGE_RE = re.compile(EDGE)
