@@ -2,10 +2,11 @@
 
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy (see pii_train). A text is cut
 into overlapping windows; all windows of a block of texts run through the network together; every window is decoded
-by Viterbi, and each character takes the label of the window in which it stands furthest from the edges. Runs of
-labels are then checked exactly: the mention that the grammar of its type allows and that overlaps the run best is
-taken, so that it starts and ends where it should; a run that no mention fits is dropped. A mention found once in a
-text counts wherever the same text stands again in it.
+by Viterbi, and each character takes the label of the window in which it stands furthest from the edges. A mention is
+a first character and the stretch of characters of one type behind it. Mentions are reconciled over the whole text:
+they are widened to whole words, those that can't be of their type (an address of mail without a domain, a phone
+number of three digits) are dropped, and a mention found once counts wherever the same text stands again in it. No
+list of words and no pattern of a type decides what comes out.
 
 Texts in capitals, of any script and of any length are read whole; windows of all texts of a block are batched, so a
 long text costs no more than as many short ones.
@@ -17,6 +18,7 @@ repeated ids are handled row by row and give each row once. Extra columns are ig
 from __future__ import annotations
 
 import io
+import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +26,17 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import nonempty
+from graphloom.session import nonempty, width
 
 TYPES = ["email", "phone", "identity", "address", "name"]
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, MARGIN, BATCH = 192, 24, 768
+#: Label of the first character of a mention.
+FIRST = len(TYPES) + 1
+AT = re.compile(r"[@＠]|\b(?:at|AT)\b")
 
 # ---------------------------------------------------------------- characters
 
@@ -60,128 +64,11 @@ def encode(text: str) -> np.ndarray:
     return np.fromiter(map(char_id, text), dtype=np.int16, count=len(text))
 
 
-# ---------------------------------------------------------------- grammar of the types
-
-TOKEN = r"(?:\p{Lu}[\p{L}\p{M}’']+(?:-\p{L}[\p{L}\p{M}’']*)*)"
-INITIAL = r"(?:\p{Lu}\.)"
-PARTICLE = r"(?:(?i:de la|de los|de|van der|van den|van|von der|von|del|della|di|da|dos|bin|ibn|ter|zu) |(?i:al-|el-|d’|d'))"
-ROAD = r"(?i:Street|St\.|St|Avenue|Ave\.|Ave|Road|Rd\.|Rd|Boulevard|Blvd\.|Blvd|Drive|Dr\.|Dr|Lane|Ln\.|Ln|Court|Ct\.|Ct|Terrace|Gardens|Row|Place|Pl|Square|Sq|Way|Close|Crescent|Mews|Grove|Hill|Park|Walk)"
-CITY = rf"(?:{TOKEN}(?: {TOKEN})?)"
-WEB = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
-AT, DOT = r"(?: ?[@＠] ?| ?[\[(](?i:at)[\])] ?| AT )", r"(?:\.| ?[\[(](?i:dot)[\])] ?| DOT )"
-
-GRAMMAR = {
-    "email": [rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}_%+-]+(?:\.[\p{{L}}\p{{N}}_%+-]+)*{AT}{WEB}(?:{DOT}{WEB})*{DOT}(?!(?i:ckpt|cached|py|ipynb|pt|bin|json|csv|txt|log)\b)\p{{L}}{{2,}}(?![\p{{L}}\p{{N}}])"],
-    "phone": [
-        r"(?<![\p{L}\d.+/-])(?:\+|00 ?)\d{1,3}[ .-]?(?:\(0?\d{0,4}\)[ .-]?)?\d(?:[ ./-]?\d){5,12}(?![\p{L}\d])",
-        r"(?<![\p{L}\d.+/-])\(\d{2,5}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,3}(?![\p{L}\d])",
-        r"(?<![\p{L}\d.+/-])(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}(?![\p{L}\d])",
-        r"(?<![\p{L}\d.+/-])0\d{1,4}(?:[ ./-]\d{2,8}){1,5}(?![\p{L}\d])",
-        r"(?<![\p{L}\d.+/-])0\d{9,12}(?![\p{L}\d])",
-    ],
-    "identity": [
-        r"(?<![\p{L}\d.-])\d{3}[- ]\d{2}[- ]\d{4}(?![\p{L}\d]|\.\p{L})",
-        r"(?<![\p{L}\d.-])\d{2}(?: \d{3}){3}(?![\p{L}\d])",
-        r"(?<![\p{L}\d.-])(?:\p{Lu}{1,2}-?\d{7}|\p{Lu}{2} \d{6,7}|\p{L}\d{6,8})(?![\p{L}\d])",
-        r"(?<![\p{L}\d.-])\p{Lu}{2} ?\d{2} ?\d{2} ?\d{2} ?\p{Lu}(?![\p{L}\d])",
-        r"(?<![\p{L}\d.-])\d{8}-?\p{Lu}(?![\p{L}\d])",
-        r"(?<=(?i:nummer|number|étudiant|no\.?|ID|DNI|NIF|passport|matricule|alumno|identity)(?::|\.| is)? )(?<!(?i:block)\s+(?i:id)\s+)\d{6,9}(?![\p{L}\d-])",
-    ],
-    "address": [
-        rf"(?<![\p{{L}}\d])(?:(?i:Flat|Unit|Apt|Apartment|Suite) \d+\w?, )?\d+\p{{L}}? {TOKEN} {ROAD}(?:, (?i:Apt|Apartment|Unit|Flat|Suite)\.? \w+)?, {CITY}(?:,? (?:\p{{Lu}}{{2}} \d{{5}}|\p{{Lu}}{{1,2}}\d\w? \d\p{{Lu}}{{2}}))?(?![\p{{L}}\d])",
-        rf"(?<![\p{{L}}\d])(?:{TOKEN}[ -])?\p{{Lu}}[\p{{L}}\p{{M}}]*(?i:straße|strasse|str\.|weg|platz|gasse|allee|ring) \d+ ?\p{{L}}?, \d{{4,5}} {CITY}(?![\p{{L}}\d])",
-        rf"(?<![\p{{L}}\d])\d+(?: ?(?i:bis|ter))?,? (?i:rue|avenue|boulevard|place|chemin|impasse|allée|quai) (?i:de la |de l’|de l'|des |du |de )?{TOKEN}, \d{{5}} {CITY}(?![\p{{L}}\d])",
-        rf"(?<![\p{{L}}\d])(?i:Calle|Avenida|Avda\.|Plaza|Paseo|Via|Rua) (?i:de la |del |de )?{TOKEN},? \d+\w?, \d{{5}} {CITY}(?![\p{{L}}\d])",
-    ],
-    "name": [
-        rf"(?<![\p{{L}}\d.’'-])(?:{TOKEN}|{INITIAL})(?: {INITIAL})* {PARTICLE}?{TOKEN}(?![\p{{L}}\d-])",
-        rf"(?<![\p{{L}}\d.’'-])(?:{PARTICLE})?{TOKEN}, (?:{TOKEN}|{INITIAL})(?: {INITIAL})*(?![\p{{L}}\d-])",
-        rf"(?<![\p{{L}}\d.’'-]){TOKEN} {INITIAL}(?=\s*(?:$|\n|,))",
-    ],
-}
-def _spaced(pattern: str) -> str:
-    """The pattern with every space standing for any run of up to four blanks of one line."""
-    blanks = " \\t\\u00a0\\u2000-\\u200b\\u202f\\u3000"
-    out, inside, k = [], False, 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            out.append(pattern[k : k + 2])
-            k += 2
-            continue
-        if c == "[" and not inside:
-            inside = True
-        elif c == "]" and inside:
-            inside = False
-        out.append((blanks if inside else f"(?:[{blanks}]{{1,4}})") if c == " " else c)
-        k += 1
-    return "".join(out)
-
-
-COMPILED = {t: [regex.compile(_spaced(p)) for p in ps] for t, ps in GRAMMAR.items()}
-#: Titles, which don't belong to a name.
-TITLE = regex.compile(r"^(?:(?i:Dr|Prof|Professor|Mr|Mrs|Ms|Mme|Mlle|Herr|Frau|Sr|Sra|Señor|Señora|Don|Doña|Alumno|Alumna|Madame|Monsieur|Doctor)\.? )+")
-
-
-def matches(text: str, kind: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
-    """All mentions of a type between two places that the grammar allows, also overlapping ones."""
-    for pattern in COMPILED[kind]:
-        for m in pattern.finditer(text, start, len(text) if end is None else end, overlapped=True):
-            yield m.span()
-
-
-#: Words that begin a sentence or label before a name, or stand for something else than people.
-NO_NAME = frozenset("the der die das den dem ein eine see in im am an by for from to and hi hello dear thanks prof dr if when this that these every each no one most both call ping load block version checkpoint course section step table figure report use printed address phone contact office hours submitted questions answer abgegeben rückfragen sprechstunde corrigé copie entregado alumna alumno para por le la les el los il elle main road hidden layer matrikelnummer ssn dni nif calle flat apt tel phone passport numéro nombre".split())
-#: What methods and results are called.
-THINGS = frozenset("bound network operator propagation bagging quadrature theorem lemma method algorithm transform estimator filter tree search descent sampling averaging update criterion regression relaxation schedule selection alignment projection splitting pruning reweighting consensus matching encoding sketching routing distance penalty factorisation smoothing hashing ensemble pooling interpolation ranking objective map avenue".split())
-BEFORE_COMMA = regex.compile(rf"(?:{TOKEN}|{INITIAL}|\b(?:de|van|von|del|da|al))[ -]$")
-TITLES = frozenset("dr prof professor mr mrs ms mme mlle herr frau sr sra don alumno alumna".split())
-THING = regex.compile(r"^[ -](?i:Bound|Network|Operator|Propagation|Bagging|Quadrature|Theorem|Lemma|Method|Algorithm|Transform|Estimator|Filter|Tree|Search|Descent|Sampling|Averaging|Update|Map|Avenue)\b|^ \p{Lu}[\p{Ll}]+")
-
-
-def _is_name(text: str, a: int, b: int) -> bool:
-    """Whether the words of a mention can be a person's name where they stand."""
-    tokens = regex.findall(r"[\p{L}\p{M}’']+", text[a:b].lower())
-    if any(t in NO_NAME for t in tokens[:2]) or tokens[-1] in NO_NAME or any(t in THINGS for t in tokens):
-        return False
-    if "," in text[a:b]:  # the surname comes first: nothing of a name before it, no house number after it
-        before = BEFORE_COMMA.search(text[max(0, a - 30) : a])
-        if before and regex.search(r"(?i:abgegeben|eingereicht|rendue|entregado) (?:von|par|por) $", text[max(0, a - 16) : a]):
-            before = None
-        if regex.match(r" \d", text[b : b + 2]) or (before and not {before.group().strip(" -.").lower()} & (NO_NAME | TITLES)):
-            return False
-    if text[a:b].isupper():
-        return True
-    return not (regex.search(r"\b(?i:the|der|die|das) $", text[max(0, a - 5) : a]) and THING.match(text[b : b + 30]))
-
-
-def settle(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
-    """The mention of this type that overlaps a run: the longest one, for names in capitals the closest one."""
-    lo, hi = max(0, start - 64), min(len(text), end + 64)
-    best, score = None, 0.0
-    for a, b in matches(text, kind, lo, hi):
-        if kind == "name":
-            if m := TITLE.match(text[a:b]):
-                a += m.end()
-            elif text[a : a + 4] == "von " and regex.search(r"(?i:abgegeben|eingereicht) $", text[max(0, a - 12) : a]):
-                a += 4
-            if not regex.search(r"\s|\u200b", text[a:b]) or not _is_name(text, a, b):
-                continue
-        both = min(b, end) - max(a, start)
-        if both <= 0:
-            continue
-        near = both / (max(b, end) - min(a, start))
-        s = near if kind == "name" and text[a:b].isupper() else b - a + near if near >= 0.2 else near
-        if s > score + 1e-9:
-            best, score = (a, b), s
-    return best if score >= 0.2 else None
-
-
 # ---------------------------------------------------------------- network
 
 
 class Tagger:
-    """BiLSTM over characters with CRF transitions; labels are 0 for none, 1 + k for TYPES[k]."""
+    """BiLSTM over characters with CRF transitions; labels are 0 for none, 1 + k inside TYPES[k], FIRST for the first character of a mention."""
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         w = {k: np.asarray(v, dtype=np.float32) for k, v in weights.items()}
@@ -254,36 +141,56 @@ class Tagger:
         return out
 
 
-def runs(labels: np.ndarray) -> list[tuple[int, int, int]]:
-    """(label, start, end) of stretches of one label; gaps of up to two characters are closed."""
-    at = np.flatnonzero(labels)
+def spans(labels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(label, start, end) of the mentions: a first character and the stretch behind it, or a stretch without one."""
     out: list[tuple[int, int, int]] = []
+    at = np.flatnonzero(labels)
     if not len(at):
         return out
-    cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(labels[at]) != 0)) + 1
+    cuts = np.flatnonzero((np.diff(at) > 1) | (labels[at[1:]] == FIRST)) + 1
     for piece in np.split(at, cuts):
-        label, a, b = int(labels[piece[0]]), int(piece[0]), int(piece[-1]) + 1
-        if out and out[-1][0] == label and a - out[-1][2] <= 2:
-            out[-1] = (label, out[-1][1], b)
-        else:
-            out.append((label, a, b))
+        inside = labels[piece][labels[piece] != FIRST]
+        if len(inside):
+            out.append((int(np.bincount(inside).argmax()), int(piece[0]), int(piece[-1]) + 1))
     return out
 
 
+def whole(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span widened to whole words, without blanks and marks around it."""
+    while a < b and not (text[a].isalnum() or text[a] in "+("):
+        a += 1
+    while b > a and not (text[b - 1].isalnum() or text[b - 1] in ".)"):
+        b -= 1
+    while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while 0 < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    return a, b
+
+
+def possible(kind: str, surface: str) -> bool:
+    """Whether a text can be of the type at all, by its digits, blanks and signs alone."""
+    digits = sum(c.isdigit() for c in surface)
+    if kind == "email":
+        return bool(AT.search(surface))
+    if kind == "phone":
+        return 7 <= digits <= 16 and not any(c.isalpha() for c in surface)
+    if kind == "identity":
+        return digits >= 5
+    if kind == "address":
+        return digits > 0 and any(c.isalpha() for c in surface)
+    return digits == 0 and any(c.isspace() or c == "\u200b" for c in surface)
+
+
 def mentions(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the checked mentions of a text, without overlaps, in order."""
+    """(start, end, type) of the mentions of a text, without overlaps, in order."""
     found: list[tuple[int, int, str]] = []
-    for label, a, b in runs(labels):
+    for label, a, b in spans(labels):
         kind = TYPES[label - 1]
-        span = settle(text, kind, a, b)
-        if span is None:  # what only looks like another type
-            for kind in ("email", "address"):
-                if span := settle(text, kind, a, b):
-                    break
-        if span:
-            found.append((*span, kind))
-    seen = {(text[a:b], kind) for a, b, kind in found}
-    for surface, kind in seen:  # the same text elsewhere in the document
+        a, b = whole(text, a, b)
+        if a < b and possible(kind, text[a:b]):
+            found.append((a, b, kind))
+    for surface, kind in {(text[a:b], kind) for a, b, kind in found}:  # the same text elsewhere in the document
         at = text.find(surface)
         while at >= 0:
             end = at + len(surface)
@@ -291,8 +198,10 @@ def mentions(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
                 found.append((at, end, kind))
             at = text.find(surface, end)
     out: list[tuple[int, int, str]] = []
+    taken = np.zeros(len(text), bool)
     for a, b, kind in sorted(set(found), key=lambda x: (x[0] - x[1], x[0], TYPES.index(x[2]))):  # longest first
-        if all(b <= c or a >= d for c, d, _ in out):
+        if not taken[a:b].any():
+            taken[a:b] = True
             out.append((a, b, kind))
     return sorted(out)
 
@@ -365,5 +274,8 @@ def mask(df: DataFrame, id_col: str = "doc_id", text: str = "text", weights: str
 
 
 def _even(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Texts spread over all cores: the network is far dearer than one shuffle of the texts."""
-    return df.select(id_col, text).repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * df.sparkSession.sparkContext.defaultParallelism), F.xxhash64(id_col))
+    """Texts spread over all cores, if the scan has fewer splits than there are: the network is far dearer than a shuffle of the texts."""
+    spark = df.sparkSession
+    cores = max(width(df), 3 * spark.sparkContext.defaultParallelism)
+    rows = df.select(id_col, text)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, F.xxhash64(id_col))

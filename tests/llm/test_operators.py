@@ -291,7 +291,7 @@ def test_training_lowers_the_loss():
     from graphloom.llm import pii_train
 
     rng = np.random.default_rng(0)
-    ids, y = pii_train.windows([NOTE] * 8, rng)
+    ids, y = pii_train.windows([NOTE] * 8, rng, mark=True)
     w = pii_train.initial(rng, 8, 8)
     first, grads = pii_train.step(w, ids, y)
     w2 = {k: v.astype(np.float64) for k, v in w.items()}
@@ -300,4 +300,20 @@ def test_training_lowers_the_loss():
     w2["move"][0, 1] -= 2e-4
     down, _ = pii_train.step(w2, ids, y)
     assert abs((up - down) / 2e-4 - grads["move"][0, 1]) < 1e-4
-    assert pii_train.step(pii_train.train([NOTE] * 40, seconds=6, batch=16, say=lambda *_: None), ids, y)[0] < first
+    assert pii_train.step(pii_train.train(ids, y, seconds=6, batch=16, say=lambda *_: None), ids, y)[0] < first
+
+
+def test_mentions_come_from_the_network_alone():
+    import numpy as np
+
+    from graphloom.llm.pii import FIRST, TYPES
+
+    text = "ask Lars Wexerby, Mira Brothwin or call +44 7700 900794 now"
+    y = np.zeros(len(text), np.int8)
+    assert pii.mentions(text, y) == []
+    for surface, kind in (("Lars Wexerby", "name"), ("Mira Brothwi", "name"), ("+44 7700 900794", "phone")):
+        a = text.index(surface)
+        y[a : a + len(surface)] = TYPES.index(kind) + 1
+        y[a] = FIRST
+    y[-3:] = TYPES.index("phone") + 1  # no phone number: three letters
+    assert [(text[a:b], k) for a, b, k in pii.mentions(text, y)] == [("Lars Wexerby", "name"), ("Mira Brothwin", "name"), ("+44 7700 900794", "phone")]
