@@ -1,12 +1,14 @@
 """Noise in text from scanned pages (problem 1): found by kind, and repaired into readable paragraphs.
 
 Method: the lines of a passage are labelled by a hidden Markov model with the states body, header, number (a printed
-page number alone) and gap (blank), from layout features: letter case, length, numbering, closing punctuation, whether
-the page's own number stands in the line. The model starts from seed rules on a bounded sample of passages (`sample`,
-chosen by hash) and is refined by Viterbi training. Header and number lines are taken out, and the body is reassembled.
-Words broken over two lines are joined if the corpus knows the joined word better than the compound; misread words
-are those that the corpus hardly knows and that one or two exchanges of look-alike characters turn into a word it
-knows well. Both decisions use counts over all passages, met by joins, so the vocabulary has no size limit.
+page number alone), break (a blank line that parts paragraphs), gap (a blank line inside a paragraph, as a page break
+leaves it) and split (a body line whose last word goes on in the next line), from layout features: letter case, length,
+numbering, closing punctuation, whether the page's own number stands in the line, how the text goes on over a blank
+line, and what the corpus says about a hyphen at the end. The model starts from seed rules on a bounded sample of
+passages (`sample`, chosen by hash) and is refined by Viterbi training. Header and number lines are taken out, and the
+body is reassembled along breaks and splits. Misread words are those that the corpus hardly knows and that one or two
+exchanges of look-alike characters turn into a word it knows well; lines can't tell them. Both kinds of counts cover
+all passages and are met by joins, so the vocabulary has no size limit.
 
 Defined results: null and empty texts have no noise and stay as they are; a null page number only switches off the
 features that need it; repeated ids are handled row by row. Extra columns are ignored.
@@ -15,17 +17,18 @@ features that need it; repeated ids are handled row by row. Extra columns are ig
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.vocabulary import FORMULA_RE, strip_edges, word_counts
 from graphloom.session import cut, nonempty
 
-BODY, HEADER, NUMBER, GAP = range(4)
+BODY, HEADER, NUMBER, BREAK, GAP, SPLIT = range(6)
+STATES = 6
 HYPHENS = "-‐‑¬­"
 
 #: Characters and groups that optical recognition takes for others, seen form first.
@@ -46,10 +49,10 @@ WORD = re.compile(r"[^\W\d_][\w'’|€†-]*")
 
 
 def features(line: str, page: int | None) -> tuple[int, ...]:
-    """Layout features of a line: kind of number, letter case, length, closing mark, prefix."""
+    """Layout features of a line: kind of number, letter case, length, closing mark, prefix, what stands over a blank line, hyphen."""
     text = line.strip()
     if not text:
-        return (0, 0, 0, 0, 0)
+        return (0, 0, 0, 0, 0, 0, 0)
     numbers = [int(x) for x in re.findall(r"(?<![\d.,/])\d{1,5}(?![\d,]|\.\d)", text)]
     own = page is not None and (page in numbers)
     alone = NUMBER_ALONE.fullmatch(text)
@@ -77,17 +80,43 @@ def features(line: str, page: int | None) -> tuple[int, ...]:
     length = 1 if len(words) <= 3 else 2 if len(words) <= 9 else 3
     end = 1 if text[-1] in ".!?" else 2 if text[-1] in ",;:-¬‐­" else 3
     prefix = 2 if re.match(r"(?:chapter|lecture|unit|part|section|notes on)\b", bare, re.I) and case in (3, 4) else 1
-    return (number + 1, case, length, end, prefix)
+    return (number + 1, case, length, end, prefix, 0, 0)
 
 
-SIZES = (5, 5, 4, 4, 3)
+SIZES = (5, 5, 4, 4, 3, 3, 3)
+
+
+def line_features(lines: list[str], page: int | None, splits: Container[int] = ()) -> list[tuple[int, ...]]:
+    """Features of all lines; `splits` are the lines whose last word the corpus takes for a broken one.
+
+    A blank line has 1 if the text goes on over it (no sentence ends before it, and what was taken for printed lines
+    between is left out), else 2. A line with a hyphen at its end has 1, with a broken word 2.
+    """
+    out = [features(x, page) for x in lines]
+    last = ""  # end of the text so far
+    printed = [f[0] == 4 or (f[1] in (3, 4) and f[3] == 3) for f in out]
+    for k, x in enumerate(lines):
+        text = x.strip()
+        if not text:
+            near = any(printed[max(0, k - 2) : k]) or any(printed[k + 1 : k + 3])
+            on = near and last and last[-1] not in ".!?:”\")" and not HEADING.match(last)
+            out[k] = (*out[k][:5], 1 if on else 2, 0)
+        elif not printed[k]:
+            last = text
+            if k in splits:
+                out[k] = (*out[k][:6], 2)
+            elif text[-1] in HYPHENS:
+                out[k] = (*out[k][:6], 1)
+    return out
 
 
 def seed(f: tuple[int, ...]) -> int:
     """Label that the features suggest by themselves."""
-    number, case, _, end, _ = f
+    number, case, _, end, _, over, hyphen = f
     if number == 0:
-        return GAP
+        return GAP if over == 1 else BREAK
+    if hyphen == 2:
+        return SPLIT
     if number == 4:
         return NUMBER
     if case in (3, 4) and end == 3:
@@ -99,15 +128,17 @@ class LineModel:
     """Hidden Markov model over line features that are independent given the state."""
 
     def __init__(self) -> None:
-        self.start = np.zeros(4)
-        self.move = np.zeros((4, 4))
-        self.emit = [np.zeros((4, n)) for n in SIZES]
+        self.start = np.zeros(STATES)
+        self.move = np.zeros((STATES, STATES))
+        self.emit = [np.zeros((STATES, n)) for n in SIZES]
 
     def fit(self, passages: list[list[tuple[int, ...]]], rounds: int = 3) -> LineModel:
         """Counts from seed labels, then Viterbi training: label, count again."""
         labels = [[seed(f) for f in p] for p in passages]
         for _ in range(rounds):
-            start, move, emit = np.full(4, 0.5), np.full((4, 4), 0.5), [np.full((4, n), 0.05) for n in SIZES]
+            start, move, emit = np.full(STATES, 0.5), np.full((STATES, STATES), 0.5), [np.full((STATES, n), 0.05) for n in SIZES]
+            emit[-1][SPLIT] = 0.001, 0.001, 1.0  # the sample is labelled before the corpus is asked for hyphens
+            emit[-1][BODY] = 1.0, 1.0, 0.001
             for p, ls in zip(passages, labels):
                 if not ls:
                     continue
@@ -142,7 +173,7 @@ class LineModel:
 def fit_line_model(df: DataFrame, text: str = "text", page: str = "page", id_col: str = "passage_id", sample: int = 2000) -> LineModel:
     """Model fitted on at most `sample` passages, those with the smallest hashes of their ids."""
     rows = df.filter(F.length(text) > 0).select(text, page, F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample).collect()
-    return LineModel().fit([[features(x, r[1]) for x in r[0].split("\n")] for r in rows])
+    return LineModel().fit([line_features(r[0].split("\n"), r[1]) for r in rows])
 
 
 # ---------------------------------------------------------------- words
@@ -150,14 +181,9 @@ def fit_line_model(df: DataFrame, text: str = "text", page: str = "page", id_col
 
 def fixes(word: str) -> set[str]:
     """Forms that one or two exchanges of look-alikes make of a lower-case word."""
-    out: set[str] = set()
-    layer = {word}
-    for _ in range(2):
-        layer = {w[:i] + good + w[i + len(bad) :] for w in layer for bad, good in LOOKALIKES for i in _places(w, bad)}
-        out |= layer
-        if len(layer) > 400:
-            break
-    return out - {word}
+    exchange = lambda w: {w[:i] + good + w[i + len(bad) :] for bad, good in LOOKALIKES for i in _places(w, bad)}
+    once = exchange(word)
+    return once.union(*map(exchange, once)) - {word}
 
 
 def _places(w: str, bad: str) -> list[int]:
@@ -174,6 +200,45 @@ def unodd(word: str) -> str:
     return word
 
 
+#: Words above this length aren't laid out in all their forms; they meet by an unchanged third and are then compared.
+LONG = 48
+
+
+def reaches(word: str, good: str) -> bool:
+    """Whether one or two exchanges of look-alikes turn a word into another."""
+    states = {(0, 0, 0)}  # places in both words, exchanges
+    while states:
+        after = set()
+        for i, j, n in states:
+            while i < len(word) and j < len(good) and word[i] == good[j]:
+                after |= {(i + len(x), j + len(y), n + 1) for x, y in LOOKALIKES if n < 2 and word.startswith(x, i) and good.startswith(y, j)}
+                i, j = i + 1, j + 1
+            if i == len(word) and j == len(good):
+                return word != good
+            after |= {(i + len(x), j + len(y), n + 1) for x, y in LOOKALIKES if n < 2 and word.startswith(x, i) and good.startswith(y, j)}
+        states = after
+    return False
+
+
+def _long_misreads(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(good, m, word, n, plain) of the words above LONG letters, which share their first, last or middle 16 letters with the good ones."""
+
+    def keys(w: Column, shifts: tuple[int, ...]) -> Column:
+        middle = [F.concat(F.lit("m"), F.substring(w, 17 + s, 16)) for s in shifts]
+        return F.explode(F.array_distinct(F.array(F.concat(F.lit("a"), F.substring(w, 1, 16)), F.concat(F.lit("z"), F.substring(w, -16, 16)), *middle))).alias("k")
+
+    @nonempty
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            plain = [unodd(w) == g for w, g in zip(batch["word"], batch["good"])]
+            keep = [p or reaches(w, g) for p, w, g in zip(plain, batch["word"], batch["good"])]
+            yield batch.assign(plain=plain)[pd.Series(keep, index=batch.index, dtype=bool)]
+
+    shifts = tuple(range(-4, 5))  # two exchanges in front move the middle by up to four letters
+    met = words.filter(F.length("word") > LONG).select("word", "n", keys(F.col("word"), shifts)).join(known.filter(F.length("good") > LONG - 5).select("good", "m", keys(F.col("good"), (0,))), "k")
+    return met.filter("word <> good").select("good", "m", "word", "n").distinct().mapInPandas(check, "good string, m long, word string, n long, plain boolean")
+
+
 def misread_words(words: DataFrame, least: int = 5, ratio: float = 20.0) -> DataFrame:
     """(word, good): words that stand for a word at least `ratio` times as frequent and met `least` times.
 
@@ -185,21 +250,24 @@ def misread_words(words: DataFrame, least: int = 5, ratio: float = 20.0) -> Data
         for batch in batches:
             rows = []
             for word, n in zip(batch["word"], batch["n"]):
-                if len(word) > 40 or "\\" in word or "$" in (word[0], word[-1]) or not any(c.isalpha() for c in word):  # a piece of a formula is no word
-                    continue
-                odd = bool(ODD.search(word))
-                if not odd and len(word) < 4:
-                    continue
                 forms = fixes(word)
                 forms.add(unodd(word))
                 forms.discard(word)
                 rows += [(word, n, x, x == unodd(word)) for x in forms if x.isascii() or not word.isascii()]
+                if len(rows) > 200_000:
+                    yield pd.DataFrame(rows, columns=["word", "n", "good", "plain"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["word", "n", "good", "plain"])
 
-    asked = words.filter(~F.col("word").rlike(r"^[0-9.,:%/()\[\]-]+$")).mapInPandas(run, "word string, n long, good string, plain boolean")
+    spark = words.sparkSession
     known = words.select(F.col("word").alias("good"), F.col("n").alias("m")).filter(F.col("m") >= least)
+    top = words.agg(F.max("n")).first()[0] or 0
+    # a piece of a formula is no word; only words so rare that a known word can be `ratio` times as frequent are laid out
+    asked = words.filter((F.col("n") * ratio <= top) & ~F.col("word").rlike(r"^[0-9.,:%/()\[\]-]+$") & ~F.col("word").rlike(r"\\|^\$|\$$") & F.col("word").rlike(r"\p{L}"))
+    asked = asked.filter((F.length("word") >= 4) | F.col("word").rlike(r"[^a-zA-Z'’-]"))
+    short = asked.filter(F.length("word") <= LONG).repartition(4 * spark.sparkContext.defaultParallelism, "word").mapInPandas(run, "word string, n long, good string, plain boolean").join(known, "good")
     return (
-        asked.join(known, "good")
+        short.unionByName(_long_misreads(asked, known))
         .filter(F.col("m") >= F.col("n") * ratio)
         .groupBy("word")
         .agg(F.max_by("good", F.struct("plain", "m", "good")).alias("good"))
@@ -211,7 +279,7 @@ def misread_words(words: DataFrame, least: int = 5, ratio: float = 20.0) -> Data
 
 def _body(lines: list[str], states: list[int]) -> list[tuple[int, str]]:
     """Body lines with their line number."""
-    return [(k, x.rstrip("\r")) for k, (x, s) in enumerate(zip(lines, states)) if s == BODY and x.strip()]
+    return [(k, x.rstrip("\r")) for k, (x, s) in enumerate(zip(lines, states)) if s in (BODY, SPLIT) and x.strip()]
 
 
 def _breaks(body: list[tuple[int, str]]) -> list[tuple[int, str, str, str]]:
@@ -265,7 +333,7 @@ def annotate(df: DataFrame, id_col: str = "passage_id", text: str = "text", page
             for row, t, p in zip(batch["_row"], batch["_text"], batch["_page"]):
                 lines = t.split("\n")
                 own = None if pd.isna(p) else int(p)
-                states = model.value.decode([features(x, own) for x in lines])
+                states = model.value.decode(line_features(lines, own))
                 body = _body(lines, states)
                 breaks = _breaks(body)
                 at = {k for k, *_ in breaks}
@@ -279,10 +347,31 @@ def annotate(df: DataFrame, id_col: str = "passage_id", text: str = "text", page
 
     labelled = cut(rows.select("_row", "_text", "_page").mapInPandas(label, "_row long, states array<int>, words array<string>, breaks array<array<string>>, asked array<string>"))
     counts = cut(word_counts(rows, "_text"))
-    bad = cut(misread_words(counts))
-    misread = labelled.select("_row", F.explode("words").alias("word")).join(bad, "word").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "good"))).alias("misreads"))
-    met = labelled.select("_row", F.explode("asked").alias("word")).join(counts, "word").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("met"))
-    return rows.join(labelled.select("_row", "states", "breaks"), "_row").join(misread, "_row", "left").join(met, "_row", "left")
+    bad = cut(misread_words(counts).withColumn("n", F.lit(None).cast("long")))
+    # misread words and the counts that hyphens ask for come back in one shuffle
+    both = (
+        labelled.select("_row", F.explode("words").alias("word")).join(bad, "word").select("_row", "word", "good", "n")
+        .unionByName(labelled.select("_row", F.explode("asked").alias("word")).join(counts, "word").select("_row", "word", F.lit(None).cast("string").alias("good"), "n"))
+    )
+    got = both.groupBy("_row").agg(*[F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("word", c)))).alias(name) for c, name in (("good", "misreads"), ("n", "met"))])
+
+    @nonempty
+    def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Labels again where the corpus was asked for hyphens."""
+        for batch in batches:
+            out = []
+            for t, p, states, breaks, met in zip(batch["_text"], batch["_page"], batch["states"], batch["breaks"], batch["met"]):
+                if len(breaks):
+                    lines, counts_ = t.split("\n"), dict(met or {})
+                    body = _body(lines, states)
+                    splits = {body[int(b[0])][0] for b in breaks if is_broken(b[1], b[2], b[3], counts_)}
+                    states = model.value.decode(line_features(lines, None if pd.isna(p) else int(p), splits))
+                out.append(list(states))
+            batch["states"] = out
+            yield batch
+
+    noted = rows.join(labelled.select("_row", "states", "breaks"), "_row").join(got, "_row", "left")
+    return noted.mapInPandas(relabel, noted.schema)
 
 
 def found(df: DataFrame, id_col: str = "passage_id", text: str = "text", page: str = "page") -> DataFrame:
@@ -297,7 +386,7 @@ def found(df: DataFrame, id_col: str = "passage_id", text: str = "text", page: s
                 counts = dict(met or {})
                 own = None if pd.isna(p) else int(p)
                 kind = set()
-                if any(is_broken(b[1], b[2], b[3], counts) for b in breaks):
+                if SPLIT in states:
                     kind.add("hyphenation")
                 if misreads or any(c in LIGATURES for c in t) or any(_misread_break(b[1], b[3], counts) for b in breaks):
                     kind.add("misread")
@@ -318,23 +407,20 @@ def found(df: DataFrame, id_col: str = "passage_id", text: str = "text", page: s
     return noted.mapInPandas(run, f"`{id_col}` {id_type}, noise string")
 
 
-def rebuild(lines: list[str], states: list[int], breaks: list[list[str]], misreads: dict[str, str], counts: dict[str, int]) -> str:
+def rebuild(lines: list[str], states: list[int], breaks: list[list[str]], misreads: dict[str, str]) -> str:
     """Paragraphs of the words that were printed."""
     body = _body(lines, states)
-    hyphen = {int(b[0]): b for b in breaks}
+    hyphen = {int(b[0]) for b in breaks}
     out, paragraph, glue = [], "", ""
     for k, (at, line) in enumerate(body):
-        gap = k > 0 and not hyphen.get(k - 1) and any(s == GAP for s in states[body[k - 1][0] + 1 : at])
-        torn = any(s in (HEADER, NUMBER) for s in states[body[k - 1][0] + 1 : at]) if k else False
         if k and re.match(r"\d{1,2}[.)] ", line.lstrip()) and paragraph.endswith((".", "!", "?", ":")):  # list items
             glue = "\n"
-        if gap and not (torn and paragraph and paragraph[-1] not in ".!?:”\")"):  # a page break inside a sentence is no paragraph
+        if k and k - 1 not in hyphen and BREAK in states[body[k - 1][0] + 1 : at]:
             out.append(paragraph)
             paragraph, glue = "", ""
         text = line.strip()
         if k in hyphen:
-            broken = is_broken(hyphen[k][1], hyphen[k][2], hyphen[k][3], counts)
-            text = text[:-1] if broken else text[:-1] + "-"
+            text = text[:-1] if states[at] == SPLIT else text[:-1] + "-"
         paragraph += glue + text
         glue = "" if k in hyphen else " "
     out.append(paragraph)
@@ -359,12 +445,12 @@ def repair(df: DataFrame, id_col: str = "passage_id", text: str = "text", page:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             clean = [
-                rebuild(t.split("\n"), list(states), [list(b) for b in breaks], dict(misreads or {}), dict(met or {}))
-                for t, states, breaks, misreads, met in zip(batch["_text"], batch["states"], batch["breaks"], batch["misreads"], batch["met"])
+                rebuild(t.split("\n"), list(states), [list(b) for b in breaks], dict(misreads or {}))
+                for t, states, breaks, misreads in zip(batch["_text"], batch["states"], batch["breaks"], batch["misreads"])
             ]
             yield pd.DataFrame({id_col: batch[id_col], "clean": clean})
 
     id_type = df.schema[id_col].dataType.simpleString()
-    noted = annotate(df, id_col, text, page).select(id_col, "_text", "states", "breaks", "misreads", "met")
+    noted = annotate(df, id_col, text, page).select(id_col, "_text", "states", "breaks", "misreads")
     blank = df.filter(F.col(text).isNull() | (F.length(text) == 0)).select(id_col, F.col(text).alias("clean"))
     return noted.mapInPandas(run, f"`{id_col}` {id_type}, clean string").unionByName(blank)

@@ -36,7 +36,7 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, MARGIN, BATCH = 192, 24, 768
 #: Label of the first character of a mention.
 FIRST = len(TYPES) + 1
-AT = re.compile(r"[@＠]|\b(?:at|AT)\b")
+AT = re.compile(r"\w(?:\s?[@＠]\s?|\W+at\W+)\w(?:.*?)(?:\.|\W*\bdot\b\W*)[^\W\d]{2,}$", re.I | re.S)
 
 # ---------------------------------------------------------------- characters
 

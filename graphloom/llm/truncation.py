@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.noise import BODY, features, fit_line_model
+from graphloom.llm.noise import BODY, fit_line_model, line_features
 from graphloom.llm.vocabulary import FORMULA_RE, strip_edges, word_counts
 from graphloom.session import cut, lookup_join, nonempty
 
@@ -78,7 +78,7 @@ def _endings(tbl: str, model) -> object:
                 if model is not None:
                     lines = text.rstrip().split("\n")
                     own = None if pd.isna(page) else int(page)
-                    states = model.value.decode([features(x, own) for x in lines])
+                    states = model.value.decode(line_features(lines, own))
                     k = len(lines)
                     while k > 1 and (states[k - 1] != BODY or not lines[k - 1].strip()):
                         k -= 1

@@ -239,11 +239,21 @@ def test_noise_empty_and_long(spark):
 
 
 def test_line_model_learns_from_seed_labels():
-    page = [[noise.features(x, 12) for x in ("MY RUNNING TITLE", "", "a line of text that goes on", "and ends here.", "12")] for _ in range(50)]
-    assert noise.LineModel().fit(page).decode(page[0]) == [noise.HEADER, noise.GAP, noise.BODY, noise.BODY, noise.NUMBER]
+    lines = ["MY RUNNING TITLE", "", "a line of text that goes on", "and ends here.", "12"]
+    page = [noise.line_features(lines, 12) for _ in range(50)]
+    assert noise.LineModel().fit(page).decode(page[0]) == [noise.HEADER, noise.BREAK, noise.BODY, noise.BODY, noise.NUMBER]
+    over = ["a line of text that goes on", "", "MY RUNNING TITLE", "", "and ends here with a bro-", "ken word.", "", "Next."]
+    assert noise.LineModel().fit([noise.line_features(over, 12)] * 20).decode(noise.line_features(over, 12, {4})) == [noise.BODY, noise.GAP, noise.HEADER, noise.GAP, noise.SPLIT, noise.BODY, noise.BREAK, noise.BODY]
     assert noise.LineModel().fit([]).decode([]) == []
 
 
+def test_long_words_are_repaired(spark):
+    long = "abstimmungs" * 20
+    rows = [(100 + i, f"The {long} holds.", 7, "f") for i in range(45)] + [(1, "The " + long.replace("m", "rn", 1)[:-1] + "5 holds.", 7, "f"), (2, "The " + long[:-1] + " holds.", 7, "f"), (3, "x" * 30_000 + " holds.", 7, "f")]
+    assert {tuple(r) for r in noise.found(passages(spark, rows)).collect()} == {(1, "misread")}
+    assert noise.reaches("ernbedd1ng", "embedding") and not noise.reaches("embedding", "embedding") and not noise.reaches("ernb3dd1ng", "embedding")
+
+
 def contexts(spark, rows):
     return clash(spark.createDataFrame(rows, "context_id string, dataset string, evidence string"))
 
