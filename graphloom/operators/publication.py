@@ -105,17 +105,6 @@ def public_rows(decided: DataFrame, ratio: int = 2, cap: int = 1000, seed: int =
     return pos.unionByName(neg)
 
 
-def item_checks(options: DataFrame, k: int = 3) -> DataFrame:
-    """(concept, n_options, distinct_options, answer_absent, short_options, ok, route): checks of an item's options."""
-    o = options.groupBy("concept").agg(
-        F.count(F.lit(1)).alias("n_options"), (F.count(F.lit(1)) == F.count_distinct(plain_key(F.col("option")))).alias("distinct_options"),
-        F.min(plain_key(F.col("option")) != plain_key(F.col("concept"))).alias("answer_absent"), (F.max(F.length("option")) <= 60).alias("short_options"),
-    )
-    full = F.col("n_options") == k
-    route = F.when(~full, "more_options").when(~F.col("distinct_options"), "replace_option").when(~F.col("answer_absent"), "replace_option").when(~F.col("short_options"), "rewrite").otherwise("publish")
-    return o.select("concept", "n_options", "distinct_options", "answer_absent", "short_options", (full & F.col("distinct_options") & F.col("answer_absent") & F.col("short_options")).alias("ok"), route.alias("route"))
-
-
 def audit_actions(baseline: DataFrame, proposed: DataFrame) -> DataFrame:
     """(concept, chapter, action): what to do with proposed evidence (concept, chapter, evidence, score) against the
     baseline: keep it, append to it, replace it, add a row, or migrate a baseline row that has no proposal.

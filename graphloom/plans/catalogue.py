@@ -132,14 +132,6 @@ def skipgram_pairs(spark, d):
     return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
 
 
-@query(r"""SELECT concept_id, canonical, (length(canonical) <= 100 AND regexp_matches(canonical, '[A-Za-z]') AND len(string_split_regex(trim(canonical), '[ \t]+')) <= 10 AND NOT regexp_matches(lower(canonical), '^(chapter|section|lecture) [0-9]')) AS valid,
-CASE WHEN regexp_matches(lower(canonical), '(distance|bound|penalty|criterion|objective)$') THEN 'measure' WHEN regexp_matches(lower(canonical), '(tree|network|graph|ensemble|schedule)$') THEN 'structure'
-WHEN regexp_matches(lower(canonical), '(ing|ion|ment|search|descent|update|transform)$') THEN 'method' ELSE 'other' END AS kind FROM mlr_concepts""")
-def concept_types(spark, d):
-    c = F.col("canonical")
-    return table(spark, d, "mlr_concepts").select("concept_id", "canonical", quiz.valid_name(c).alias("valid"), quiz.concept_type(c).alias("kind"))
-
-
 @query(r"""SELECT formula_id, (length(latex) <= 1000 AND length(replace(latex, '{', '')) = length(replace(latex, '}', '')) AND length(replace(latex, '(', '')) = length(replace(latex, ')', '')) AND length(replace(latex, '[', '')) = length(replace(latex, ']', ''))) AS valid,
 regexp_replace(regexp_replace(trim(latex), '^\$+|\$+$', '', 'g'), '[ \t\r\n]+', '', 'g') AS latex_key FROM mlr_formula WHERE latex IS NOT NULL""")
 def latex_validity(spark, d):
@@ -401,81 +393,36 @@ def adaptive_graph(spark, d):
 
 EDGES = r"""e AS (SELECT DISTINCT * FROM (SELECT trim(regexp_replace(lower(part_concept), '[ \t\r\n]+', ' ', 'g')) AS src, trim(regexp_replace(lower(whole_concept), '[ \t\r\n]+', ' ', 'g')) AS dst, 'part-of' AS type FROM mlr_partof WHERE whole_concept IS NOT NULL
 UNION ALL SELECT trim(regexp_replace(lower(source), '[ \t\r\n]+', ' ', 'g')), trim(regexp_replace(lower(target), '[ \t\r\n]+', ' ', 'g')), 'prerequisite' FROM train_labels_initial WHERE label = 1) WHERE src <> '' AND dst <> '' AND (type = 'prerequisite' AND src <> dst OR type = 'part-of' AND dst <> 'whole_concept'))"""
-CONF = """n AS (SELECT canonical, string_split(canonical, ' ') AS w FROM mlr_concepts), conf AS (SELECT a.canonical AS src, b.canonical AS dst FROM n a JOIN n b ON len(a.w) = 3 AND len(b.w) = 3 AND a.w[2] = b.w[2] AND a.w[3] = b.w[3] AND a.canonical <> b.canonical)"""
-
-
 def _edges(spark, d):
     return graphq.typed_edges(table(spark, d, "mlr_partof"), table(spark, d, "train_labels_initial"))
 
 
-def _confused(spark, d):
-    return graphq.confusable(table(spark, d, "mlr_concepts"))
-
-
 @query(f"WITH {EDGES}, x AS (SELECT src AS concept, type || ':out' AS relation, dst AS other FROM e UNION ALL SELECT dst, type || ':in', src FROM e) SELECT concept, relation, count(*) AS n, min(other) AS first FROM x GROUP BY 1, 2")
 def graph_neighbours(spark, d):
     return graphq.neighbours(_edges(spark, d))
 
 
 @query(f"""WITH {EDGES}, p AS (SELECT src, dst FROM e WHERE type = 'part-of'), m AS (SELECT a.src AS concept, b.src AS sibling, min(a.dst) AS whole FROM p a JOIN p b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY sibling)::INT AS rank FROM m) WHERE rank <= 4""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY whole, sibling)::INT AS rank FROM m) WHERE rank <= 4""")
 def sibling_parts(spark, d):
     return graphq.sibling_parts(_edges(spark, d).filter("type = 'part-of'").select("src", "dst"))
 
 
-@query(f"""WITH {EDGES}, p AS (SELECT src, dst FROM e WHERE type = 'part-of'), m AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM p x JOIN p y ON x.dst = y.src WHERE x.src <> y.dst AND y.src <> y.dst AND x.src <> x.dst)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b, c)::INT AS rank FROM m) WHERE rank <= 5""")
-def two_hop_chains(spark, d):
-    return graphq.two_hop_chains(_edges(spark, d).filter("type = 'part-of'"))
-
-
-FEATURES = f"""{EDGES}, {CONF}, ft AS (SELECT canonical AS concept, (SELECT count(*) FROM e WHERE type = 'prerequisite' AND e.src = canonical) AS n_prereqs, (SELECT count(*) FROM e WHERE type = 'part-of' AND e.dst = canonical) AS n_parts,
-(canonical IN (SELECT x.src FROM e x JOIN e y ON x.type = 'prerequisite' AND y.type = 'prerequisite' AND x.dst = y.src))::INT AS has_two_hop, (canonical IN (SELECT src FROM conf))::INT AS has_confusable FROM mlr_concepts)"""
-
-
-def _features(spark, d):
-    return graphq.structural_features(table(spark, d, "mlr_concepts"), _edges(spark, d), _confused(spark, d))
-
+# positive labels have no chains in these tables, so part-of edges stand for them
+CHAINS = """w AS (SELECT dst AS x, src AS y, 0 AS way FROM e WHERE type = 'part-of' AND src <> dst UNION ALL SELECT src, dst, 1 FROM e WHERE type = 'part-of' AND src <> dst), m AS (SELECT p.x AS a, p.y AS b, q.y AS c, p.way FROM w p JOIN w q ON p.y = q.x AND p.way = q.way AND p.x <> q.y),
+ch AS (SELECT a, b, c, CASE way WHEN 0 THEN 'backward' ELSE 'forward' END AS direction, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY way, b, c)::INT AS rank FROM m) WHERE rank <= 5)"""
 
-@query(f"WITH {FEATURES} SELECT * FROM ft")
-def structural_features(spark, d):
-    return _features(spark, d)
 
-
-PLANS = """pl AS (SELECT concept, 'concept_discrimination' AS plan, 1 AS prio FROM ft WHERE has_confusable = 1 UNION ALL SELECT concept, 'prerequisite_dependency', 2 FROM ft WHERE n_prereqs > 0 UNION ALL SELECT concept, 'component_membership', 3 FROM ft WHERE n_parts > 0
-UNION ALL SELECT concept, 'multi_hop_reasoning', 4 FROM ft WHERE has_two_hop = 1 UNION ALL SELECT concept, 'definition', 5 FROM ft WHERE has_confusable = 0 AND n_prereqs = 0 AND n_parts = 0 AND has_two_hop = 0)"""
-
-
-@query(f"WITH {FEATURES}, {PLANS} SELECT * FROM pl")
-def plan_types(spark, d):
-    return quiz.plans(_features(spark, d))
-
-
-@query(f"""WITH {FEATURES} SELECT concept, CASE WHEN has_two_hop = 1 THEN 'evaluation' WHEN has_confusable = 1 THEN 'analysis' WHEN n_prereqs > 0 THEN 'application' ELSE 'comprehension' END AS bloom,
-CASE WHEN (n_prereqs > 0)::INT + (n_parts > 0)::INT + has_two_hop + has_confusable >= 3 THEN 'hard' WHEN (n_prereqs > 0)::INT + (n_parts > 0)::INT + has_two_hop + has_confusable >= 1 THEN 'medium' ELSE 'easy' END AS difficulty FROM ft""")
-def plan_levels(spark, d):
-    return quiz.levels(_features(spark, d))
-
-
-@query(f"""WITH {FEATURES}, {PLANS} SELECT concept, plan, CASE plan WHEN 'concept_discrimination' THEN 'Which statement fits ' || concept || ' and no similar concept?' WHEN 'prerequisite_dependency' THEN 'Which concept has to be known before ' || concept || '?'
-WHEN 'component_membership' THEN 'Which of these is a part of ' || concept || '?' WHEN 'multi_hop_reasoning' THEN 'Which concept does ' || concept || ' lead to by way of another?' ELSE 'Which definition fits ' || concept || '?' END AS stem FROM pl""")
-def question_stems(spark, d):
-    return quiz.plans(_features(spark, d)).select("concept", "plan", quiz.stem_text(F.col("plan"), F.col("concept")).alias("stem"))
-
-
-DISTRACT = f"""{EDGES}, {CONF}, pool AS (SELECT src AS concept, dst AS option, 1 AS prio, 'confusable' AS source FROM conf UNION ALL SELECT src, dst, 2, 'prerequisite' FROM e WHERE type = 'prerequisite' UNION ALL SELECT dst, src, 3, 'part' FROM e WHERE type = 'part-of'),
-o AS (SELECT concept, option, min(prio) AS prio, arg_min(source, prio) AS source FROM pool WHERE concept IN (SELECT canonical FROM mlr_concepts) AND concept <> option GROUP BY 1, 2),
-ds AS (SELECT concept, option, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY prio, option)::INT AS rank FROM o) WHERE rank <= 3)"""
-
-
-@query(f"WITH {DISTRACT} SELECT * FROM ds")
-def distractor_pool(spark, d):
-    return quiz.distractors(table(spark, d, "mlr_concepts"), _edges(spark, d), _confused(spark, d))
+@query(f"WITH {EDGES}, {CHAINS} SELECT * FROM ch")
+def two_hop_chains(spark, d):
+    return graphq.two_hop_chains(_edges(spark, d).filter("type = 'part-of'"))
 
 
-@query(f"WITH {DISTRACT} SELECT concept, substr('ABCDEFGH', row_number() OVER (PARTITION BY concept ORDER BY sha256('42|' || concept || '|' || option), option)::INT, 1) AS label, option FROM ds")
-def option_shuffle(spark, d):
-    return quiz.shuffled_options(distractor_pool(spark, d))
+@query(f"""WITH {EDGES}, {CHAINS}, f AS (SELECT a AS concept, 1 AS hop, a AS x, b AS y FROM ch WHERE rank = 1 UNION ALL SELECT a, 2, b, c FROM ch WHERE rank = 1)
+SELECT concept, hop, CASE WHEN EXISTS (SELECT 1 FROM e WHERE type = 'part-of' AND src = y AND dst = x) THEN y ELSE x END AS src, CASE WHEN EXISTS (SELECT 1 FROM e WHERE type = 'part-of' AND src = y AND dst = x) THEN x ELSE y END AS dst FROM f""")
+def activated_edges(spark, d):
+    parts = _edges(spark, d).filter("type = 'part-of'")
+    return graphq.activated_edges(graphq.two_hop_chains(parts), parts)
 
 
 @query("""WITH f AS (SELECT lower(concept) AS canonical, min(try_cast(fields['chapter'] AS INT)) AS chapter FROM source_context GROUP BY 1), dn AS (SELECT DISTINCT lower(concept) AS canonical FROM documents WHERE concept IS NOT NULL AND source LIKE 'quiz%')

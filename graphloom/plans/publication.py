@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import labels, publication
-from graphloom.plans.catalogue import DISTRACT, PLAIN, distractor_pool, query
+from graphloom.plans.catalogue import PLAIN, query
 from graphloom.session import table
 
 
@@ -104,12 +104,6 @@ def page_boxes(spark, d):
     return table(spark, d, "passage").filter("bbox is not null and size(bbox) = 4").groupBy("pdf_file", "page").agg(F.min(b[0]).alias("x0"), F.min(b[1]).alias("y0"), F.max(b[2]).alias("x1"), F.max(b[3]).alias("y1"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {DISTRACT}, oc AS (SELECT concept, count(*) AS n_options, count(*) = count(DISTINCT {PLAIN.format('option')}) AS distinct_options, bool_and({PLAIN.format('option')} <> {PLAIN.format('concept')}) AS answer_absent, max(length(option)) <= 60 AS short_options FROM ds GROUP BY 1)
-SELECT *, (n_options = 3 AND distinct_options AND answer_absent AND short_options) AS ok, CASE WHEN n_options <> 3 THEN 'more_options' WHEN NOT distinct_options THEN 'replace_option' WHEN NOT answer_absent THEN 'replace_option' WHEN NOT short_options THEN 'rewrite' ELSE 'publish' END AS route FROM oc""")
-def item_checks(spark, d):
-    return publication.item_checks(distractor_pool(spark, d))
-
-
 @query(f"""WITH r AS (SELECT lower(concept) AS concept, try_cast(fields['chapter'] AS INT) AS chapter, dataset, evidence, length(evidence) AS score FROM source_context WHERE evidence IS NOT NULL AND concept IS NOT NULL AND fields['chapter'] IS NOT NULL),
 b AS (SELECT concept, chapter, score, evidence FROM (SELECT *, row_number() OVER (PARTITION BY concept, chapter ORDER BY score DESC, evidence DESC) AS rn FROM r WHERE dataset = 'MLR') WHERE rn = 1), p AS (SELECT concept, chapter, score, evidence FROM (SELECT *, row_number() OVER (PARTITION BY concept, chapter ORDER BY score DESC, evidence DESC) AS rn FROM r WHERE dataset <> 'MLR') WHERE rn = 1)
 SELECT coalesce(b.concept, p.concept) AS concept, coalesce(b.chapter, p.chapter) AS chapter, CASE WHEN b.concept IS NULL THEN 'ADD_ROW' WHEN p.concept IS NULL THEN 'MIGRATE' WHEN contains({PLAIN.format('b.evidence')}, {PLAIN.format('p.evidence')}) THEN 'KEEP' WHEN p.score > b.score * 2 THEN 'REPLACE' ELSE 'APPEND' END AS action

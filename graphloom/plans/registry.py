@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.operators import hierarchy, packed
 from graphloom.plans import catalogue
 from graphloom.plans import publication as _publication  # noqa: F401  (adds its queries to the catalogue)
+from graphloom.plans import questions as _questions  # noqa: F401
 from graphloom.session import table
 
 P6_SQL = """WITH RECURSIVE e AS (SELECT node, min(parent) AS parent FROM (

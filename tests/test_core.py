@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import keys
 from graphloom.operators import aliases, evidence, graphq, labels, metrics, pseudo, simgraph
-from graphloom.operators import publication
+from graphloom.operators import publication, quiz
 from graphloom.plans import catalogue, registry
 from graphloom.sources import readers, sinks
 from graphloom.streaming import increments
@@ -170,3 +170,35 @@ def test_claims(spark):
     rows = [(0, [ok, back]), (1, []), (2, None), (3, [("a", "other", [])]), (4, [bare]), (5, [("b", "background", ["1"])]), (6, [back, back])]
     got = {r["i"]: r["r"] for r in spark.createDataFrame(rows, schema).select("i", publication.claims_reason(F.col("claims")).alias("r")).collect()}
     assert got == {0: "ok", 1: "none", 2: "none", 3: "kind", 4: "unsupported", 5: "background_ids", 6: "backgrounds"}
+
+
+def test_features_read_prerequisites_backwards(spark):
+    e = spark.createDataFrame([("cost function", "gradient descent", "prerequisite"), ("derivative", "cost function", "prerequisite"), ("hidden layer", "neural network", "part-of"), ("a", "b", "prerequisite"), ("b", "a", "prerequisite")], "src string, dst string, type string")
+    names = spark.createDataFrame([(x,) for x in ("gradient descent", "cost function", "derivative", "neural network", "hidden layer", "a", "soft margin", "hard margin", "lone")], "canonical string")
+    f = {r["concept"]: r for r in graphq.structural_features(names, e, graphq.confusable(names)).collect()}
+    assert (f["gradient descent"]["n_prereqs"], f["gradient descent"]["has_two_hop"], f["derivative"]["n_prereqs"], f["derivative"]["has_two_hop"]) == (1, 1, 0, 1)
+    assert (f["a"]["has_two_hop"], f["cost function"]["has_two_hop"], f["soft margin"]["has_confusable"], f["hidden layer"]["n_wholes"]) == (0, 0, 1, 1)
+    features = graphq.structural_features(names, e, graphq.confusable(names))
+    plans = {(r["concept"], r["plan"]) for r in quiz.plans(features).collect()}
+    assert {("soft margin", "concept_discrimination"), ("gradient descent", "prerequisite_dependency"), ("neural network", "component_membership"), ("hidden layer", "whole_decomposition"), ("derivative", "multi_hop_reasoning"), ("lone", "definition")} <= plans
+    levels = {(r["concept"], r["plan"]): (r["bloom"], r["difficulty"]) for r in quiz.levels(quiz.plans(features), features).collect()}
+    assert levels["soft margin", "concept_discrimination"] == ("analysis", "medium") and levels["gradient descent", "prerequisite_dependency"] == ("application", "hard") and levels["lone", "definition"] == ("understanding", "easy")
+    chains = {tuple(r)[:4] for r in graphq.two_hop_chains(e.filter("type = 'prerequisite'")).collect()}
+    assert chains == {("gradient descent", "cost function", "derivative", "backward"), ("derivative", "cost function", "gradient descent", "forward")}
+
+
+def test_checks_go_to_whoever_failed_first(spark):
+    row = {c: True for c in quiz.CHECKS}
+    rows = [row, row | {"on_topic": False, "bloom_aligned": False}, row | {"distractors_valid": False}, row | {"clear_language": False}, row | {"graph_faithful": False}, row | {"bloom_aligned": False}]
+    got = [(r["passed"], r["route"]) for r in quiz.routed(spark.createDataFrame([tuple(x[c] for c in quiz.CHECKS) for x in rows], ", ".join(f"{c} boolean" for c in quiz.CHECKS))).collect()]
+    assert got == [(True, None), (False, "planner"), (False, "answer_distractor"), (False, "writer"), (False, "answer_distractor"), (False, "writer")]
+    given = spark.createDataFrame([({"stem_clarity": "yes", "clarity": "no"},)], "g map<string,string>")
+    assert given.select(quiz.named_check(F.col("g"), "clear_language")).first()[0] == "yes"
+
+
+def test_weak_options_and_mentions(spark):
+    t = spark.createDataFrame([("Which method?", "confusion matrix"), ("Which metric?", "ridge regression"), ("Which concept?", "training error"), ("Which method?", "bootstrap"), ("Which error?", "recall")], "s string, o string")
+    assert [r[0] for r in t.select(quiz.weak_option(quiz.expected_type(F.col("s")), quiz.concept_type(F.col("o")))).collect()] == [True, True, False, False, True]
+    terms = spark.createDataFrame([("core loop",), ("loop",), ("k-means",), ("lone",)], "term string")
+    texts = spark.createDataFrame([(1, "The Core  loop runs."), (2, "Loops of k-means."), (3, None)], "id int, text string")
+    assert {tuple(r) for r in quiz.mentions(terms, texts).collect()} == {("core loop", 1), ("loop", 1), ("k-means", 2)}
