@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.keys import plain_key
+from graphloom.session import cut, numbered
+
 
 def validity(labels: DataFrame) -> DataFrame:
     """Label rows with the reason for which they would be rejected, null if valid."""
@@ -36,13 +39,122 @@ def reverse_negatives(labels: DataFrame, most: int) -> DataFrame:
     return turned.join(positive, ["src", "dst"], "left_anti").orderBy("ord").limit(most)
 
 
-def hard_negatives(labels: DataFrame, most: int) -> DataFrame:
-    """(src, dst, similarity): negatives between ends of positives, most similar first, ties by ids."""
-    positive = edges(labels)
-    pool = labels.filter((F.col("label") == 0) & F.col("similarity").isNotNull()).groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.max("similarity").alias("similarity"))
-    ends = positive.select(F.col("src").alias("node")).union(positive.select("dst")).distinct()
-    pool = pool.join(positive, ["src", "dst"], "left_anti").join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return pool.orderBy(F.desc("similarity"), "src", "dst").limit(most).select("src", "dst", "similarity")
+def name_similarity(nodes: DataFrame) -> DataFrame:
+    """(src, dst, similarity) of all ordered pairs of nodes (node, name) that share a word: cosine of their sets of words.
+
+    All other pairs have similarity 0. Words are met as inverted lists.
+    """
+    ws = nodes.select("node", F.array_distinct(F.split(plain_key(F.col("name")), " ")).alias("ws")).withColumn("size", F.size("ws"))
+    one = ws.select("node", "size", F.explode("ws").alias("w"))
+    a, b = (one.select(F.col("node").alias(x), F.col("size").alias(f"{x}_n"), "w") for x in ("src", "dst"))
+    met = a.join(b, "w").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"), F.first("src_n").alias("m"), F.first("dst_n").alias("n"))
+    return met.select("src", "dst", F.round(F.col("k") / F.sqrt(F.col("m") * F.col("n")), 9).alias("similarity"))
+
+
+def hard_negatives(train: DataFrame, gold: DataFrame, excluded: DataFrame, similarity: DataFrame, most: int) -> DataFrame:
+    """(src, dst, similarity): the most similar ordered pairs of ends of training positives that are neither gold nor excluded, ties by ids."""
+    ends = train.select(F.col("src").alias("node")).union(train.select("dst")).distinct()
+    pool = similarity.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return pool.join(gold.select("src", "dst").unionByName(excluded.select("src", "dst")).distinct(), ["src", "dst"], "left_anti").orderBy(F.desc("similarity"), "src", "dst").limit(most).select("src", "dst", "similarity")
+
+
+def random_pairs(nodes: DataFrame, taken: DataFrame, count: int, seed: int, spare: int = 4) -> DataFrame:
+    """(src, dst): `count` random ordered pairs of distinct nodes (node, n = 0..) that are not taken; an error if there are too few.
+
+    Draw k is the pair that a digest of seed and k names. `spare` times as many draws as wanted are made; pairs drawn
+    again or taken are left out and the earliest draws kept, and more are drawn if that isn't enough.
+    """
+    spark, n = nodes.sparkSession, nodes.count()
+    if count > n * (n - 1) - taken.filter("src <> dst").distinct().count():
+        raise ValueError(f"not enough pairs: {count} wanted")
+    while True:
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+        place = lambda at: F.pmod(F.conv(F.substring(h, at, 8), 16, 10).cast("long"), F.lit(n))
+        draws = spark.range(count * spare).select("id", place(1).alias("i"), place(9).alias("j")).filter("i <> j").groupBy("i", "j").agg(F.min("id").alias("id"))
+        named = draws.join(nodes.select(F.col("node").alias("src"), F.col("n").alias("i")), "i").join(nodes.select(F.col("node").alias("dst"), F.col("n").alias("j")), "j").select("id", "src", "dst")
+        got = cut(named.join(taken.select("src", "dst").distinct(), ["src", "dst"], "left_anti").orderBy("id").limit(count).select("src", "dst"))
+        if got.count() == count:
+            return got
+        spare *= 4
+
+
+def exactly(rows: DataFrame, count: int, what: str) -> DataFrame:
+    """The rows, if there are as many as wanted."""
+    n = rows.count()
+    if n < count:
+        raise ValueError(f"only {n} {what}, {count} wanted")
+    return rows
+
+
+def negative_pools(splits: DataFrame, gold: DataFrame, file_negatives: DataFrame, nodes: DataFrame, similarity: DataFrame, n_reverse: int, n_hard: int, ratio: float = 1.5, seed: int = 42) -> DataFrame:
+    """(src, dst, pool) of reverse, hard, label-file and evaluation negatives, each pool without what came before and without gold.
+
+    splits: (src, dst, split, ord). Reverse and hard pools must be full; the pool from the label file (src, dst) takes
+    at most `ratio` for each training positive and is capped by what there is.
+    """
+    train = splits.filter("split = 'train'")
+    counts = {r["split"]: r["n"] for r in splits.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    turned = train.groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.min("ord").alias("ord")).filter("src <> dst").join(gold.select("src", "dst"), ["src", "dst"], "left_anti")
+    reverse = exactly(cut(turned.orderBy("ord", "src", "dst").limit(n_reverse).select("src", "dst")), n_reverse, "reverse negatives")
+    hard = exactly(cut(hard_negatives(train, gold, reverse, similarity, n_hard).select("src", "dst")), n_hard, "hard negatives")
+    taken = gold.select("src", "dst").unionByName(reverse).unionByName(hard)
+    wanted = round(counts.get("train", 0) * ratio)
+    from_file = cut(file_negatives.select("src", "dst").distinct().join(taken, ["src", "dst"], "left_anti").orderBy(split_key(seed + 303, "src", "dst"), "src", "dst").limit(wanted))
+    taken = cut(taken.unionByName(from_file).distinct())
+    val = random_pairs(nodes, taken, counts.get("val", 0), seed + 101)
+    test = random_pairs(nodes, taken.unionByName(val), counts.get("test", 0), seed + 202)
+    pools = {"reverse": reverse, "hard": hard, "label_file_random": from_file, "val_random": val, "test_random": test}
+    out = None
+    for name, rows in pools.items():
+        part = rows.withColumn("pool", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def split_violations(splits: DataFrame, gold: DataFrame, pools: DataFrame) -> DataFrame:
+    """(rule, n): how often each rule of a finished split is broken; 0 everywhere if it is sound."""
+    key = ["src", "dst"]
+    n = lambda d, rule: d.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"))
+    return (
+        n(splits.groupBy(*key).agg(F.count_distinct("split").alias("k")).filter("k > 1"), "positives in several splits")
+        .unionByName(n(gold.select(*key).distinct().join(splits, key, "left_anti"), "gold in no split"))
+        .unionByName(n(splits.select(*key).distinct().join(gold, key, "left_anti"), "positives outside gold"))
+        .unionByName(n(pools.join(gold, key, "left_semi"), "negatives in gold"))
+        .unionByName(n(pools.groupBy(*key).agg(F.count_distinct("pool").alias("k")).filter("k > 1"), "negatives in several pools"))
+    )
+
+
+def attach_similarity(rows: DataFrame, similarity: DataFrame) -> DataFrame:
+    """Rows (src, dst, ...) with the similarity of their pair, 0 where it has none."""
+    return rows.join(similarity.select("src", "dst", "similarity"), ["src", "dst"], "left").fillna(0.0, ["similarity"])
+
+
+def frame_violations(labels: DataFrame, n_nodes: int | None = None) -> DataFrame:
+    """(rule, n): label rows that break a rule of the frame: ids missing, negative or out of range, id and index apart, self loops, labels other than 0 and 1."""
+    ids = ["source_id", "target_id", "source_index", "target_index"]
+    bad = {
+        "missing id": F.array_contains(F.array(*[F.col(c).isNull() for c in ids]), True),
+        "negative id": F.coalesce(F.least(*ids) < 0, F.lit(False)),
+        "id out of range": F.coalesce(F.greatest(*ids) >= n_nodes, F.lit(False)) if n_nodes is not None else F.lit(False),
+        "id and index apart": F.coalesce((F.col("source_id") != F.col("source_index")) | (F.col("target_id") != F.col("target_index")), F.lit(False)),
+        "self loop": F.coalesce(F.col("source_id") == F.col("target_id"), F.lit(False)),
+        "bad label": F.col("label").isNull() | ~F.col("label").isin(0, 1),
+    }
+    one = labels.agg(*[F.count_if(c).alias(k) for k, c in bad.items()])
+    return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in bad]), F.array(*[F.col(f"`{k}`") for k in bad]))).alias("rule", "n"))
+
+
+def contiguous(concepts: DataFrame, id_col: str = "concept_id") -> DataFrame:
+    """(n, lo, hi, distinct, ok): whether ids run from 0 without gaps or repeats."""
+    c = concepts.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count_distinct(id_col).alias("distinct"))
+    return c.withColumn("ok", (F.col("n") == F.col("distinct")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1))
+
+
+def finite_square(similarity: DataFrame, n_nodes: int) -> DataFrame:
+    """(n, n_bad, square): whether a long-form matrix (src, dst, similarity) is square and finite."""
+    s = F.col("similarity")
+    bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
+    return similarity.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_bad"), (F.count(F.lit(1)) == n_nodes * n_nodes).alias("square"))
 
 
 def split_key(seed: int, *columns: str) -> Column:
@@ -60,16 +172,12 @@ def hash_split(pairs: DataFrame, train: float = 0.6, val: float = 0.1, seed: int
 
 
 def exact_split(pairs: DataFrame, train: float = 0.6, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """(src, dst, split) with exact counts, by rank of the digest. The rank takes one range sort of the pairs."""
+    """(src, dst, split) with exact counts, by place in the order of the digests, numbered range by range."""
+    placed = numbered(pairs.select("src", "dst").withColumn("_h", split_key(seed, "src", "dst")), "_h", "src", "dst", name="_n")
     total = pairs.count()
     n_train = round(total * train)
     n_val = round(n_train * val)
-    keyed = pairs.withColumn("h", split_key(seed, "src", "dst"))
-    cut1 = keyed.orderBy("h", "src", "dst").limit(n_train).agg(F.max(F.struct("h", "src", "dst")).alias("c")).first()["c"] if n_train else None
-    cut2 = keyed.orderBy("h", "src", "dst").limit(n_train + n_val).agg(F.max(F.struct("h", "src", "dst")).alias("c")).first()["c"] if n_train + n_val else None
-    at = F.struct("h", "src", "dst")
-    upto = lambda c: F.lit(False) if c is None else at <= F.struct(F.lit(c["h"]), F.lit(c["src"]), F.lit(c["dst"]))
-    return keyed.select("src", "dst", F.when(upto(cut1), "train").when(upto(cut2), "val").otherwise("test").alias("split"))
+    return placed.select("src", "dst", F.when(F.col("_n") < n_train, "train").when(F.col("_n") < n_train + n_val, "val").otherwise("test").alias("split"))
 
 
 def leakage(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -87,12 +195,21 @@ def overlapping_pools(labels: DataFrame) -> DataFrame:
 
 
 def pair_universe(items: DataFrame, id_col: str) -> DataFrame:
-    """(pair_id, left_id, right_id) of all unordered pairs, ids 0.. in (left, right) order by a closed form."""
-    n = F.lit(items.count()).cast("long")
-    ranked = items.select(F.col(id_col).alias("id"), (F.row_number().over(Window.orderBy(id_col)) - 1).cast("long").alias("r"))  # names of one list
-    a, b = ranked.alias("a"), ranked.alias("b")
-    l, r = F.col("a.r"), F.col("b.r")  # noqa: E741
-    return a.join(b, l < r).select((l * n - F.expr("a.r * (a.r + 1) div 2") + (r - l - 1)).alias("pair_id"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    """(pair_id, left_id, right_id) of all unordered pairs, ids 0.. in (left, right) order by a closed form.
+
+    Each item lists the places behind its own, which are then joined by equality.
+    """
+    placed = cut(numbered(items.select(F.col(id_col).alias("id")), "id", name="r"))
+    n = placed.count()
+    left = placed.filter(F.col("r") < n - 1).select(F.col("id").alias("left_id"), F.col("r").alias("l"), F.explode(F.sequence(F.col("r") + 1, F.lit(n - 1).cast("long"))).alias("r"))
+    return left.join(placed.withColumnRenamed("id", "right_id"), "r").select((F.col("l") * n - F.expr("l * (l + 1) div 2") + (F.col("r") - F.col("l") - 1)).alias("pair_id"), "left_id", "right_id")
+
+
+def candidate_pairs(items: DataFrame, id_col: str, excluded: DataFrame) -> DataFrame:
+    """(src, dst) of all ordered pairs of distinct items that aren't excluded (src, dst)."""
+    u = pair_universe(items, id_col)
+    both = u.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")).unionByName(u.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst")))
+    return both.join(excluded.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
 def append_public_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:

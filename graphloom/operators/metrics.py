@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut, width
+
 #: Inner edges of ten equal bins as floating point sums give them.
 EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
 
@@ -25,15 +27,19 @@ def confusion(rows: DataFrame, threshold: Column | float, by: list[str] | None =
     )
 
 
-def auc(rows: DataFrame) -> DataFrame:
-    """Area under the curve with ties at half; 0.5 if a class is empty.
+def auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """([by,] auc): area under the curve with ties at half; 0.5 if a class is empty.
 
-    Rows are first counted per score, so the running sum goes over distinct scores and not over rows.
+    Rows are first counted per score; running sums go range by range of the distinct scores.
     """
-    per = rows.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("w", F.col("p") * (below + F.col("n") / 2))
-    return wins.agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(F.round(F.when((F.col("p") == 0) | (F.col("n") == 0), F.lit(0.5)).otherwise(F.col("w") / (F.col("p") * F.col("n"))), 6).alias("auc"))
+    by = by or []
+    per = rows.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    ranged = cut(per.repartitionByRange(width(per), *by, "score").withColumn("_p", F.spark_partition_id()))
+    whole = ranged.groupBy(*by, "_p").agg(F.sum("n").alias("_n"))  # one row per partition and group
+    before = whole.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by, F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_p").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = ranged.withColumn("_in", inside).join(F.broadcast(before), [*by, "_p"]).withColumn("w", F.col("p") * (F.col("_before") + F.col("_in") + F.col("n") / 2))
+    return wins.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(*by, F.round(F.when((F.col("p") == 0) | (F.col("n") == 0), F.lit(0.5)).otherwise(F.col("w") / (F.col("p") * F.col("n"))), 6).alias("auc"))
 
 
 def brier(rows: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def quantiles(rows: DataFrame, points: tuple[float, ...] = (0.01, 0.05, 0.25, 0.
 
 
 def fusion_grid(rows: DataFrame) -> DataFrame:
-    """(alpha, threshold, f1, accuracy, rank): weights of two scores (y, c, g) and thresholds, the best first.
+    """(alpha, threshold, f1, auc, accuracy, rank): weights of two scores (y, c, g), each with its best threshold, the best first.
 
     All 21 x 13 settings are evaluated in one pass: each row is multiplied by the 273 settings, a fixed number, and
     counted with partial sums before the shuffle.
@@ -73,4 +79,14 @@ def fusion_grid(rows: DataFrame) -> DataFrame:
         F.round(F.col("a") / 20, 2).alias("alpha"), F.round(F.col("t") / 20, 2).alias("threshold"), F.round(_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"),
         F.round((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n"), 6).alias("accuracy"),
     )
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("accuracy"), "alpha", "threshold")))  # 273 rows
+    # the best threshold of each weight by f1 and accuracy, then the best weight by f1, auc and accuracy, the first on ties
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("alpha").orderBy(F.desc("f1"), F.desc("accuracy"), "threshold"))).filter("r = 1").drop("r")
+    fused = rows.select("y", "c", "g", grid).select("y", "a", F.round((F.col("a") * F.col("c") + (20 - F.col("a")) * F.col("g")) / 20, 9).alias("score"))
+    areas = auc(fused, ["a"]).select(F.round(F.col("a") / 20, 2).alias("alpha"), "auc")
+    return best.join(areas, "alpha").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("auc"), F.desc("accuracy"), "alpha")))  # 21 rows
+
+
+def validation(rows: DataFrame) -> DataFrame:
+    """(model, threshold, f1, auc, accuracy): each model alone with its best threshold; weights 1 and 0 of the fusion."""
+    g = fusion_grid(rows).filter("alpha in (0, 1)")
+    return g.select(F.when(F.col("alpha") == 1, "content").otherwise("graph").alias("model"), "threshold", "f1", "auc", "accuracy")

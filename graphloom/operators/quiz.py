@@ -253,7 +253,10 @@ def mentions(terms: DataFrame, texts: DataFrame) -> DataFrame:
     if not sizes:
         return terms.select("term").join(texts.select("id"), F.lit(False))
     words = texts.select("id", clean_field(F.col("text")).alias("text"), F.split(plain_key(F.col("text")), " ").alias("ws"))
-    runs = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - w + 1, F.lit(1))), lambda i, w=w: F.array_join(F.slice("ws", i, F.lit(w)), " ")) for w in sizes])))
+    def runs_of(w: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - w + 1, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, F.lit(w)), " "))
+
+    runs = F.array_distinct(F.flatten(F.array(*map(runs_of, sizes))))
     met = words.select("id", F.explode(runs).alias("k")).join(t.select("term", "k"), "k").select("id", "term").distinct().join(words.select("id", "text"), "id")
     whole = F.concat(F.lit(r"(?<![a-z0-9])\Q"), clean_field(F.col("term")), F.lit(r"\E(?![a-z0-9])"))
     return met.filter(F.rlike("text", whole)).select("term", "id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import keys
 from graphloom.operators import aliases, evidence, graphq, labels, metrics, pseudo, quiz, simgraph
-from graphloom.session import table
+from graphloom.session import cut, numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,9 @@ def profile_join_report(spark, d):
     return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("concept").alias("n_named"), F.count("cid").alias("n_matched"), F.count_if(F.col("concept").isNotNull() & F.col("cid").isNull()).alias("n_unmatched"))
 
 
+PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
 # ---------------------------------------------------------------- keys and texts
 
 
@@ -108,7 +111,7 @@ SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM c""")
 def vocab_counts(spark, d):
     words = table(spark, d, "documents").select(F.explode(keys.tokens(F.col("text"))).alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
-    return counts.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).cast("long"))  # one row per word of the vocabulary
+    return numbered(counts, F.desc("n"), F.col("token"), name="id")
 
 
 @query(f"""WITH w AS (SELECT unnest({WORDS}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5)
@@ -184,13 +187,6 @@ def reverse_negatives(spark, d):
     return labels.reverse_negatives(table(spark, d, "train_labels_initial"), 500)
 
 
-@query("""WITH g AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM train_labels_initial WHERE label = 1 AND source_id <> target_id), e AS (SELECT src AS node FROM g UNION SELECT dst FROM g),
-p AS (SELECT source_id AS src, target_id AS dst, max(similarity) AS similarity FROM train_labels_initial WHERE label = 0 AND similarity IS NOT NULL GROUP BY 1, 2)
-SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = p.src AND g.dst = p.dst) AND src IN (SELECT node FROM e) AND dst IN (SELECT node FROM e) ORDER BY similarity DESC, src, dst LIMIT 200""")
-def hard_negatives(spark, d):
-    return labels.hard_negatives(table(spark, d, "train_labels_initial"), 200)
-
-
 @query("""WITH g AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM train_labels_initial WHERE label = 1 AND source_id <> target_id),
 p AS (SELECT *, ('0x' || substr(md5('42|' || src || '|' || dst), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM g)
 SELECT src, dst, CASE WHEN place < 0.6::DOUBLE THEN 'train' WHEN place < 0.7::DOUBLE THEN 'val' ELSE 'test' END AS split FROM p""")
@@ -216,32 +212,145 @@ def overlapping_pools(spark, d):
     return labels.overlapping_pools(table(spark, d, "train_labels_initial"))
 
 
-@query("SELECT row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS pair_id, a.n_nationkey AS left_id, b.n_nationkey AS right_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+UNIVERSE = "SELECT row_number() OVER (ORDER BY a.concept_id, b.concept_id) - 1 AS pair_id, a.concept_id AS left_id, b.concept_id AS right_id FROM mlr_concepts a JOIN mlr_concepts b ON a.concept_id < b.concept_id"
+#: Score of an ordered pair of indexes, a stand-in for a model that hasn't been trained.
+MOCK = "((src * 997 + dst * 37) % 1000) / 1000.0::DOUBLE"
+
+
+def mock_score(i, j):
+    return ((i * 997 + j * 37) % 1000) / F.lit(1000.0)
+
+
+@query(UNIVERSE)
 def pair_universe(spark, d):
-    return labels.pair_universe(table(spark, d, "nation"), "n_nationkey")
+    return labels.pair_universe(table(spark, d, "mlr_concepts"), "concept_id")
 
 
-@query("SELECT a.n_nationkey AS left_id, count(*) AS n, string_agg(b.n_nationkey::VARCHAR, ',' ORDER BY b.n_nationkey) AS rights FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey GROUP BY 1")
+@query("SELECT a.concept_id AS left_id, count(*) AS n, string_agg(b.concept_id::VARCHAR, ',' ORDER BY b.concept_id) AS rights FROM mlr_concepts a JOIN mlr_concepts b ON a.concept_id < b.concept_id GROUP BY 1")
 def anchor_groups(spark, d):
-    pairs = labels.pair_universe(table(spark, d, "nation"), "n_nationkey")
+    pairs = labels.pair_universe(table(spark, d, "mlr_concepts"), "concept_id")
     return pairs.groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("right_id")).cast("array<string>"), ",").alias("rights"))
 
 
-@query("""SELECT a.n_nationkey AS src, b.n_nationkey AS dst, ((a.n_nationkey * 997 + b.n_nationkey * 37) % 1000) / 1000.0::DOUBLE AS score FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey
-WHERE a.n_regionkey <> b.n_regionkey""")
+CANDIDATES = f"""cand AS (SELECT src, dst, {MOCK} AS score FROM (SELECT a.concept_id AS src, b.concept_id AS dst FROM mlr_concepts a JOIN mlr_concepts b ON a.concept_id <> b.concept_id) p WHERE NOT EXISTS (SELECT 1 FROM conf x WHERE x.src = p.src AND x.dst = p.dst))"""
+EXCLUDED = "conf AS (SELECT a.concept_id AS src, b.concept_id AS dst FROM mlr_concepts a JOIN mlr_concepts b ON a.concept_id <> b.concept_id AND string_split(a.canonical, ' ')[-1] = string_split(b.canonical, ' ')[-1] AND string_split(a.canonical, ' ')[1] = string_split(b.canonical, ' ')[1])"
+
+
+def _candidates(spark, d):
+    """All ordered pairs of concepts but those that share first and last word."""
+    c = table(spark, d, "mlr_concepts").select("concept_id", F.substring_index("canonical", " ", 1).alias("f"), F.substring_index("canonical", " ", -1).alias("l"))
+    same = c.select(F.col("concept_id").alias("src"), "f", "l").join(c.select(F.col("concept_id").alias("dst"), "f", "l"), ["f", "l"]).filter("src <> dst")
+    return labels.candidate_pairs(c, "concept_id", same)
+
+
+@query(f"WITH {EXCLUDED}, {CANDIDATES} SELECT src, dst, score FROM cand")
 def candidate_scores(spark, d):
-    n = table(spark, d, "nation")
-    a, b = n.alias("a"), n.alias("b")
-    i, j = F.col("a.n_nationkey"), F.col("b.n_nationkey")
-    return a.join(b, (i != j) & (F.col("a.n_regionkey") != F.col("b.n_regionkey"))).select(i.alias("src"), j.alias("dst"), (((i * 997 + j * 37) % 1000) / F.lit(1000.0)).alias("score"))  # 25 names
+    return _candidates(spark, d).select("src", "dst", mock_score(F.col("src"), F.col("dst")).alias("score"))
+
 
+TRAIN = "(SELECT count(*) FROM train_labels_initial WHERE label = 1)"
+JUDGED = "sc AS (SELECT src, dst, score AS model, CASE WHEN (src + dst) % 7 = 0 THEN NULL ELSE ((src * 31 + dst * 17) % 100) / 100.0::DOUBLE END AS judge FROM cand)"
 
-@query("""WITH s AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, ((a.n_nationkey * 997 + b.n_nationkey * 37) % 1000) / 1000.0::DOUBLE AS score FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey)
-SELECT * FROM (SELECT src, dst, score, 1 AS label FROM s WHERE score >= 0.8::DOUBLE ORDER BY score DESC, src, dst LIMIT 40) UNION ALL SELECT * FROM (SELECT src, dst, score, 0 AS label FROM s WHERE score <= 0.2::DOUBLE ORDER BY score, src, dst LIMIT 40)""")
+
+def _judged(spark, d):
+    i, j = F.col("src"), F.col("dst")
+    return _candidates(spark, d).select("src", "dst", mock_score(i, j).alias("model"), F.when((i + j) % 7 != 0, ((i * 31 + j * 17) % 100) / F.lit(100.0)).alias("judge"))
+
+
+@query(f"""WITH {EXCLUDED}, {CANDIDATES}, {JUDGED}, bud AS (SELECT greatest(1, greatest(2, floor(0.1::DOUBLE * {TRAIN})::BIGINT) // 2) AS k), pc AS (SELECT *, row_number() OVER (ORDER BY model DESC, src, dst) AS r FROM sc WHERE model >= 0.8::DOUBLE), nc AS (SELECT *, row_number() OVER (ORDER BY model, src, dst) AS r FROM sc WHERE model <= 0.2::DOUBLE),
+p AS (SELECT src, dst, 0.5::DOUBLE * judge + 0.5::DOUBLE * model AS combined FROM pc WHERE r <= 2 * (SELECT k FROM bud) AND judge IS NOT NULL), n AS (SELECT src, dst, 0.5::DOUBLE * judge + 0.5::DOUBLE * model AS combined FROM nc WHERE r <= 2 * (SELECT k FROM bud) AND judge IS NOT NULL)
+SELECT src, dst, 1 AS label, round(combined, 9) AS combined FROM (SELECT *, row_number() OVER (ORDER BY combined DESC, src, dst) AS r FROM p) WHERE r <= (SELECT k FROM bud) UNION ALL SELECT src, dst, 0, round(combined, 9) FROM (SELECT *, row_number() OVER (ORDER BY combined, src, dst) AS r FROM n) WHERE r <= (SELECT k FROM bud)""")
 def pseudo_topk(spark, d):
-    s = candidate_scores(spark, d)
-    pos = s.filter("score >= 0.8").orderBy(F.desc("score"), "src", "dst").limit(40).withColumn("label", F.lit(1))
-    return pos.unionByName(s.filter("score <= 0.2").orderBy("score", "src", "dst").limit(40).withColumn("label", F.lit(0)))
+    n = table(spark, d, "train_labels_initial").filter("label = 1").count()
+    return pseudo.select_pseudo(_judged(spark, d), n).withColumn("combined", F.round("combined", 9))
+
+
+@query(f"""WITH {EXCLUDED}, {CANDIDATES}, s AS (SELECT src, dst, score AS content, ((src * 53 + dst * 29) % 100) / 100.0::DOUBLE AS graph, ((src * 31 + dst * 17) % 100) / 100.0::DOUBLE AS judge FROM cand),
+m AS (SELECT *, abs(content - graph) AS gap FROM s WHERE (graph >= 0.65::DOUBLE AND content <= 0.45::DOUBLE) OR (content >= 0.60::DOUBLE AND graph <= 0.35::DOUBLE)), t AS (SELECT *, row_number() OVER (ORDER BY gap DESC, src, dst) AS r FROM m), k AS (SELECT *, row_number() OVER (ORDER BY gap DESC, src, dst) AS q FROM t WHERE r <= 400 AND judge <= 0.30::DOUBLE)
+SELECT src, dst, 0 AS label, greatest(content, graph) AS model, greatest(least(content, graph, judge, 0.30::DOUBLE), 0.15::DOUBLE) AS combined, round(gap, 9) AS disagreement FROM k WHERE q <= 200""")
+def mined_negatives(spark, d):
+    i, j = F.col("src"), F.col("dst")
+    s = _candidates(spark, d).select("src", "dst", mock_score(i, j).alias("content"), ((i * 53 + j * 29) % 100 / F.lit(100.0)).alias("graph"), ((i * 31 + j * 17) % 100 / F.lit(100.0)).alias("judge"))
+    return pseudo.mined_negatives(s, 200).withColumn("disagreement", F.round("disagreement", 9))
+
+
+@query()
+def alternate_teaching(spark, d):
+    i, j = F.col("src"), F.col("dst")
+    s = _candidates(spark, d).select("src", "dst", mock_score(i, j).alias("content"), ((i * 53 + j * 29) % 100 / F.lit(100.0)).alias("graph"), ((i * 31 + j * 17) % 100 / F.lit(100.0)).alias("judge"))
+    gold = labels.edges(table(spark, d, "train_labels_initial"))
+    return pseudo.alternate(s, gold, table(spark, d, "train_labels_initial").filter("label = 1").count())[1]
+
+
+# ---------------------------------------------------------------- splits and pools of negatives
+
+LABEL_NODES = f"nd AS (SELECT node, min(name) AS name, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT source_id AS node, {PLAIN.format('source')} AS name FROM train_labels_initial UNION ALL SELECT target_id, {PLAIN.format('target')} FROM train_labels_initial) GROUP BY 1)"
+GOLD_SPLIT = """gd AS (SELECT source_id AS src, target_id AS dst, min(label_id) AS ord FROM train_labels_initial WHERE label = 1 AND source_id <> target_id GROUP BY 1, 2), pl AS (SELECT *, ('0x' || substr(md5('42|' || src || '|' || dst), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM gd),
+sp AS (SELECT src, dst, CASE WHEN place < 0.6::DOUBLE THEN 'train' WHEN place < 0.7::DOUBLE THEN 'val' ELSE 'test' END AS split, ord FROM pl)"""
+SIMILAR = """ws AS (SELECT node, list_distinct(string_split(name, ' ')) AS w FROM nd), sm AS (SELECT a.node AS src, b.node AS dst, round(len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)), 9) AS similarity FROM ws a JOIN ws b ON a.node <> b.node AND len(list_intersect(a.w, b.w)) > 0)"""
+POOLS = """rv AS (SELECT dst AS src, src AS dst, min(ord) AS ord FROM sp WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM gd WHERE gd.src = sp.dst AND gd.dst = sp.src) GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 20), tn AS (SELECT src AS node FROM sp WHERE split = 'train' UNION SELECT dst FROM sp WHERE split = 'train'),
+hd AS (SELECT src, dst, similarity FROM sm WHERE src IN (SELECT node FROM tn) AND dst IN (SELECT node FROM tn) AND NOT EXISTS (SELECT 1 FROM gd WHERE gd.src = sm.src AND gd.dst = sm.dst) AND NOT EXISTS (SELECT 1 FROM rv WHERE rv.src = sm.src AND rv.dst = sm.dst) ORDER BY 3 DESC, 1, 2 LIMIT 20),
+t1 AS (SELECT src, dst FROM gd UNION SELECT src, dst FROM rv UNION SELECT src, dst FROM hd), fn AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM train_labels_initial WHERE label = 0 AND source_id <> target_id),
+fr AS (SELECT src, dst FROM fn WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.src = fn.src AND t1.dst = fn.dst) ORDER BY md5('345|' || src || '|' || dst), src, dst LIMIT (SELECT round_even(1.5 * count(*), 0)::BIGINT FROM sp WHERE split = 'train')), t2 AS (SELECT * FROM t1 UNION SELECT * FROM fr)"""
+DRAW = """{name} AS (SELECT src, dst FROM (SELECT a.node AS src, b.node AS dst, k FROM (SELECT i, j, min(k) AS k FROM (SELECT k, ('0x' || substr(md5('{seed}|' || k), 1, 8))::BIGINT % (SELECT count(*) FROM nd) AS i, ('0x' || substr(md5('{seed}|' || k), 9, 8))::BIGINT % (SELECT count(*) FROM nd) AS j FROM range((SELECT 4 * count(*) FROM sp WHERE split = '{split}')) r(k)) WHERE i <> j GROUP BY 1, 2) JOIN nd a ON a.n = i JOIN nd b ON b.n = j)
+WHERE NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.src = a0 AND t.dst = b0) ORDER BY k LIMIT (SELECT count(*) FROM sp WHERE split = '{split}'))"""
+DRAW = DRAW.replace("t.src = a0 AND t.dst = b0", "t.src = q.src AND t.dst = q.dst").replace("JOIN nd b ON b.n = j)\nWHERE", "JOIN nd b ON b.n = j) q\nWHERE")
+PARTS = f"{LABEL_NODES}, {GOLD_SPLIT}, {SIMILAR}, {POOLS}, {DRAW.format(name='vr', seed=143, split='val', taken='t2')}, t3 AS (SELECT * FROM t2 UNION SELECT * FROM vr), {DRAW.format(name='tr', seed=244, split='test', taken='t3')}"
+
+
+def _label_nodes(spark, d):
+    t = table(spark, d, "train_labels_initial")
+    both = t.select(F.col("source_id").alias("node"), keys.plain_key(F.col("source")).alias("name")).union(t.select("target_id", keys.plain_key(F.col("target"))))
+    return cut(both.groupBy("node").agg(F.min("name").alias("name")))
+
+
+def _pools(spark, d):
+    t = table(spark, d, "train_labels_initial")
+    nodes = _label_nodes(spark, d)
+    gold = cut(t.filter("label = 1 and source_id <> target_id").groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.min("label_id").alias("ord")))
+    splits = cut(labels.hash_split(gold).join(gold, ["src", "dst"]))
+    file_negatives = labels.edges(t, 0)
+    return splits, gold, labels.negative_pools(splits, gold, file_negatives, numbered(nodes.select("node"), "node"), cut(labels.name_similarity(nodes)), 20, 20)
+
+
+@query(f"WITH {PARTS} SELECT src, dst, 'reverse' AS pool FROM rv UNION ALL SELECT src, dst, 'hard' FROM hd UNION ALL SELECT src, dst, 'label_file_random' FROM fr UNION ALL SELECT src, dst, 'val_random' FROM vr UNION ALL SELECT src, dst, 'test_random' FROM tr")
+def negative_pools(spark, d):
+    return _pools(spark, d)[2]
+
+
+@query("SELECT unnest(['positives in several splits', 'gold in no split', 'positives outside gold', 'negatives in gold', 'negatives in several pools']) AS rule, 0::BIGINT AS n")
+def split_violations(spark, d):
+    splits, gold, pools = _pools(spark, d)
+    return labels.split_violations(splits, gold, pools)
+
+
+@query(f"""WITH {LABEL_NODES}, {GOLD_SPLIT}, {SIMILAR}, tn AS (SELECT src AS node FROM gd UNION SELECT dst FROM gd)
+SELECT src, dst, similarity FROM sm WHERE src IN (SELECT node FROM tn) AND dst IN (SELECT node FROM tn) AND NOT EXISTS (SELECT 1 FROM gd WHERE gd.src = sm.src AND gd.dst = sm.dst) ORDER BY similarity DESC, src, dst LIMIT 200""")
+def hard_negatives(spark, d):
+    gold = labels.edges(table(spark, d, "train_labels_initial"))
+    return labels.hard_negatives(gold, gold, gold.limit(0), labels.name_similarity(_label_nodes(spark, d)), 200)
+
+
+@query(f"""WITH {LABEL_NODES}, {GOLD_SPLIT}, {SIMILAR} SELECT g.src, g.dst, coalesce(similarity, 0) AS similarity FROM gd g LEFT JOIN sm ON sm.src = g.src AND sm.dst = g.dst""")
+def attached_similarity(spark, d):
+    return labels.attach_similarity(labels.edges(table(spark, d, "train_labels_initial")), labels.name_similarity(_label_nodes(spark, d)))
+
+
+@query("""WITH t AS (SELECT * FROM train_labels_initial UNION ALL SELECT * FROM test_neg) SELECT 'missing id' AS rule, count(*) FILTER (source_id IS NULL OR target_id IS NULL OR source_index IS NULL OR target_index IS NULL) AS n FROM t UNION ALL SELECT 'negative id', count(*) FILTER (least(source_id, target_id, source_index, target_index) < 0) FROM t
+UNION ALL SELECT 'id out of range', count(*) FILTER (greatest(source_id, target_id, source_index, target_index) >= 1000000) FROM t UNION ALL SELECT 'id and index apart', count(*) FILTER (source_id <> source_index OR target_id <> target_index) FROM t UNION ALL SELECT 'self loop', count(*) FILTER (source_id = target_id) FROM t UNION ALL SELECT 'bad label', count(*) FILTER (label IS NULL OR label NOT IN (0, 1)) FROM t""")
+def frame_violations(spark, d):
+    return labels.frame_violations(table(spark, d, "train_labels_initial").unionByName(table(spark, d, "test_neg")), 1_000_000)
+
+
+@query("SELECT count(*) AS n, min(concept_id) AS lo, max(concept_id) AS hi, count(DISTINCT concept_id) AS distinct, count(*) = count(DISTINCT concept_id) AND min(concept_id) = 0 AND max(concept_id) = count(*) - 1 AS ok FROM mlr_concepts")
+def contiguous_concepts(spark, d):
+    return labels.contiguous(table(spark, d, "mlr_concepts"))
+
+
+@query(f"WITH {LABEL_NODES}, {SIMILAR} SELECT count(*) AS n, 0::BIGINT AS n_bad, count(*) = (SELECT count(*) * count(*) FROM nd) AS square FROM sm")
+def similarity_matrix_check(spark, d):
+    nodes = _label_nodes(spark, d)
+    return labels.finite_square(labels.name_similarity(nodes), nodes.count())
 
 
 def _append_input(spark, d):
@@ -302,23 +411,38 @@ def score_quantiles(spark, d):
     return metrics.quantiles(_scored(spark, d))
 
 
-@query("""WITH s AS (SELECT label AS y, similarity AS c, ((source_id::BIGINT * 997 + target_id::BIGINT * 37) % 1000) / 1000.0::DOUBLE AS g FROM train_labels_initial WHERE similarity IS NOT NULL),
+FUSION = """s AS (SELECT label AS y, similarity AS c, ((source_id::BIGINT * 997 + target_id::BIGINT * 37) % 1000) / 1000.0::DOUBLE AS g FROM train_labels_initial WHERE similarity IS NOT NULL),
 k AS (SELECT a, t, count(*) FILTER (p AND y = 1) AS tp, count(*) FILTER (p AND y = 0) AS fp, count(*) FILTER (NOT p AND y = 1) AS fn, count(*) AS n FROM
   (SELECT y, a, t, round((a * c + (20 - a) * g) / 20, 9) >= t / 20.0::DOUBLE AS p FROM s, range(21) x(a), range(4, 17) z(t)) GROUP BY 1, 2),
-m AS (SELECT round(a / 20.0::DOUBLE, 2) AS alpha, round(t / 20.0::DOUBLE, 2) AS threshold, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6) AS f1, round((n - fp - fn)::DOUBLE / n, 6) AS accuracy FROM k)
-SELECT *, row_number() OVER (ORDER BY f1 DESC, accuracy DESC, alpha, threshold)::INT AS rank FROM m""")
-def fusion_grid(spark, d):
+m AS (SELECT round(a / 20.0::DOUBLE, 2) AS alpha, round(t / 20.0::DOUBLE, 2) AS threshold, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6) AS f1, round((n - fp - fn)::DOUBLE / n, 6) AS accuracy FROM k),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY f1 DESC, accuracy DESC, threshold) AS r FROM m) WHERE r = 1), fs AS (SELECT a, y, round((a * c + (20 - a) * g) / 20, 9) AS score FROM s, range(21) x(a)),
+rk AS (SELECT a, y, rank() OVER (PARTITION BY a ORDER BY score) + (count(*) OVER (PARTITION BY a, score) - 1) / 2.0::DOUBLE AS rk FROM fs), ar AS (SELECT a, sum(rk) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM rk GROUP BY 1),
+au AS (SELECT round(a / 20.0::DOUBLE, 2) AS alpha, round(CASE WHEN p = 0 OR q = 0 THEN 0.5 ELSE (sr - p * (p + 1) / 2.0::DOUBLE) / (p * q) END, 6) AS auc FROM ar),
+fg AS (SELECT alpha, threshold, f1, auc, accuracy, row_number() OVER (ORDER BY f1 DESC, auc DESC, accuracy DESC, alpha)::INT AS rank FROM best JOIN au USING (alpha))"""
+
+
+def _fusion(spark, d):
     g = ((F.col("source_id").cast("long") * 997 + F.col("target_id").cast("long") * 37) % 1000) / F.lit(1000.0)
-    return metrics.fusion_grid(table(spark, d, "train_labels_initial").filter("similarity is not null").select(F.col("label").alias("y"), F.col("similarity").alias("c"), g.alias("g")))
+    return table(spark, d, "train_labels_initial").filter("similarity is not null").select(F.col("label").alias("y"), F.col("similarity").alias("c"), g.alias("g"))
+
+
+@query(f"WITH {FUSION} SELECT * FROM fg")
+def fusion_grid(spark, d):
+    return metrics.fusion_grid(_fusion(spark, d))
+
+
+@query(f"WITH {FUSION} SELECT CASE alpha WHEN 1 THEN 'content' ELSE 'graph' END AS model, threshold, f1, auc, accuracy FROM fg WHERE alpha IN (0, 1)")
+def model_validation(spark, d):
+    return metrics.validation(_fusion(spark, d))
 
 
 @query("""SELECT label_id, round(ln(greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE))), 6) AS logit,
 round(1 / (1 + exp(-(ln(greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE))) / 1.5::DOUBLE + 0.1::DOUBLE))), 6) AS calibrated,
-round(least(greatest(similarity, 0.1::DOUBLE), 0.9::DOUBLE), 6) AS soft, round(least(greatest(0.2::DOUBLE * 2 * abs(similarity - 0.5::DOUBLE), 0.05::DOUBLE), 0.5::DOUBLE), 6) AS weight FROM train_labels_initial WHERE similarity IS NOT NULL""")
+round(least(greatest(similarity, 0.1::DOUBLE), 0.9::DOUBLE), 6) AS soft, round(least(greatest(0.2::DOUBLE * 2 * abs(least(greatest(similarity, 0.1::DOUBLE), 0.9::DOUBLE) - 0.5::DOUBLE), 0.05::DOUBLE), 0.5::DOUBLE), 6) AS weight FROM train_labels_initial WHERE similarity IS NOT NULL""")
 def calibrated_scores(spark, d):
     s = F.col("similarity")
     return table(spark, d, "train_labels_initial").filter("similarity is not null").select(
-        "label_id", F.round(keys.logit(s), 6).alias("logit"), F.round(keys.calibrated(keys.logit(s), 1.5, 0.1), 6).alias("calibrated"), F.round(pseudo.soft_target(s), 6).alias("soft"), F.round(pseudo.soft_weight(s, 0.2), 6).alias("weight")
+        "label_id", F.round(keys.logit(s), 6).alias("logit"), F.round(keys.calibrated(keys.logit(s), 1.5, 0.1), 6).alias("calibrated"), F.round(pseudo.soft_target(s), 6).alias("soft"), F.round(pseudo.soft_weight(s, 1), 6).alias("weight")
     )
 
 
@@ -344,13 +468,73 @@ def conflict_resolution(spark, d):
     return pseudo.resolve_conflicts(e.filter("event_id % 11 = 0").select("src", "dst").distinct(), e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"))
 
 
-@query("""WITH s AS (SELECT user_id AS pair, ts::DATE AS round, event_type AS teacher, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS label, event_id AS ord FROM events WHERE value IS NOT NULL),
+SIGHTED = """s AS (SELECT user_id AS pair, ts::DATE AS round, event_type AS teacher, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS label, (event_id * 37 % 101) / 100.0::DOUBLE AS combined, event_id AS ord FROM events WHERE value IS NOT NULL),
 t AS (SELECT *, coalesce((lag(label) OVER (PARTITION BY pair ORDER BY round, ord) <> label)::INT, 0) AS turn FROM s), u AS (SELECT *, sum(turn) OVER (PARTITION BY pair ORDER BY round, ord) AS stretch FROM t),
-p AS (SELECT pair, stretch, min(label) AS label, count(DISTINCT round || '|' || teacher) AS hits, max(round) AS last_round FROM u GROUP BY 1, 2)
-SELECT pair, arg_max(label, stretch) AS label, arg_max(hits, stretch) AS hits, max(stretch)::BIGINT AS conflicts, arg_max(last_round, stretch) AS last_round FROM p GROUP BY 1""")
+v AS (SELECT *, (coalesce(lag(round) OVER (PARTITION BY pair, stretch ORDER BY round, ord) <> round, true) OR row_number() OVER (PARTITION BY pair, stretch, teacher ORDER BY round, ord) = 1)::INT AS hit FROM u),
+h AS (SELECT *, sum(hit) OVER (PARTITION BY pair, stretch ORDER BY round, ord) AS hits, CASE WHEN label = 1 THEN combined ELSE 1 - combined END AS conf FROM v)"""
+
+
+def _sightings(spark, d):
+    return table(spark, d, "events").filter("value is not null").select(
+        F.col("user_id").alias("pair"), F.to_date("ts").alias("round"), F.col("event_type").alias("teacher"), F.when(F.col("value") >= 20, 1).otherwise(0).alias("label"), ((F.col("event_id") * 37 % 101) / F.lit(100.0)).alias("combined"), F.col("event_id").alias("ord")
+    )
+
+
+@query(f"""WITH {SIGHTED}, p AS (SELECT pair, stretch, min(label) AS label, max(hits) AS hits, max(round) AS last_round FROM h GROUP BY 1, 2)
+SELECT pair, arg_max(label, stretch) AS label, arg_max(hits, stretch)::BIGINT AS hits, max(stretch)::BIGINT AS conflicts, arg_max(last_round, stretch) AS last_round FROM p GROUP BY 1""")
 def stable_tracker(spark, d):
-    e = table(spark, d, "events").filter("value is not null").select(F.col("user_id").alias("pair"), F.to_date("ts").alias("round"), F.col("event_type").alias("teacher"), F.when(F.col("value") >= 20, 1).otherwise(0).alias("label"), F.col("event_id").alias("ord"))
-    return pseudo.stable_hits(e)
+    return pseudo.stable_hits(_sightings(spark, d))
+
+
+@query(f"""WITH {SIGHTED}, e AS (SELECT * FROM h WHERE hit = 1 AND hits = 3) SELECT e.pair, e.round, e.label, max(x.conf) AS conf, arg_max(x.teacher, x.conf * 1e9 + x.ord / 1e9) AS teacher, arg_max(x.ord, x.conf * 1e9 + x.ord / 1e9) AS row
+FROM e JOIN h x ON x.pair = e.pair AND x.stretch = e.stretch AND (x.round < e.round OR (x.round = e.round AND x.ord <= e.ord)) GROUP BY e.pair, e.round, e.label, e.ord""")
+def newly_stable(spark, d):
+    return pseudo.newly_stable(_sightings(spark, d), 3)
+
+
+PSEUDO = "ps AS (SELECT source_id AS src, target_id AS dst, label, similarity AS combined, CASE label WHEN 1 THEN 'positive' ELSE 'negative' END AS type, CASE WHEN label_id % 5 = 0 THEN 'n/a' ELSE (label_id % 100)::VARCHAR END AS judge FROM train_labels_initial WHERE similarity IS NOT NULL)"
+
+
+def _pseudo(spark, d):
+    t = table(spark, d, "train_labels_initial").filter("similarity is not null")
+    return t.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "label", F.col("similarity").alias("combined"), F.when(F.col("label") == 1, "positive").otherwise("negative").alias("type"), F.when(F.col("label_id") % 5 == 0, "n/a").otherwise((F.col("label_id") % 100).cast("string")).alias("judge"))
+
+
+@query(f"""WITH {PSEUDO}, f AS (SELECT source_id, target_id, label, split, negative_type, similarity, NULL::DOUBLE AS combined, NULL::DOUBLE AS label_confidence FROM train_labels_initial UNION ALL SELECT source_id, target_id, label, split, negative_type, similarity, NULL, NULL FROM test_neg
+UNION ALL SELECT src, dst, label, 'train', 'pseudo_' || type, NULL, combined, CASE WHEN label = 1 THEN combined ELSE 1 - combined END FROM ps)
+SELECT split, coalesce(negative_type, 'missing') AS negative_type, count(*) AS n, count(similarity) AS n_similarity, round(avg(label_confidence), 6) AS mean_confidence FROM f GROUP BY 1, 2""")
+def training_frame(spark, d):
+    cols = ["source_id", "target_id", "label", "split", "negative_type", "similarity"]
+    f = pseudo.training_frame(table(spark, d, "train_labels_initial").select(*cols), table(spark, d, "test_neg").select(*cols), _pseudo(spark, d))
+    return f.groupBy("split", F.coalesce("negative_type", F.lit("missing")).alias("negative_type")).agg(F.count(F.lit(1)).alias("n"), F.count("similarity").alias("n_similarity"), F.round(F.avg("label_confidence"), 6).alias("mean_confidence"))
+
+
+@query(f"WITH {PSEUDO} SELECT count(*) AS total, round(avg(CASE WHEN label = 1 THEN combined ELSE 1 - combined END), 6) AS mean_confidence, round(avg(try_cast(judge AS DOUBLE)), 6) AS mean_judge FROM ps")
+def pseudo_quality(spark, d):
+    return pseudo.quality(_pseudo(spark, d).withColumn("label_confidence", pseudo.label_confidence(F.col("label"), F.col("combined"))))
+
+
+@query("""WITH r AS (SELECT chapter AS round, count(*) AS n, round(avg(length(latex)), 3) AS auc, round(avg(pdf_page), 3) AS f1, count(concept)::DOUBLE AS accuracy FROM mlr_formula WHERE chapter IS NOT NULL GROUP BY 1) SELECT * FROM r ORDER BY f1 DESC, auc DESC, accuracy DESC, round LIMIT 1""")
+def best_round(spark, d):
+    r = table(spark, d, "mlr_formula").filter("chapter is not null").groupBy(F.col("chapter").alias("round")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("latex")), 3).alias("auc"), F.round(F.avg("pdf_page"), 3).alias("f1"), F.count("concept").cast("double").alias("accuracy"))
+    return pseudo.best_round(r, ("f1", "auc", "accuracy"))
+
+
+@query("""WITH r AS (SELECT ln(greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE))) * 3 AS l, -ln(greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(similarity, 1 - 0.000001::DOUBLE), 0.000001::DOUBLE))) AS b, CASE WHEN label = 1 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS t FROM train_labels_initial WHERE similarity IS NOT NULL),
+q AS (SELECT *, abs(t - 0.5) * 2 AS sure, 1 / (1 + exp(-ln(t / (1 - t)) / 2)) AS soft FROM r)
+SELECT round(avg((greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))) * 0.2), 6) AS bce, round(avg(greatest(0.25 - 1 / (1 + exp(-l)) + 1 / (1 + exp(-b)), 0)), 6) AS reverse, round(avg(pow(greatest(abs(l) - 4, 0), 2)), 6) AS capped,
+round(avg(CASE WHEN sure >= 0.5 THEN (greatest(l / 2, 0) - l / 2 * soft + ln(1 + exp(-abs(l / 2)))) * sure END), 6) AS kd, count(*) FILTER (sure >= 0.5) AS kd_rows FROM q""")
+def training_losses(spark, d):
+    l = keys.logit(F.col("similarity"))  # noqa: E741
+    t = table(spark, d, "train_labels_initial").filter("similarity is not null")
+    return pseudo.losses(t.select((l * 3).alias("logit"), (-l).alias("reverse_logit"), F.when(F.col("label") == 1, 0.9).otherwise(0.3).alias("target"), F.lit(0.2).alias("weight")))
+
+
+@query("""WITH b AS (SELECT avg(label) - 0.5 AS bias FROM train_labels_initial) SELECT label_id, round(1 / (1 + exp(-4 * (similarity - 0.5 + bias))), 6) AS score FROM train_labels_initial, b WHERE similarity IS NOT NULL""")
+def biased_scores(spark, d):
+    t = table(spark, d, "train_labels_initial")
+    bias = t.agg((F.avg("label") - 0.5).alias("bias"))
+    return t.filter("similarity is not null").join(F.broadcast(bias)).select("label_id", F.round(1 / (1 + F.exp(-4 * (F.col("similarity") - 0.5 + F.col("bias")))), 6).alias("score"))  # one row
 
 
 # ---------------------------------------------------------------- similarity graph
@@ -466,7 +650,6 @@ def ranking_eligible(spark, d):
 
 # ---------------------------------------------------------------- evidence and pages
 
-PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(rf"""SELECT context_id, max((CASE WHEN length(evidence) BETWEEN 80 AND 400 THEN 3 WHEN length(evidence) BETWEEN 40 AND 800 THEN 2 WHEN length(evidence) > 0 THEN 1 ELSE 0 END) + regexp_matches(rtrim(evidence, ' '), '[.!?]$')::INT

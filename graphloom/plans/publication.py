@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import labels, publication
-from graphloom.plans.catalogue import PLAIN, query
+from graphloom.plans.catalogue import PLAIN, UNIVERSE, query
 from graphloom.session import table
 
 
@@ -29,12 +29,11 @@ def profile_validation(spark, d):
     return table(spark, d, "dgl_page_summaries").select("summary_id", publication.profile_reason(F.col("summary"), 40).alias("reason"))
 
 
-@query("""WITH e AS (SELECT row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS pair_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
-d AS (SELECT event_id % 320 AS pair_id, count(*) AS k, max(CASE WHEN event_id % 7 - 1 IN (-1, 0, 1) THEN 0 ELSE 1 END) AS bad FROM events WHERE event_id % 3 = 0 AND event_id < 700 GROUP BY 1)
+@query(f"""WITH e AS ({UNIVERSE}), d AS (SELECT event_id % 200000 AS pair_id, count(*) AS k, max(CASE WHEN event_id % 7 - 1 IN (-1, 0, 1) THEN 0 ELSE 1 END) AS bad FROM events GROUP BY 1)
 SELECT CASE WHEN k IS NULL THEN 'missing' WHEN e.pair_id IS NULL THEN 'unknown' WHEN k > 1 THEN 'repeated' WHEN bad = 1 THEN 'bad_label' ELSE 'ok' END AS status, count(*) AS n FROM e FULL JOIN d ON e.pair_id = d.pair_id GROUP BY 1""")
 def decision_validation(spark, d):
-    decisions = table(spark, d, "events").filter("event_id % 3 = 0 and event_id < 700").select((F.col("event_id") % 320).alias("pair_id"), (F.col("event_id") % 7 - 1).alias("label"))
-    return publication.decision_report(labels.pair_universe(table(spark, d, "nation"), "n_nationkey"), decisions)
+    decisions = table(spark, d, "events").select((F.col("event_id") % 200_000).alias("pair_id"), (F.col("event_id") % 7 - 1).alias("label"))
+    return publication.decision_report(labels.pair_universe(table(spark, d, "mlr_concepts"), "concept_id"), decisions)
 
 
 @query("""WITH n AS (SELECT canonical AS name FROM mlr_concepts), q AS (SELECT DISTINCT array_to_string(string_split(canonical, ' ')[-2:], ' ') AS q FROM mlr_concepts UNION SELECT DISTINCT 'deep ' || string_split(canonical, ' ')[1] FROM mlr_concepts),
@@ -76,11 +75,11 @@ def dataset_union(spark, d):
     return publication.prefixed_union({"mlr": s.filter("dataset = 'MLR'"), "dgl": s.filter("dataset = 'DGL'")}, "concept")
 
 
-@query("""WITH p AS (SELECT row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS pair_id, a.n_nationkey AS left_id, b.n_nationkey AS right_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
+@query("""WITH p AS (""" + UNIVERSE + """),
 d AS (SELECT *, CASE pair_id % 11 WHEN 0 THEN 1 WHEN 5 THEN -1 ELSE 0 END AS label FROM p), pos AS (SELECT pair_id, CASE WHEN label = 1 THEN left_id ELSE right_id END AS source, CASE WHEN label = 1 THEN right_id ELSE left_id END AS target, 1 AS label FROM d WHERE label <> 0)
 SELECT * FROM pos UNION ALL SELECT pair_id, left_id, right_id, 0 FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) AS rn FROM d WHERE label = 0) WHERE rn <= 2 * (SELECT count(*) FROM pos)""")
 def public_rows(spark, d):
-    pairs = labels.pair_universe(table(spark, d, "nation"), "n_nationkey")
+    pairs = labels.pair_universe(table(spark, d, "mlr_concepts"), "concept_id")
     m = F.col("pair_id") % 11
     return publication.public_rows(pairs.withColumn("label", F.when(m == 0, 1).when(m == 5, -1).otherwise(0)))
 

@@ -8,8 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULTS = {
@@ -56,10 +55,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """Use the shared folder that spark.checkpoint.dir names; a temporary one only in local mode, where all share the machine."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,6 +76,16 @@ def width(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
+    """Rows with their place (0..) in a total order, in a column `name`; no task holds more than one range of them."""
+    spark = df.sparkSession
+    ranged = cut(df.repartitionByRange(width(df), *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # one row per partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.withColumn("_local", local).join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_p", "_local", "_before")
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.02, least: int = 10_000) -> DataFrame:
     """Keys with more than `share` of all rows (and more than `least` rows): at most 1 / share of them, by counting."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -113,8 +126,3 @@ def nonempty(run):
                 yield frame
 
     return wrapped
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """Keep rows that several later plans read; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "label int, hits int, conflicts int, seen string"
+STATE = "label int, hits int, conflicts int, last string, seen string"
 OUT = "pair long, label int, hits int, conflicts int"
 
 
@@ -20,18 +20,18 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "
 
 def track(pair: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """New sightings (round, teacher, label, ord) of a pair applied to its state."""
-    label, hits, conflicts, seen = state.get if state.exists else (None, 0, 0, "")
+    label, hits, conflicts, last, seen = state.get if state.exists else (None, 0, 0, "", "")
     known = set(filter(None, seen.split("\n")))
     rows = pd.concat(list(batches)).sort_values(["round", "ord"])
-    for r, t, y in zip(rows["round"], rows["teacher"], rows["label"]):
-        mark = f"{r}|{t}"
+    for r, t, y in zip(map(str, rows["round"]), map(str, rows["teacher"]), rows["label"]):
         if label is None or y != label:
             conflicts += label is not None
-            label, hits, known = int(y), 1, {mark}
-        elif mark not in known:
+            label, hits, known = int(y), 1, set()
+        elif r != last or t not in known:
             hits += 1
-            known.add(mark)
-    state.update((label, hits, conflicts, "\n".join(sorted(known))))
+        last = r
+        known.add(t)
+    state.update((label, hits, conflicts, last, "\n".join(sorted(known))))
     yield pd.DataFrame({"pair": [pair[0]], "label": [label], "hits": [hits], "conflicts": [conflicts]})
 
 

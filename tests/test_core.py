@@ -202,3 +202,43 @@ def test_weak_options_and_mentions(spark):
     terms = spark.createDataFrame([("core loop",), ("loop",), ("k-means",), ("lone",)], "term string")
     texts = spark.createDataFrame([(1, "The Core  loop runs."), (2, "Loops of k-means."), (3, None)], "id int, text string")
     assert {tuple(r) for r in quiz.mentions(terms, texts).collect()} == {("core loop", 1), ("loop", 1), ("k-means", 2)}
+
+
+def test_hits_of_the_stretch(spark):
+    data = [(1, 1, "a", 1, 1, 0.6), (1, 1, "b", 1, 2, 0.9), (1, 2, "a", 1, 3, 0.7), (1, 2, "b", 1, 4, 0.8), (2, 1, "a", 1, 5, 0.9), (2, 2, "a", 0, 6, 0.2), (2, 3, "a", 0, 7, 0.3)]
+    df = spark.createDataFrame(data, "pair long, round int, teacher string, label int, ord long, combined double")
+    assert {r["pair"]: (r["label"], r["hits"], r["conflicts"]) for r in pseudo.stable_hits(df).collect()} == {1: (1, 3, 0), 2: (0, 2, 1)}
+    assert {(r["pair"], r["round"], r["label"], r["row"]) for r in pseudo.newly_stable(df, 2).collect()} == {(1, 1, 1, 2), (2, 3, 0, 6)}
+    assert {(r["pair"], r["row"]) for r in pseudo.newly_stable(df, 1).collect()} == {(1, 1), (2, 5)}
+
+
+def test_random_pairs_are_whole_or_an_error(spark):
+    nodes = spark.createDataFrame([(10 * k, k) for k in range(5)], "node long, n long")
+    taken = spark.createDataFrame([(0, 10), (10, 0)], "src long, dst long")
+    got = {tuple(r) for r in labels.random_pairs(nodes, taken, 18, 7).collect()}
+    assert len(got) == 18 and not got & {(0, 10), (10, 0)} and all(a != b for a, b in got)
+    with pytest.raises(ValueError):
+        labels.random_pairs(nodes, taken, 19, 7)
+
+
+def test_numbered_and_auc_over_many_ranges(spark):
+    from graphloom.session import numbered
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    assert [(r["a"], r["b"]) for r in sorted(numbered(df, "a", "b", name="place").collect(), key=lambda r: r["place"])] == sorted(rows)
+    scored = [(k % 3 % 2, rng.randrange(20) / 20, k % 2) for k in range(200)]
+    got = {r["g"]: r["auc"] for r in metrics.auc(spark.createDataFrame(scored, "y int, score double, g int"), ["g"]).collect()}
+    for g in (0, 1):
+        pos, neg = [s for y, s, h in scored if y and h == g], [s for y, s, h in scored if not y and h == g]
+        assert abs(got[g] - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)) < 1e-5
+
+
+def test_rounds_alternate_and_keep_gold(spark):
+    scored = spark.createDataFrame([(k, k + 1, k / 40, 1 - k / 40, 0.5) for k in range(41)], "src int, dst int, content double, graph double, judge double")
+    gold = spark.createDataFrame([(0, 1)], "src int, dst int")
+    memory, log = pseudo.alternate(scored, gold, 40, 4, 0.2)
+    assert [(r["teacher"], r["n_new"]) for r in log.orderBy("round").collect()] == [("content", 8), ("graph", 8), ("content", 3), ("graph", 0)]
+    rows = {(r["src"], r["label"]) for r in memory.collect()}
+    assert (40, 1) in rows and (0, 0) not in rows
