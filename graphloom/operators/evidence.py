@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -10,22 +11,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.keys import plain_key
-from graphloom.session import nonempty
+from graphloom.functions.keys import normalize_text, plain_key
+from graphloom.session import cut, nonempty
 
-VERBS = r"(^|[^a-z])(is|are|means|refers|defines|measures|describes|denotes|gives|shows|limits|controls|compares)([^a-z]|$)"
+#: Words that explain, marks of damaged text and of damaged formulas, and words on which no sentence ends.
+VERBS = r"\b(is|are|called|referred|defined|means|method|algorithm|problem|function|process|consists|involves|used|wherein|because|therefore)\b"
+DAMAGED = ["offthe", "off-", "dwd", "̊", "PP max", "firstorder", "w⋆", "≤g", "≥g", "P X", "g (w)", "max 0", "CCT", "VDVT", "∂w2", "ω ω"]
+DAMAGED_FORMULAS = ["= =", "β b +", "̊x", "̊f"]
+FORMULA_MARKS = ["=", "≤", "≥", "∑", "∂", "∇", "λ", "ω", "⋆"]
+WEAK_ENDINGS = ["form", "cost", "called", "referred", "where", "as", "of", "the", "a", "an", "is", "are", "to", "from", "for", "with", "and"]
+WORDS = r"[\p{L}\p{N}_]+"
 
 
-def quality(text: Column, name: Column) -> Column:
-    """Score of an evidence text: length band, closing mark, name in it, explanatory verb, marks of bad scans."""
+def _any(text: Column, marks: list[str]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.contains(text, F.lit(m))
+    return out
+
+
+def named(text: Column, names: Column) -> Column:
+    """Whether a text has one of the names (an array) after normalisation."""
+    key = plain_key(text)
+    return F.coalesce(F.exists(names, lambda n: (plain_key(n) != "") & F.contains(key, plain_key(n))), F.lit(False))
+
+
+def explains(text: Column) -> Column:
+    return F.lower(text).rlike(VERBS)
+
+
+def repeats(text: Column) -> Column:
+    """Whether five to fifteen words stand twice in a row."""
+    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), " "), F.lit(" ")).rlike(r" ((?:\S+ ){5,15}?)\1")
+
+
+def quality(text: Column, names: Column) -> Column:
+    """Score of an evidence text: length band, closing mark, a name of the concept, explaining words, damage, repetition."""
     n = F.length(text)
+    score = (
+        F.when(n >= 160, 2.0).when(n >= 60, 1.5).when(n >= 35, 0.75).when(n < 30, -2.0).otherwise(0.0)
+        + F.when(text.rlike("[.!?。！？]$"), 0.25).otherwise(0.0) + F.when(named(text, names), 1.5).otherwise(0.0) + F.when(explains(text), 1.0).otherwise(0.0)
+        - F.when(_any(text, DAMAGED), 1.5).otherwise(0.0) - F.when(repeats(text), 3.0).otherwise(0.0)
+    )
+    return F.round(score, 3)
+
+
+def addable(text: Column, names: Column) -> Column:
+    """Whether a new occurrence is more than a title, a lone formula or a piece of a bad scan."""
+    marks = sum(F.length(text) - F.length(F.replace(text, F.lit(m), F.lit(""))) for m in FORMULA_MARKS)
+    last = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z]+"), F.lit(0))), -1)
+    heading = F.lower(text).rlike(r"^\s*\d+(?:\.\d+)+\s+[^.]{0,80}calculations?\b")
     return (
-        F.when(n.between(80, 400), 3).when(n.between(40, 800), 2).when(n > 0, 1).otherwise(0)
-        + F.when(F.rtrim(text).rlike(r"[.!?]$"), 1).otherwise(0)
-        + F.when(F.contains(plain_key(text), plain_key(name)), 2).otherwise(0)
-        + F.when(F.lower(text).rlike(VERBS), 1).otherwise(0)
-        - F.when(text.rlike(r"\|\||~~|\?\?\?"), 2).otherwise(0)
-    )
+        (F.length(text) >= 35) & (quality(text, names) >= 3.5) & (named(text, names) | explains(text)) & ~last.isin(*WEAK_ENDINGS)
+        & ~((marks >= 2) & ~explains(text)) & ~heading & ~_any(text, DAMAGED_FORMULAS)
+    )
 
 
 def coverage(quote: Column, page: Column) -> Column:
@@ -47,16 +86,76 @@ def distinct_ranked(rows: DataFrame, group: str, key: Column, order: list, k: in
 
 
 def nearest_pages(wanted: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """For each (id, file, page) the k pages of the file that lie nearest, earlier ones first on ties."""
-    joined = wanted.join(pages.select(F.col("file"), F.col("page").alias("other")).distinct(), "file").withColumn("gap", F.abs(F.col("other") - F.col("page")))
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("gap", "other"))).filter(F.col("rank") <= k).select("id", "other", "gap", "rank")
+    """For each (id, file, page) the k pages of the file that lie nearest, earlier ones first on ties.
+
+    The pages of a file and those wanted stand in one order; a wanted page reads the k known ones on either side of it.
+    """
+    known = pages.select("file", "page", F.lit(1).alias("known")).distinct().unionByName(wanted.select("file", "page", F.lit(0).alias("known")).distinct())
+    one = known.groupBy("file", "page").agg(F.max("known").alias("known"))
+    order = Window.partitionBy("file").orderBy("page")
+    placed = one.withColumn("place", F.sum("known").over(order))
+    by_place = placed.filter("known = 1").select("file", "place", F.col("page").alias("other"))
+    near = wanted.select("id", "file", "page").join(placed, ["file", "page"]).select("id", "file", "page", F.explode(F.sequence(F.col("place") - k, F.col("place") + k)).alias("place")).join(by_place, ["file", "place"]).withColumn("gap", F.abs(F.col("other") - F.col("page")))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("gap", "other"))).filter(F.col("rank") <= k).select("id", "other", "gap", "rank")
+
+
+def reconciled(baseline: DataFrame, revised: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, evidence, score, origin) of rows (keys, evidence, names): the baseline, bettered and added to by a revision.
+
+    A baseline row gives way to the best revised row of its place if that scores higher (replaced), else it stays (kept,
+    or restored where the revision has none). The best revised row of a new place comes in if it is addable (added).
+    Equal rows count once; of equal scores the first text in order does.
+    """
+    scored = lambda d: d.select(*keys, "evidence", quality(F.col("evidence"), F.col("names")).alias("score"), addable(F.col("evidence"), F.col("names")).alias("ok")).distinct()
+    old, new = scored(baseline), scored(revised)
+    best = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "evidence"))).filter("_r = 1").select(*keys, F.struct("evidence", "score", "ok").alias("n"))
+    met = old.join(best, keys, "left")
+    wins = F.coalesce(F.col("n.score") > F.col("score"), F.lit(False))
+    kept = met.select(*keys, F.when(wins, F.col("n.evidence")).otherwise(F.col("evidence")).alias("evidence"), F.when(wins, F.col("n.score")).otherwise(F.col("score")).alias("score"), F.when(wins, "replaced").when(F.col("n").isNull(), "restored").otherwise("kept").alias("origin"))
+    added = best.join(old.select(*keys).distinct(), keys, "left_anti").filter("n.ok").select(*keys, F.col("n.evidence").alias("evidence"), F.col("n.score").alias("score"), F.lit("added").alias("origin"))
+    return kept.unionByName(added).distinct()
 
 
-def best_of(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Baseline rows where they exist, the best new ones elsewhere: (keys, evidence, score, origin)."""
-    both = old.select(*keys, "evidence", "score", F.lit(0).alias("prio")).unionByName(new.select(*keys, "evidence", "score", F.lit(1).alias("prio")))
-    best = both.groupBy(*keys).agg(F.max_by(F.struct("evidence", "score", "prio"), F.struct(F.col("score"), (-F.col("prio")).alias("p"), "evidence")).alias("b"))
-    return best.select(*keys, F.col("b.evidence").alias("evidence"), F.col("b.score").alias("score"), F.when(F.col("b.prio") == 0, "baseline").otherwise("new").alias("origin"))
+def first_contexts(wanted: DataFrame, contexts: DataFrame, own: int = 5, other: int = 2, most: int = 15) -> DataFrame:
+    """(target, concept, id, rank): contexts (concept, id) for each target's concepts (target, concept, ord; ord 0 is the
+    target): the first `own` of the target, the first `other` of each other concept, `most` in all."""
+    ranked = contexts.withColumn("r", F.row_number().over(Window.partitionBy("concept").orderBy("id"))).filter(F.col("r") <= own)
+    met = wanted.join(ranked, "concept").filter((F.col("ord") == 0) | (F.col("r") <= other))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("ord", "concept", "r"))).filter(F.col("rank") <= most).select("target", "concept", "id", "rank")
+
+
+def alias_snippets(aliases: DataFrame, captions: DataFrame, k: int = 3, most: int = 500, block: int = 100_000) -> DataFrame:
+    """(concept, id, snippet, rank): the first k captions (id, text) that contain an alias (concept, alias) of a concept, also inside words.
+
+    Aliases are searched by a multi-pattern automaton, in blocks of `block`, each broadcast in turn.
+    """
+    spark = captions.sparkSession
+    names = cut(aliases.select("concept", F.trim(normalize_text(F.col("alias"))).alias("a")).filter("a <> ''").distinct())
+    blocks = max(1, -(-names.count() // block))
+    out = None
+    for b in range(blocks):
+        part: dict[str, list[str]] = {}
+        for r in names.filter(F.pmod(F.xxhash64("concept", "a"), F.lit(blocks)) == b).collect():  # one block
+            part.setdefault(r["a"], []).append(r["concept"])
+        shared = spark.sparkContext.broadcast(part)
+
+        @nonempty
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for alias, concepts in shared.value.items():
+                automaton.add_word(alias, concepts)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = [(i, c) for i, t in zip(batch["id"], batch["t"]) if t and len(automaton) for c in {c for _, cs in automaton.iter(t) for c in cs}]
+                yield pd.DataFrame(rows, columns=["id", "concept"])
+
+        kind = captions.schema["id"].dataType.simpleString()
+        hits = captions.select("id", normalize_text(F.col("text")).alias("t")).mapInPandas(run, f"id {kind}, concept string")
+        out = hits if out is None else out.unionByName(hits)
+    first = out.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy("id"))).filter(F.col("rank") <= k)
+    return first.join(captions.select("id", F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, most).alias("snippet")), "id").select("concept", "id", "snippet", "rank")
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -91,50 +190,55 @@ def page_chapters(rows: DataFrame, chapters: DataFrame) -> DataFrame:
     return rows.join(pages, "page", "left")
 
 
-def phrase_matches(texts: DataFrame, phrases: DataFrame, id_col: str, text: str) -> DataFrame:
+def phrase_matches(texts: DataFrame, phrases: DataFrame, id_col: str, text: str, block: int = 200_000) -> DataFrame:
     """(id_col, phrase, n): longest matches from left to right of whole phrases, without overlaps.
 
-    `phrases` is a concept list; it is broadcast after a check of its size.
+    The phrases are searched in blocks of `block`, each broadcast in turn; of what all blocks find at a word the longest
+    counts, so the number of phrases has no limit.
     """
-    names = [r[0] for r in phrases.select("phrase").distinct().limit(200_001).collect()]
-    if len(names) > 200_000:
-        raise ValueError("more than 200000 phrases: match them in blocks")
-    shared = texts.sparkSession.sparkContext.broadcast(sorted(names))
-
-    @nonempty
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie: dict = {}
-        for name in shared.value:
-            node = trie
-            for w in name.split():
-                node = node.setdefault(w, {})
-            node[None] = name
-        for batch in batches:
-            out = []
-            for rec, t in zip(batch[id_col], batch["_t"]):
-                ws, i, found = ([] if t is None else t.split(" ")), 0, {}
-                while i < len(ws):
-                    node, j, best, end = trie, i, None, i
-                    while j < len(ws) and ws[j] in node:
-                        node, j = node[ws[j]], j + 1
-                        if None in node:
-                            best, end = node[None], j
-                    if best is None:
-                        i += 1
-                    else:
-                        found[best], i = found.get(best, 0) + 1, end
-                out += [(rec, p, n) for p, n in found.items()]
-            yield pd.DataFrame(out, columns=[id_col, "phrase", "n"])
-
-    kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, plain_key(F.col(text)).alias("_t")).mapInPandas(run, f"{id_col} {kind}, phrase string, n int")
+    spark = texts.sparkSession
+    names = cut(phrases.select(F.col("phrase")).distinct())
+    blocks = max(1, -(-names.count() // block))
+    rows = cut(texts.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), plain_key(F.col(text)).alias("_t")))
+    found = None
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast([r[0] for r in names.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()])  # one block
+
+        @nonempty
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            trie: dict = {}
+            for name in shared.value:
+                node = trie
+                for w in name.split():
+                    node = node.setdefault(w, {})
+                node[None] = name
+            for batch in batches:
+                out = []
+                for row, t in zip(batch["_row"], batch["_t"]):
+                    ws = [] if t is None else t.split(" ")
+                    for i in range(len(ws)):
+                        node, j, best, end = trie, i, None, i
+                        while j < len(ws) and ws[j] in node:
+                            node, j = node[ws[j]], j + 1
+                            if None in node:
+                                best, end = node[None], j
+                        if best is not None:
+                            out.append((row, i, end, best))
+                yield pd.DataFrame(out, columns=["_row", "i", "j", "phrase"])
+
+        hits = rows.select("_row", "_t").mapInPandas(run, "_row long, i int, j int, phrase string")
+        found = hits if found is None else found.unionByName(hits)
+    spans = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("j")).alias("j"), "phrase"))).alias("spans"))
+    # from left to right, a match that begins before the last one ended is passed over
+    taken = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names")), lambda a, s: F.when(s["i"] >= a["end"], F.struct((-s["j"]).alias("end"), F.concat(a["names"], F.array(s["phrase"])).alias("names"))).otherwise(a))
+    return spans.select("_row", F.explode(taken["names"]).alias("phrase")).groupBy("_row", "phrase").agg(F.count(F.lit(1)).cast("int").alias("n")).join(rows.select("_row", F.col("_id").alias(id_col)), "_row").select(id_col, "phrase", "n")
 
 
 def fuzzy_equal(a: str, b: str) -> bool:
     """Whether two keys name the same entity: equal, or alike as a whole, or word by word; digits must agree."""
     if a == b:
         return True
-    if "".join(c for c in a if c.isdigit()) != "".join(c for c in b if c.isdigit()):
+    if re.findall(r"\d+", a) != re.findall(r"\d+", b):
         return False
     x, y = a.split(), b.split()
     if not x or not y:

@@ -130,13 +130,14 @@ def descendants(df: DataFrame) -> DataFrame:
 def loops(df: DataFrame) -> DataFrame:
     """(concept): names that stand on a loop, without those that only lead to one.
 
-    A name on a loop is among those without a root and is the parent of another of them, again and again: names
-    without such a child are peeled off until nothing changes.
+    The parent of a name without a root has none either. Who takes at least as many steps as there are such names ends
+    on a loop, and every name of a loop is the end of one that stands on it; so the ends of 2^k steps are the loops'
+    names. Steps double in each round, so there are as many rounds as the logarithm of the number of lost names.
     """
     tree = edges(df)
-    lost = cut(solve(tree).filter(F.col("root").isNull()).select("node").join(tree, "node"))
-    while True:
-        kept = cut(lost.join(lost.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
-        if kept.count() == lost.count():
-            return kept.select(F.col("node").alias("concept"))
-        lost = kept
+    steps = cut(solve(tree).filter(F.col("root").isNull()).select("node").join(tree, "node"))
+    total, taken = steps.count(), 1
+    while taken < total:
+        steps = cut(steps.join(steps.select(F.col("node").alias("parent"), F.col("parent").alias("next")), "parent").select("node", F.col("next").alias("parent")))
+        taken *= 2
+    return steps.select(F.col("parent").alias("concept")).distinct()

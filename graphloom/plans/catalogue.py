@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import keys
-from graphloom.operators import aliases, evidence, graphq, labels, metrics, pseudo, quiz, simgraph
+from graphloom.operators import aliases, evidence, graphq, labels, metrics, pseudo, publication, quiz, simgraph
 from graphloom.session import cut, numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +79,13 @@ def label_endpoints(spark, d):
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("s").alias("n_source"), F.count("t").alias("n_target"), F.count_if(F.col("s").isNull() & F.col("t").isNull()).alias("n_neither"))
 
 
-@query(f"""WITH {FIRST_SQL} SELECT dataset, count(*) AS n, count(concept) AS n_named, count(dim.concept_id) AS n_matched, count(*) FILTER (concept IS NOT NULL AND dim.concept_id IS NULL) AS n_unmatched
-FROM source_context c LEFT JOIN dim ON dim.alias_key = {CLEAN.format('c.concept')} GROUP BY 1""")
+UNIQUE_SQL = ALIAS_SQL + ", udim AS (SELECT alias_key, coalesce(min(CASE WHEN pos = 0 THEN concept_id END), CASE WHEN count(DISTINCT concept_id) = 1 THEN min(concept_id) END) AS concept_id FROM aliases GROUP BY 1 HAVING coalesce(min(CASE WHEN pos = 0 THEN concept_id END), CASE WHEN count(DISTINCT concept_id) = 1 THEN min(concept_id) END) IS NOT NULL)"
+
+
+@query(f"""WITH {UNIQUE_SQL} SELECT dataset, count(*) AS n, count(concept) AS n_named, count(udim.concept_id) AS n_matched, count(*) FILTER (concept IS NOT NULL AND udim.concept_id IS NULL) AS n_unmatched
+FROM source_context c LEFT JOIN udim ON udim.alias_key = {CLEAN.format('c.concept')} GROUP BY 1""")
 def profile_join_report(spark, d):
-    rows = aliases.resolve(table(spark, d, "source_context"), aliases.first_wins(_aliases(spark, d)), "concept", "cid")
+    rows = aliases.resolve(table(spark, d, "source_context"), aliases.unique_only(_aliases(spark, d)), "concept", "cid")
     return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("concept").alias("n_named"), F.count("cid").alias("n_matched"), F.count_if(F.col("concept").isNotNull() & F.col("cid").isNull()).alias("n_unmatched"))
 
 
@@ -135,12 +138,11 @@ def skipgram_pairs(spark, d):
     return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
 
 
-@query(r"""SELECT formula_id, (length(latex) <= 1000 AND length(replace(latex, '{', '')) = length(replace(latex, '}', '')) AND length(replace(latex, '(', '')) = length(replace(latex, ')', '')) AND length(replace(latex, '[', '')) = length(replace(latex, ']', ''))) AS valid,
+@query(r"""SELECT formula_id, (length(latex) > 0 AND length(latex) <= 1000 AND NOT regexp_matches(lower(latex), '\?|illegible|unclear|unknown|cannot read') AND length(replace(latex, '{', '')) = length(replace(latex, '}', '')) AND length(replace(latex, '(', '')) = length(replace(latex, ')', '')) AND length(replace(latex, '[', '')) = length(replace(latex, ']', ''))) AS valid,
 regexp_replace(regexp_replace(trim(latex), '^\$+|\$+$', '', 'g'), '[ \t\r\n]+', '', 'g') AS latex_key FROM mlr_formula WHERE latex IS NOT NULL""")
 def latex_validity(spark, d):
     x = F.col("latex")
-    ok = (F.length(x) <= 1000) & keys.balanced(x, "{", "}") & keys.balanced(x, "(", ")") & keys.balanced(x, "[", "]")
-    return table(spark, d, "mlr_formula").filter("latex is not null").select("formula_id", ok.alias("valid"), keys.latex_key(x).alias("latex_key"))
+    return table(spark, d, "mlr_formula").filter("latex is not null").select("formula_id", publication.latex_valid(x).alias("valid"), keys.latex_key(x).alias("latex_key"))
 
 
 @query(r"""SELECT passage_id, len(regexp_extract_all(text, '[A-Za-z]+(?:[''-][A-Za-z]+)*')) AS words, len(regexp_extract_all(text, '[A-Za-z]+(?:[''-][A-Za-z]+)*')) <= 120 AS short FROM passage WHERE text IS NOT NULL""")
@@ -652,14 +654,6 @@ def ranking_eligible(spark, d):
 
 
 
-@query(rf"""SELECT context_id, max((CASE WHEN length(evidence) BETWEEN 80 AND 400 THEN 3 WHEN length(evidence) BETWEEN 40 AND 800 THEN 2 WHEN length(evidence) > 0 THEN 1 ELSE 0 END) + regexp_matches(rtrim(evidence, ' '), '[.!?]$')::INT
-+ CASE WHEN contains({PLAIN.format('evidence')}, {PLAIN.format('concept')}) THEN 2 ELSE 0 END + regexp_matches(lower(evidence), '(^|[^a-z])(is|are|means|refers|defines|measures|describes|denotes|gives|shows|limits|controls|compares)([^a-z]|$)')::INT
-- CASE WHEN regexp_matches(evidence, '\|\||~~|\?\?\?') THEN 2 ELSE 0 END) AS quality FROM source_context WHERE evidence IS NOT NULL AND concept IS NOT NULL GROUP BY 1""")
-def evidence_quality(spark, d):
-    rows = table(spark, d, "source_context").filter("evidence is not null and concept is not null")
-    return rows.select("context_id", evidence.quality(F.col("evidence"), F.col("concept")).alias("q")).groupBy("context_id").agg(F.max("q").alias("quality"))
-
-
 @query(f"""WITH p AS (SELECT passage_id, {PLAIN.format('text')} AS k, list_distinct(string_split({PLAIN.format('text')}, ' ')) AS w, {PLAIN.format('concept')} AS c FROM passage WHERE text IS NOT NULL AND concept IS NOT NULL),
 q AS (SELECT *, list_distinct(list_filter(string_split(c, ' '), lambda t: t <> '')) AS cw FROM p)
 SELECT passage_id, round(CASE WHEN len(cw) < 3 THEN 0 ELSE len(list_intersect(cw, w))::DOUBLE / len(cw) END, 6) AS coverage, (contains(k, c) OR CASE WHEN len(cw) < 3 THEN 0 ELSE len(list_intersect(cw, w))::DOUBLE / len(cw) END >= 0.78::DOUBLE) AS grounded FROM q""")
@@ -683,14 +677,6 @@ def nearest_pages(spark, d):
     return evidence.nearest_pages(rows, rows.select("file", "page"))
 
 
-@query("""WITH r AS (SELECT lower(concept) AS concept, try_cast(fields['chapter'] AS INT) AS chapter, dataset, evidence, length(evidence) AS score FROM source_context WHERE evidence IS NOT NULL AND concept IS NOT NULL AND fields['chapter'] IS NOT NULL),
-b AS (SELECT concept, chapter, evidence, score, CASE WHEN dataset = 'MLR' THEN 0 ELSE 1 END AS prio FROM r)
-SELECT concept, chapter, evidence, score, CASE WHEN prio = 0 THEN 'baseline' ELSE 'new' END AS origin FROM (SELECT *, row_number() OVER (PARTITION BY concept, chapter ORDER BY score DESC, prio, evidence DESC) AS rn FROM b) WHERE rn = 1""")
-def locator_best_of(spark, d):
-    r = table(spark, d, "source_context").select(F.lower("concept").alias("concept"), F.col("fields")["chapter"].try_cast("int").alias("chapter"), "dataset", "evidence", F.length("evidence").cast("long").alias("score")).filter("evidence is not null and concept is not null and chapter is not null")
-    return evidence.best_of(r.filter("dataset = 'MLR'"), r.filter("dataset <> 'MLR'"), ["concept", "chapter"])
-
-
 @query("""WITH c AS (SELECT range AS chapter, range * 30 + 1 AS lo, range * 30 + 30 AS hi FROM range(20)) SELECT passage_id, page, chapter::INT AS chapter FROM passage LEFT JOIN c ON page BETWEEN lo AND hi""")
 def page_to_chapter(spark, d):
     chapters = spark.range(20).select(F.col("id").cast("int").alias("chapter"), (F.col("id") * 30 + 1).cast("int").alias("lo"), (F.col("id") * 30 + 30).cast("int").alias("hi"))
@@ -713,15 +699,6 @@ def page_running_index(spark, d):
     return table(spark, d, "passage").select("passage_id", F.row_number().over(Window.partitionBy("pdf_file", "page").orderBy("passage_id")).alias("index_on_page"))
 
 
-@query("""WITH e AS (SELECT summary_id, sha256(coalesce(page_title, '') || '|' || coalesce(summary, '')) AS h, lecture, pdf_file, pdf_page FROM dgl_page_summaries), l AS (SELECT lecture, pdf_file, pdf_page, arg_min(h, summary_id) AS first_h, arg_max(h, summary_id) AS last_h, count(*) AS n FROM e GROUP BY 1, 2, 3)
-SELECT lecture, pdf_file, pdf_page, n, CASE WHEN n = 1 THEN 'missing' WHEN first_h = last_h THEN 'valid' ELSE 'stale' END AS state FROM l""")
-def checkpoint_triage(spark, d):
-    h = F.sha2(F.concat(F.coalesce("page_title", F.lit("")), F.lit("|"), F.coalesce("summary", F.lit(""))), 256)
-    rows = table(spark, d, "dgl_page_summaries").select("summary_id", h.alias("h"), "lecture", "pdf_file", "pdf_page")
-    pages = rows.groupBy("lecture", "pdf_file", "pdf_page").agg(F.min_by("h", "summary_id").alias("a"), F.max_by("h", "summary_id").alias("b"), F.count(F.lit(1)).alias("n"))
-    return pages.select("lecture", "pdf_file", "pdf_page", "n", F.when(F.col("n") == 1, "missing").when(F.col("a") == F.col("b"), "valid").otherwise("stale").alias("state"))
-
-
 @query("""WITH w AS (SELECT c.concept_id, c.canonical, s.context_id, s.evidence FROM mlr_concepts c JOIN source_context s ON lower(trim(s.concept)) = c.canonical WHERE s.evidence IS NOT NULL), u AS (SELECT DISTINCT concept_id, canonical, context_id, substr(evidence, 1, 500) AS snippet FROM w)
 SELECT concept_id, context_id, snippet, rank FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY context_id, snippet)::INT AS rank FROM u) WHERE rank <= 3""")
 def concept_snippets(spark, d):
@@ -732,8 +709,13 @@ def concept_snippets(spark, d):
 
 @query("""SELECT label_id, ntile(5) OVER (ORDER BY label_id)::INT AS fold, ((row_number() OVER (ORDER BY label_id) - 1) // 100)::INT AS batch FROM test_neg""")
 def folds_and_batches(spark, d):
-    w = Window.orderBy("label_id")
-    return table(spark, d, "test_neg").select("label_id", F.ntile(5).over(w).alias("fold"), F.floor((F.row_number().over(w) - 1) / 100).cast("int").alias("batch"))
+    """Contiguous folds, the first ones longer by one where the number of rows asks for it, and batches of a hundred."""
+    t = table(spark, d, "test_neg")
+    total = t.count()
+    size, longer = divmod(total, 5)
+    n = F.col("n")
+    fold = F.when(n < longer * (size + 1), F.floor(n / (size + 1))).otherwise(longer + F.floor((n - longer * (size + 1)) / max(1, size)))
+    return numbered(t.select("label_id"), "label_id").select("label_id", (fold + 1).cast("int").alias("fold"), F.floor(n / 100).cast("int").alias("batch"))
 
 
 @query()

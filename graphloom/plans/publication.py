@@ -10,11 +10,11 @@ from graphloom.plans.catalogue import PLAIN, UNIVERSE, query
 from graphloom.session import table
 
 
-@query("""SELECT context_id, dataset, max((coalesce(try_cast(fields['confidence'] AS DOUBLE) >= CASE fields['source_type'] WHEN 'printed' THEN 0.3::DOUBLE WHEN 'scanned' THEN 0.5::DOUBLE WHEN 'handwritten' THEN 0.7::DOUBLE ELSE 0.7::DOUBLE END, false))::INT) AS passes FROM source_context GROUP BY 1, 2""")
+@query("""SELECT context_id, dataset, max((coalesce(conf >= CASE st WHEN 'printed' THEN 0.7::DOUBLE WHEN 'mixed' THEN 0.8::DOUBLE WHEN 'handwritten' THEN 0.9::DOUBLE END, false))::INT) AS concept, max((coalesce(conf >= CASE st WHEN 'printed' THEN 0.82::DOUBLE WHEN 'mixed' THEN 0.87::DOUBLE WHEN 'handwritten' THEN 0.92::DOUBLE END, false))::INT) AS formula, max((coalesce(conf >= CASE st WHEN 'printed' THEN 0.78::DOUBLE WHEN 'mixed' THEN 0.82::DOUBLE WHEN 'handwritten' THEN 0.9::DOUBLE END, false))::INT) AS visual FROM (SELECT context_id, dataset, try_cast(fields['confidence'] AS DOUBLE) AS conf, lower(trim(fields['source_type'])) AS st FROM source_context) GROUP BY 1, 2""")
 def confidence_gate(spark, d):
     f = F.col("fields")
-    rows = table(spark, d, "source_context").select("context_id", "dataset", publication.confidence_gate(f["source_type"], f["confidence"].try_cast("double")).cast("int").alias("p"))
-    return rows.groupBy("context_id", "dataset").agg(F.max("p").alias("passes"))
+    gate = lambda what: F.max(publication.confidence_gate(what, f["source_type"], f["confidence"].try_cast("double")).cast("int")).alias(what)
+    return table(spark, d, "source_context").groupBy("context_id", "dataset").agg(gate("concept"), gate("formula"), gate("visual"))
 
 
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(bbox) <> 4 THEN 'shape' WHEN bbox[1] >= bbox[3] OR bbox[2] >= bbox[4] THEN 'order' WHEN bbox[1] < 0 OR bbox[2] < 0 OR bbox[3] > 1000 OR bbox[4] > 1000 THEN 'range'
@@ -23,12 +23,6 @@ def box_validity(spark, d):
     return table(spark, d, "passage").filter("bbox is not null").groupBy(publication.box_reason(F.col("bbox")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT summary_id, CASE WHEN coalesce(trim(summary), '') = '' THEN 'empty' WHEN len(regexp_extract_all(summary, '[A-Za-z]+(?:[''-][A-Za-z]+)*')) > 40 THEN 'long'
-WHEN regexp_matches(lower(summary), '(^|[^a-z])(this page|this slide|above|below|see figure)([^a-z]|$)') THEN 'context' ELSE 'ok' END AS reason FROM dgl_page_summaries""")
-def profile_validation(spark, d):
-    return table(spark, d, "dgl_page_summaries").select("summary_id", publication.profile_reason(F.col("summary"), 40).alias("reason"))
-
-
 @query(f"""WITH e AS ({UNIVERSE}), d AS (SELECT event_id % 200000 AS pair_id, count(*) AS k, max(CASE WHEN event_id % 7 - 1 IN (-1, 0, 1) THEN 0 ELSE 1 END) AS bad FROM events GROUP BY 1)
 SELECT CASE WHEN k IS NULL THEN 'missing' WHEN e.pair_id IS NULL THEN 'unknown' WHEN k > 1 THEN 'repeated' WHEN bad = 1 THEN 'bad_label' ELSE 'ok' END AS status, count(*) AS n FROM e FULL JOIN d ON e.pair_id = d.pair_id GROUP BY 1""")
 def decision_validation(spark, d):
@@ -39,8 +33,8 @@ def decision_validation(spark, d):
 @query("""WITH n AS (SELECT canonical AS name FROM mlr_concepts), q AS (SELECT DISTINCT array_to_string(string_split(canonical, ' ')[-2:], ' ') AS q FROM mlr_concepts UNION SELECT DISTINCT 'deep ' || string_split(canonical, ' ')[1] FROM mlr_concepts),
 x AS (SELECT q, name, 1 AS tier, 0 AS score FROM q JOIN n ON q = name), r AS (SELECT * FROM q WHERE q NOT IN (SELECT q FROM x)),
 m AS (SELECT q, name, len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(name, ' ')))) AS common FROM r JOIN n ON len(list_intersect(string_split(q, ' '), string_split(name, ' '))) > 0),
-i AS (SELECT q, name, 2 AS tier, length(name) AS score FROM m WHERE contains(name, q)), l AS (SELECT q, name, 3 AS tier, -common AS score FROM m WHERE q NOT IN (SELECT q FROM i)),
-u AS (SELECT * FROM x UNION ALL SELECT * FROM i UNION ALL SELECT * FROM l) SELECT q, name, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, score, name)::INT AS rank FROM u) WHERE rank <= 10""")
+i AS (SELECT q, name, 2 AS tier, 0 AS score FROM r JOIN n ON contains(name, q)), l AS (SELECT q, name, 3 AS tier, -common AS score FROM m WHERE q NOT IN (SELECT q FROM i)),
+u AS (SELECT * FROM x UNION ALL SELECT * FROM i UNION ALL SELECT * FROM l) SELECT q, name, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, score, length(name), name)::INT AS rank FROM u) WHERE rank <= 10""")
 def concept_search(spark, d):
     c = table(spark, d, "mlr_concepts")
     asked = c.select(F.substring_index("canonical", " ", -2).alias("q")).union(c.select(F.concat(F.lit("deep "), F.substring_index("canonical", " ", 1)))).distinct()
@@ -60,15 +54,6 @@ def class_weights(spark, d):
     return rows.groupBy("split").agg(F.round(F.when(pos > 0, F.count_if(F.col("label") == 0) / pos), 6).alias("weight"))
 
 
-@query("""WITH c AS (SELECT chapter, lower(trim(concept)) AS name, count(*) AS n, max(length(latex)) AS longest, min(pdf_page) AS page FROM mlr_formula WHERE concept IS NOT NULL AND chapter IS NOT NULL AND latex IS NOT NULL GROUP BY 1, 2)
-SELECT chapter, name, n, page, rank FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY n DESC, longest DESC, page, name)::INT AS rank FROM c) WHERE rank <= 100""")
-def chapter_concepts(spark, d):
-    rows = table(spark, d, "mlr_formula").filter("concept is not null and chapter is not null and latex is not null")
-    c = rows.groupBy("chapter", F.lower(F.trim("concept")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("latex")).alias("longest"), F.min("pdf_page").alias("page"))
-    w = Window.partitionBy("chapter").orderBy(F.desc("n"), F.desc("longest"), "page", "name")
-    return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 100").select("chapter", "name", "n", "page", "rank")
-
-
 @query("""SELECT dataset, name FROM (SELECT DISTINCT 'mlr' AS dataset, 'mlr:' || lower(trim(concept)) AS name FROM source_context WHERE concept IS NOT NULL AND dataset = 'MLR' UNION ALL SELECT DISTINCT 'dgl', 'dgl:' || lower(trim(concept)) FROM source_context WHERE concept IS NOT NULL AND dataset = 'DGL')""")
 def dataset_union(spark, d):
     s = table(spark, d, "source_context")
@@ -103,15 +88,6 @@ def page_boxes(spark, d):
     return table(spark, d, "passage").filter("bbox is not null and size(bbox) = 4").groupBy("pdf_file", "page").agg(F.min(b[0]).alias("x0"), F.min(b[1]).alias("y0"), F.max(b[2]).alias("x1"), F.max(b[3]).alias("y1"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH r AS (SELECT lower(concept) AS concept, try_cast(fields['chapter'] AS INT) AS chapter, dataset, evidence, length(evidence) AS score FROM source_context WHERE evidence IS NOT NULL AND concept IS NOT NULL AND fields['chapter'] IS NOT NULL),
-b AS (SELECT concept, chapter, score, evidence FROM (SELECT *, row_number() OVER (PARTITION BY concept, chapter ORDER BY score DESC, evidence DESC) AS rn FROM r WHERE dataset = 'MLR') WHERE rn = 1), p AS (SELECT concept, chapter, score, evidence FROM (SELECT *, row_number() OVER (PARTITION BY concept, chapter ORDER BY score DESC, evidence DESC) AS rn FROM r WHERE dataset <> 'MLR') WHERE rn = 1)
-SELECT coalesce(b.concept, p.concept) AS concept, coalesce(b.chapter, p.chapter) AS chapter, CASE WHEN b.concept IS NULL THEN 'ADD_ROW' WHEN p.concept IS NULL THEN 'MIGRATE' WHEN contains({PLAIN.format('b.evidence')}, {PLAIN.format('p.evidence')}) THEN 'KEEP' WHEN p.score > b.score * 2 THEN 'REPLACE' ELSE 'APPEND' END AS action
-FROM b FULL JOIN p ON b.concept = p.concept AND b.chapter = p.chapter""")
-def audit_actions(spark, d):
-    r = table(spark, d, "source_context").select(F.lower("concept").alias("concept"), F.col("fields")["chapter"].try_cast("int").alias("chapter"), "dataset", "evidence", F.length("evidence").alias("score")).filter("evidence is not null and concept is not null and chapter is not null")
-    return publication.audit_actions(r.filter("dataset = 'MLR'"), r.filter("dataset <> 'MLR'"))
-
-
 @query("""WITH r AS (SELECT DISTINCT lower(concept) AS concept, evidence FROM source_context WHERE evidence IS NOT NULL AND concept IS NOT NULL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY length(evidence) DESC, evidence) AS rn FROM r) WHERE rn <= 3)
 SELECT concept, count(*) AS n, sha256(string_agg(evidence, chr(10) ORDER BY rn)) AS input_hash FROM k GROUP BY 1""")
 def profile_inputs(spark, d):

@@ -10,10 +10,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import clean_field
+from graphloom.session import numbered
 
 BOM = "﻿"
 
@@ -46,9 +47,8 @@ def concepts(spark: SparkSession, path: str) -> DataFrame:
         rows = csv_cells(spark, path)
     names = F.array_distinct(F.filter(F.transform("cells", clean_field), lambda c: c != ""))
     rows = rows.select("ord", names.alias("names")).filter(F.size("names") > 0)
-    return rows.select(
-        (F.row_number().over(Window.orderBy("ord")) - 1).alias("concept_id"), F.col("names")[0].alias("canonical"), F.slice("names", 2, 10_000).alias("aliases")  # a list of names
-    )
+    rest = F.slice("names", F.lit(2), F.greatest(F.size("names") - 1, F.lit(0)))
+    return numbered(rows, "ord", name="concept_id").select("concept_id", F.col("names")[0].alias("canonical"), rest.alias("aliases"))
 
 
 def labels_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -151,10 +151,12 @@ def knn_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("source_id").cast("int").alias("source_id"), F.col("target_id").cast("int").alias("target_id"), w.try_cast("double").alias("weight"))
 
 
-def contexts(rows: DataFrame, dataset: str, order: str) -> DataFrame:
-    """Metadata rows with ids like MLR-META-0001, by row order."""
-    n = F.row_number().over(Window.orderBy(order))  # ids follow the order of one file
-    return rows.withColumn("context_id", F.format_string("%s-META-%04d", F.lit(dataset), n))
+def contexts(rows: DataFrame, dataset: str, *order: str, kind: str = "META") -> DataFrame:
+    """Rows with ids like MLR-META-0001 by their order; `kind` FORMULA for formulas, whose own ids come first."""
+    placed = numbered(rows, *order, name="_n")
+    made = F.format_string(f"%s-{kind}-%04d", F.lit(dataset), F.col("_n") + 1)
+    own = F.when(F.trim("formula_id") != "", F.col("formula_id")) if "formula_id" in rows.columns else F.lit(None).cast("string")
+    return placed.withColumn("context_id", F.coalesce(own, made)).drop("_n")
 
 
 def first_with_suffix(folder: str, suffix: str) -> str | None:
@@ -162,9 +164,11 @@ def first_with_suffix(folder: str, suffix: str) -> str | None:
     return next((os.path.join(folder, f) for f in sorted(os.listdir(folder)) if f.endswith(suffix)), None)
 
 
-def checkpoints(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Rows of all JSON documents of a folder, with the file they came from."""
-    return spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("file", F.input_file_name())
+def checkpoints(spark: SparkSession, folder: str, schema: str, key: str | None = None, exclude: str | None = None) -> DataFrame:
+    """Rows of all JSON documents of a folder with the file they came from, by key; files whose name matches `exclude` are left out."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("file", F.input_file_name())
+    rows = rows if exclude is None else rows.filter(~F.element_at(F.split("file", "/"), -1).rlike(exclude))
+    return rows if key is None else rows.orderBy(key)
 
 
 def expand(text: str, env: dict[str, str] | None = None) -> str:

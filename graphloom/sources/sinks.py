@@ -9,6 +9,7 @@ import tempfile
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 
@@ -47,30 +48,42 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def publish_if_complete(rows: DataFrame, expected: DataFrame, key: str, path: str) -> int:
-    """Write rows as parquet only if every expected key is among them; gives the number of missing keys."""
+    """Write rows as parquet only if every expected key is among them, and only if they differ from what is there; gives the number of missing keys."""
     missing = expected.select(key).distinct().join(rows, key, "left_anti").count()
-    if not missing:
-        rows.write.mode("overwrite").parquet(path)
-    return missing
+    if missing:
+        return missing
+    spark = rows.sparkSession
+    try:
+        there = spark.read.parquet(path)
+    except AnalysisException:
+        there = None
+    if there is not None and there.schema == rows.schema and there.exceptAll(rows).isEmpty() and rows.exceptAll(there).isEmpty():
+        return 0
+    rows.write.mode("overwrite").parquet(path)
+    return 0
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 1_000_000) -> None:
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Graph file of (id, label) and (src, dst, type, weight); an edge to an unknown node is an error.
 
-    The format is one XML document, so the graph is written by the driver row by row; more than `most` rows are refused.
+    The format is one XML document, so the driver writes it, row by row as partitions arrive, and replaces the file at the end.
     """
     ends = edges.selectExpr("src as id").union(edges.selectExpr("dst as id")).distinct()
     if not ends.join(nodes, "id", "left_anti").isEmpty():
         raise ValueError("an edge ends at an unknown node")
-    if nodes.count() + edges.count() > most:
-        raise ValueError(f"more than {most} nodes and edges for one document")
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="label" for="node" attr.name="label" attr.type="string"/>', '<key id="type" for="edge" attr.name="type" attr.type="string"/>', '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>', '<graph edgedefault="directed">']
-    for r in nodes.orderBy("id").toLocalIterator():
-        out.append(f'<node id={quoteattr(str(r["id"]))}><data key="label">{escape(str(r["label"]))}</data></node>')
-    for r in edges.orderBy("src", "dst", "type").toLocalIterator():
-        weight = "" if r["weight"] is None else f'<data key="weight">{r["weight"]}</data>'
-        out.append(f'<edge source={quoteattr(str(r["src"]))} target={quoteattr(str(r["dst"]))}><data key="type">{escape(r["type"])}</data>{weight}</edge>')
-    atomic_write(path, ("\n".join([*out, "</graph>", "</graphml>"]) + "\n").encode())
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="label" for="node" attr.name="label" attr.type="string"/>', '<key id="type" for="edge" attr.name="type" attr.type="string"/>', '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>', '<graph edgedefault="directed">']
+    part = f"{path}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        f.write("\n".join(head) + "\n")
+        for r in nodes.orderBy("id").toLocalIterator():
+            f.write(f'<node id={quoteattr(str(r["id"]))}><data key="label">{escape(str(r["label"]))}</data></node>\n')
+        for r in edges.orderBy("src", "dst", "type").toLocalIterator():
+            weight = "" if r["weight"] is None else f'<data key="weight">{r["weight"]}</data>'
+            f.write(f'<edge source={quoteattr(str(r["src"]))} target={quoteattr(str(r["dst"]))}><data key="type">{escape(r["type"])}</data>{weight}</edge>\n')
+        f.write("</graph>\n</graphml>\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
 
 
 def store_asset(folder: str, data: bytes, suffix: str) -> str:
