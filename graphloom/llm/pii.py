@@ -36,6 +36,7 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, MARGIN, BATCH = 192, 24, 768
 #: Label of the first character of a mention.
 FIRST = len(TYPES) + 1
+ABBREVIATION = re.compile(r"[^\W\d_]{2,5}\.\s+(?=\w)")
 AT = re.compile(r"\w(?:\s?[@＠]\s?|\W+at\W+)\w(?:.*?)(?:\.|\W*\bdot\b\W*)[^\W\d]{2,}$", re.I | re.S)
 
 # ---------------------------------------------------------------- characters
@@ -188,6 +189,8 @@ def mentions(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
     for label, a, b in spans(labels):
         kind = TYPES[label - 1]
         a, b = whole(text, a, b)
+        if kind == "name" and (m := ABBREVIATION.match(text, a, b)):  # a title is no part of a name
+            a = m.end()
         if a < b and possible(kind, text[a:b]):
             found.append((a, b, kind))
     for surface, kind in {(text[a:b], kind) for a, b, kind in found}:  # the same text elsewhere in the document
