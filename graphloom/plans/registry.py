@@ -11,6 +11,7 @@ from graphloom.plans import catalogue
 from graphloom.plans import publication as _publication  # noqa: F401  (adds its queries to the catalogue)
 from graphloom.plans import questions as _questions  # noqa: F401
 from graphloom.plans import extraction as _extraction  # noqa: F401, I001  (after the questions, which it reads)
+from graphloom.plans import models as _models  # noqa: F401
 from graphloom.session import table
 
 P6_SQL = """WITH RECURSIVE e AS (SELECT node, min(parent) AS parent FROM (

@@ -150,3 +150,20 @@ def test_checkpoints_and_coverage(spark, tmp_path):
 
 def test_tiles(spark):
     assert one(spark, extraction.tile_to_body(F.array(*map(F.lit, (0.0, 500.0, 1000.0, 1000.0))), "bottom-right")) == [450.0, 725.0, 1000.0, 1000.0]
+
+
+def test_calibration_finds_temperature_and_bias(spark):
+    import math
+    import random
+
+    from graphloom.operators import models
+
+    rng = random.Random(3)
+    rows = [(x, int(rng.random() < 1 / (1 + math.exp(-(x / 2.5 + 0.4))))) for x in (rng.gauss(0, 4) for _ in range(6000))]
+    t, b = models.fit_calibration(spark.createDataFrame(rows, "logit double, y int"))
+    assert abs(t - 2.5) < 0.35 and abs(b - 0.4) < 0.15
+    assert 0.5 <= models.fit_calibration(spark.createDataFrame([(1.0, 1), (-1.0, 0)], "logit double, y int"))[0] <= 10
+    assert [models.backoff(a, s) for a, s in ((1, 429), (9, 503), (0, None), (1, 404))] == [2.0, 30.0, 1.0, None]
+    assert one(spark, models.lettered(F.col("l")), l=["x", "y"]) == {"A": "x", "B": "y"}
+    v = one(spark, models.thinned_features(F.array(*[F.lit(1.0)] * 200), F.lit("n"), 0.25, 7))
+    assert 20 < v.count(0.0) < 80 and set(v) == {0.0, 1 / 0.75}
