@@ -74,26 +74,33 @@ class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         w = {k: np.asarray(v, dtype=np.float32) for k, v in weights.items()}
         self.w = w
-        # the input product of a gate depends on the character alone
-        self.inputs = {d: np.ascontiguousarray(w["emb"] @ w[f"wx_{d}"] + w[f"b_{d}"]) for d in "fb"}
+        # the input product of a gate depends on the character alone; a sigmoid is a tanh of half its argument
+        self.inputs, self.back = {}, {}
+        for d in "fb":
+            table, wh = np.ascontiguousarray(w["emb"] @ w[f"wx_{d}"] + w[f"b_{d}"]), w[f"wh_{d}"].copy()
+            gates = 3 * wh.shape[0]
+            table[:, :gates] *= 0.5
+            wh[:, :gates] *= 0.5
+            self.inputs[d], self.back[d] = table, wh
 
     def _lstm(self, ids: np.ndarray, d: str) -> np.ndarray:
         """Hidden states (time, window, unit) of (window, time) characters."""
         n, t = ids.shape
-        table, wh = self.inputs[d], self.w[f"wh_{d}"]
+        table, wh = self.inputs[d], self.back[d]
         size = wh.shape[0]
         h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-        out = np.empty((t, n, size), np.float32)
+        out, z = np.empty((t, n, size), np.float32), np.empty((n, 4 * size), np.float32)
+        by_time = np.ascontiguousarray(ids.T)
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = table[ids[:, k]]
-            z += h @ wh
+            np.matmul(h, wh, out=z)
+            z += table[by_time[k]]
+            np.tanh(z, out=z)
             gates = z[:, : 3 * size]
-            np.tanh(gates * 0.5, out=gates)
+            gates += 1
             gates *= 0.5
-            gates += 0.5
-            g = np.tanh(z[:, 3 * size :])
-            c = gates[:, size : 2 * size] * c + gates[:, :size] * g
-            h = gates[:, 2 * size : 3 * size] * np.tanh(c)
+            c *= gates[:, size : 2 * size]
+            c += gates[:, :size] * z[:, 3 * size :]
+            h = gates[:, 2 * size :] * np.tanh(c)
             out[k] = h
         return out
 
@@ -107,18 +114,20 @@ class Tagger:
         """(window, time) labels by Viterbi."""
         e = self.emissions(ids)
         t, n, k = e.shape
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
         move = self.w["move"]
-        score = e[0].copy()
-        back = np.empty((t, n, k), np.int8)
+        score, before = e[0].copy(), np.empty((t, k, n), np.float32)
         for i in range(1, t):
-            via = score[:, :, None] + move[None]
-            back[i] = via.argmax(1)
-            score = via.max(1) + e[i]
+            before[i] = score
+            best = score[0] + move[0][:, None]
+            for j in range(1, k):
+                np.maximum(best, score[j] + move[j][:, None], out=best)
+            score = best + e[i]
         path = np.empty((t, n), np.int8)
-        path[-1] = score.argmax(1)
-        rows = np.arange(n)
-        for i in range(t - 1, 0, -1):
-            path[i - 1] = back[i, rows, path[i]]
+        path[-1] = score.argmax(0)
+        into = np.ascontiguousarray(move.T)
+        for i in range(t - 1, 0, -1):  # the best way back from the scores that were kept
+            path[i - 1] = (before[i] + into[path[i]].T).argmax(0)
         return path.T
 
     def labels(self, texts: list[str]) -> list[np.ndarray]:
