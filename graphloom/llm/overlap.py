@@ -50,7 +50,8 @@ def _worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _described(names: DataFrame) -> DataFrame:
     """(key, words, path, text) of the distinct names: their words, joined by spaces and without."""
-    keys = names.select("key").filter(F.length("key") > 0).distinct()
+    # each name makes hundreds of keys later, so few names must not end up in one task
+    keys = names.select("key").filter(F.length("key") > 0).distinct().repartition(4 * names.sparkSession.sparkContext.defaultParallelism, "key")
     return cut(keys.mapInPandas(_worded, "key string, words array<string>, path string, text string").filter(F.size("words") > 0))
 
 
