@@ -181,6 +181,39 @@ def iou_pairs(boxes: DataFrame, page: list[str], least: float = 0.25) -> DataFra
     return met.filter(F.col("iou") >= least).distinct()
 
 
+#: Least overlap at which two assets are one: formulas, visuals of a tile, of a page, and over all pages (whatever their kind).
+OVERLAPS = {"formula": 0.25, "tile": 0.55, "page": 0.65, "global": 0.65}
+
+
+def first_boxes(boxes: DataFrame, page: list[str], least: float) -> DataFrame:
+    """Boxes (id, page..., x0, y0, x1, y1) without those that overlap an earlier one that stays; ids give the order.
+
+    The greedy fold over a page, as set operations: what a box that stays overlaps goes, what only gone boxes
+    overlap stays, and so on. Put the kind or the formula's key among `page` where it must agree.
+    """
+    clash = cut(iou_pairs(boxes, page, least).select("left_id", "right_id"))
+    ids = lambda d, c: d.select(F.col(c).alias("id")).distinct()
+    open_ = cut(ids(clash, "right_id"))
+    kept, gone = cut(ids(clash, "left_id").join(open_, "id", "left_anti")), open_.limit(0)
+    while not open_.isEmpty():  # the first open box has decided ones before it only
+        met = clash.join(open_.withColumnRenamed("id", "right_id"), "right_id", "left_semi")
+        lost = cut(ids(met.join(kept.withColumnRenamed("id", "left_id"), "left_id", "left_semi"), "right_id"))
+        gone = cut(gone.unionByName(lost))
+        rest = open_.join(lost, "id", "left_anti")
+        waiting = met.join(gone.withColumnRenamed("id", "left_id"), "left_id", "left_anti")
+        sure = cut(rest.join(ids(waiting, "right_id"), "id", "left_anti"))
+        kept = cut(kept.unionByName(sure))
+        open_ = cut(rest.join(sure, "id", "left_anti"))
+    return boxes.join(gone, "id", "left_anti")
+
+
+def skipgrams(texts: DataFrame, words: Column, window: int = 5, least: int = 1) -> DataFrame:
+    """(center, context, n): pairs of words at most `window` places apart in a text, counted; a word's window is read from its own array."""
+    around = [F.get("t", F.col("pos") + k) for k in range(-window, window + 1) if k]
+    pairs = texts.select(words.alias("t")).select(F.posexplode("t").alias("pos", "center"), "t").select("center", F.explode(F.array_compact(F.array(*around))).alias("context"))
+    return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
 def page_chapters(rows: DataFrame, chapters: DataFrame) -> DataFrame:
     """Rows with the chapter whose range holds their page; ranges (chapter, lo, hi) are a small fixed dimension.
 

@@ -35,11 +35,15 @@ def similar(labels: DataFrame, k: int | None = 12) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).filter(F.col("rank") <= k)
 
 
+def neighbour_rows(edges: DataFrame) -> DataFrame:
+    """(concept, relation, other): all neighbours of every concept in both directions of every relation."""
+    out = edges.select(F.col("src").alias("concept"), F.concat("type", F.lit(":out")).alias("relation"), F.col("dst").alias("other"))
+    return out.unionByName(edges.select(F.col("dst").alias("concept"), F.concat("type", F.lit(":in")).alias("relation"), F.col("src").alias("other")))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(concept, relation, n, first): neighbours of every concept per direction of every relation."""
-    out = edges.select(F.col("src").alias("concept"), F.concat("type", F.lit(":out")).alias("relation"), F.col("dst").alias("other"))
-    back = edges.select(F.col("dst").alias("concept"), F.concat("type", F.lit(":in")).alias("relation"), F.col("src").alias("other"))
-    return out.unionByName(back).groupBy("concept", "relation").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("first"))
+    return neighbour_rows(edges).groupBy("concept", "relation").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("first"))
 
 
 def sibling_parts(parts: DataFrame, k: int = 4) -> DataFrame:

@@ -126,16 +126,11 @@ def neg_sampling_dist(spark, d):
     return counts.join(F.broadcast(total)).select("token", F.round(F.col("w") / F.col("total"), 9).alias("p"))  # one row
 
 
-@query(rf"""WITH t AS (SELECT passage_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)?') AS toks FROM passage WHERE text IS NOT NULL),
+@query(r"""WITH t AS (SELECT passage_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)?') AS toks FROM passage WHERE text IS NOT NULL),
 p AS (SELECT passage_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM t)
-SELECT a.token AS center, b.token AS context, count(*) AS n FROM p a JOIN p b ON a.passage_id = b.passage_id AND b.pos - a.pos BETWEEN -2 AND 2 AND a.pos <> b.pos GROUP BY 1, 2 HAVING count(*) >= 20""")
+SELECT a.token AS center, b.token AS context, count(*) AS n FROM p a JOIN p b ON a.passage_id = b.passage_id AND b.pos - a.pos BETWEEN -5 AND 5 AND a.pos <> b.pos GROUP BY 1, 2""")
 def skipgram_pairs(spark, d):
-    toks = keys.tokens(F.col("text"))
-    rows = table(spark, d, "passage").filter("text is not null").select(toks.alias("t"))
-    # the window of a word is read from its own array: no join
-    pairs = rows.select(F.posexplode("t").alias("pos", "center"), "t").select("center", F.explode(F.array_compact(F.array(*[F.get("t", F.col("pos") + k) for k in (-2, -1, 1, 2)]))).alias("context"))
-    # array positions before the start give null
-    return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    return evidence.skipgrams(table(spark, d, "passage").filter("text is not null"), keys.tokens(F.col("text")), 5)
 
 
 @query(r"""SELECT formula_id, (length(latex) > 0 AND length(latex) <= 1000 AND NOT regexp_matches(lower(latex), '\?|illegible|unclear|unknown|cannot read') AND length(replace(latex, '{', '')) = length(replace(latex, '}', '')) AND length(replace(latex, '(', '')) = length(replace(latex, ')', '')) AND length(replace(latex, '[', '')) = length(replace(latex, ']', ''))) AS valid,
@@ -588,6 +583,11 @@ def graph_neighbours(spark, d):
     return graphq.neighbours(_edges(spark, d))
 
 
+@query(f"WITH {EDGES} SELECT src AS concept, type || ':out' AS relation, dst AS other FROM e UNION ALL SELECT dst, type || ':in', src FROM e")
+def neighbour_rows(spark, d):
+    return graphq.neighbour_rows(_edges(spark, d))
+
+
 @query(f"""WITH {EDGES}, p AS (SELECT src, dst FROM e WHERE type = 'part-of'), m AS (SELECT a.src AS concept, b.src AS sibling, min(a.dst) AS whole FROM p a JOIN p b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY whole, sibling)::INT AS rank FROM m) WHERE rank <= 4""")
 def sibling_parts(spark, d):
@@ -694,6 +694,15 @@ def iou_pairs(spark, d):
     return evidence.iou_pairs(boxes, ["pdf_file"], 0.65)
 
 
+@query()
+def boxes_once(spark, d):
+    """Boxes of a page and kind without those that overlap an earlier one; a greedy fold, so without SQL."""
+    b = F.col("bbox")
+    rows = table(spark, d, "passage").filter("bbox is not null and size(bbox) = 4 and pdf_file is not null and page is not null")
+    rows = rows.select(F.col("passage_id").alias("id"), "pdf_file", "page", F.coalesce("source_type", F.lit("")).alias("kind"), b[0].alias("x0"), b[1].alias("y0"), b[2].alias("x1"), b[3].alias("y1"))
+    return evidence.first_boxes(cut(rows), ["pdf_file", "page", "kind"], evidence.OVERLAPS["tile"])
+
+
 @query("""SELECT passage_id, row_number() OVER (PARTITION BY pdf_file, page ORDER BY passage_id)::INT AS index_on_page FROM passage""")
 def page_running_index(spark, d):
     return table(spark, d, "passage").select("passage_id", F.row_number().over(Window.partitionBy("pdf_file", "page").orderBy("passage_id")).alias("index_on_page"))

@@ -167,3 +167,23 @@ def test_calibration_finds_temperature_and_bias(spark):
     assert one(spark, models.lettered(F.col("l")), l=["x", "y"]) == {"A": "x", "B": "y"}
     v = one(spark, models.thinned_features(F.array(*[F.lit(1.0)] * 200), F.lit("n"), 0.25, 7))
     assert 20 < v.count(0.0) < 80 and set(v) == {0.0, 1 / 0.75}
+
+
+def test_first_boxes_are_the_greedy_fold(spark):
+    import random
+
+    rng = random.Random(9)
+    boxes = []
+    for i in range(150):
+        x, y = rng.randrange(0, 700), rng.randrange(0, 700)
+        boxes.append((i, rng.randrange(3), float(x), float(y), float(x + rng.randrange(100, 300)), float(y + rng.randrange(100, 300))))
+    def iou(a, b):
+        w, h = max(0, min(a[4], b[4]) - max(a[2], b[2])), max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        return w * h / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - w * h)
+    kept = []
+    for b in boxes:
+        if all(k[1] != b[1] or iou(k, b) < 0.25 for k in kept):
+            kept.append(b)
+    df = spark.createDataFrame(boxes, "id int, page int, x0 double, y0 double, x1 double, y1 double")
+    assert {r["id"] for r in evidence.first_boxes(df, ["page"], 0.25).collect()} == {b[0] for b in kept}
+    assert evidence.first_boxes(df.limit(0), ["page"], 0.25).count() == 0
