@@ -80,7 +80,8 @@ def _near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lword, rword): words of both sides that may stand for each other in names of as many words."""
     keyed = lambda side, p: side.select(F.explode("words").alias("word")).distinct().mapInPandas(_word_keys, "word string, k long").withColumnRenamed("word", f"{p}word")
-    met = keyed(left, "l").join(keyed(right, "r"), "k").select("lword", "rword").distinct()
+    # keys are many times the words that the planner sees, so it must not broadcast them
+    met = keyed(left, "l").join(keyed(right, "r").hint("merge"), "k").select("lword", "rword").distinct()
     return cut(met.mapInPandas(_near_words, met.schema))
 
 
@@ -141,7 +142,7 @@ def joined(left: DataFrame, right: DataFrame) -> DataFrame:
     lk = left.select("key", "words", "text").mapInPandas(_text_keys(counts(right), False), "key string, k long").withColumnRenamed("key", "lkey")
     rk = right.select("key", "words", "text").mapInPandas(_text_keys(counts(left), True), "key string, k long").withColumnRenamed("key", "rkey")
     equal = left.select(F.col("key").alias("lkey"), "text").join(right.select(F.col("key").alias("rkey"), "text"), "text")
-    return lk.join(rk, "k").select("lkey", "rkey").distinct().unionByName(equal.select("lkey", "rkey"))
+    return lk.join(rk.hint("merge"), "k").select("lkey", "rkey").distinct().unionByName(equal.select("lkey", "rkey"))
 
 
 @nonempty
