@@ -265,7 +265,7 @@ def misread_words(words: DataFrame, least: int = 5, ratio: float = 20.0) -> Data
     # a piece of a formula is no word; only words so rare that a known word can be `ratio` times as frequent are laid out
     asked = words.filter((F.col("n") * ratio <= top) & ~F.col("word").rlike(r"^[0-9.,:%/()\[\]-]+$") & ~F.col("word").rlike(r"\\|^\$|\$$") & F.col("word").rlike(r"\p{L}"))
     asked = asked.filter((F.length("word") >= 4) | F.col("word").rlike(r"[^a-zA-Z'’-]"))
-    short = asked.filter(F.length("word") <= LONG).repartition(4 * spark.sparkContext.defaultParallelism, "word").mapInPandas(run, "word string, n long, good string, plain boolean").join(known, "good")
+    short = asked.filter(F.length("word") <= LONG).repartition(4 * spark.sparkContext.defaultParallelism, "word").mapInPandas(run, "word string, n long, good string, plain boolean").join(known.hint("merge"), "good")  # forms are many times the words that the planner sees
     return (
         short.unionByName(_long_misreads(asked, known))
         .filter(F.col("m") >= F.col("n") * ratio)
