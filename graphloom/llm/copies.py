@@ -7,7 +7,7 @@ by a byte trie with terminal counters: a terminal holds the record ids of its ke
 record kept and its copies. A bucket of one key above the limit can't be split by bytes; it is spread over salts, each
 with a trie of its own, and the counters of its terminals are added up.
 
-Defined results: null in either field: the record is no case and no copy of any. Empty strings are values. Equal ids
+Defined results: null in either field: the record is no case and no copy of any; records without an id take no part. Empty strings are values. Equal ids
 count as one record. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -55,7 +55,7 @@ def canonical_records(df: DataFrame, id_col: str = "formula_id", name: str = "co
     a, b = F.col(name), F.col(latex)
     swapped = F.regexp_count(a, F.lit(MATHS)) > F.regexp_count(b, F.lit(MATHS))
     return (
-        df.filter(a.isNotNull() & b.isNotNull())
+        df.filter(a.isNotNull() & b.isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("rec_id"), F.when(swapped, b).otherwise(a).alias("_n"), F.when(swapped, a).otherwise(b).alias("_l"))
         .select("rec_id", F.concat(canonical_name(F.col("_n")), F.lit("\u0002"), canonical_latex(F.col("_l"))).alias("key"))
     )
@@ -197,5 +197,5 @@ def collapse(df: DataFrame, id_col: str = "formula_id", name: str = "concept", l
     """(keep_id, copies): one row per formula with its number of records; records with a null value stand alone."""
     keyed = cut(canonical_records(df, id_col, name, latex))
     groups = copy_counts(keyed, limit).groupBy("keep_id").agg(F.sum(F.size("ids")).cast("long").alias("copies"))
-    alone = df.filter(F.col(name).isNull() | F.col(latex).isNull()).select(F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("copies"))
+    alone = df.filter((F.col(name).isNull() | F.col(latex).isNull()) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("copies"))
     return groups.unionByName(alone.distinct())

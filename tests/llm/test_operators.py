@@ -28,6 +28,9 @@ FORMULAS = [
     ("f8", "damped sketching", r"\exp(z_12) = 1"),
     ("f9", None, "x = 1"),
     ("g1", "a", None),
+    (None, "damped sketching", "x"),
+    (None, "damped sketching", "x"),
+    (None, None, None),
 ]
 
 
