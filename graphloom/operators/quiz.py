@@ -243,6 +243,32 @@ def meets_constraint(name: Column, wants: str) -> Column:
     return F.lit(True)
 
 
+#: Names that fill up the options where the graph has too few of the kind.
+SYNTHETIC_METHODS = ("hold-out validation", "bootstrap validation", "leave-one-out validation")
+SYNTHETIC = ("related alternative to %s", "neighboring concept of %s", "contrasting concept to %s")
+
+
+def revised(answered: DataFrame, made: DataFrame, review: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
+    """(concept, plan, option, source, rank): new wrong options of the items that the review refused.
+
+    Weak options, the concept and the answer are out. Candidates come from the pools of the answer and of the concept;
+    for questions after a method or metric only names of methods do (what is to be avoided names them too). Then
+    synthetic names fill up.
+    """
+    failed = review.filter(~F.col("passed")).select(*KEY, "expected")
+    each = made.join(failed, KEY).select(*KEY, "expected", "answer", F.explode("options").alias("label", "option")).filter("label <> answer")
+    weak = each.filter(weak_option(F.col("expected"), concept_type(F.col("option")))).select(*KEY, "option")
+    items_ = answered.join(failed, KEY)
+    out = weak.unionByName(items_.select(*KEY, F.explode(F.array("concept", "correct")).alias("option")))
+    methods = F.col("expected").isin("method", "metric")
+    side = lambda c, tier: items_.withColumn("name", F.col(c)).join(pool, "name").select(*KEY, "expected", "option", "source", F.lit(tier).alias("tier"), "prio", "rank")
+    met = side("correct", 1).unionByName(side("concept", 2)).join(out, [*KEY, "option"], "left_anti").filter(~F.coalesce(methods, F.lit(False)) | meets_constraint(F.col("option"), "method"))
+    made_up = lambda i: F.when(methods, F.lit(SYNTHETIC_METHODS[i])).otherwise(F.format_string(SYNTHETIC[i], "correct"))
+    fill = items_.select(*KEY, "expected", F.posexplode(F.array(*map(made_up, range(3)))).alias("rank", "option")).select(*KEY, "expected", "option", F.lit("synthetic").alias("source"), F.lit(3).alias("tier"), F.lit(0).alias("prio"), "rank")
+    once = met.unionByName(fill).groupBy(*KEY, "option").agg(F.min(F.struct("tier", "prio", "rank", "source")).alias("p"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("p.tier", "p.prio", "p.rank", "option"))).filter(F.col("rank") <= k).select(*KEY, "option", F.col("p.source").alias("source"), "rank")
+
+
 def mentions(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, id) of the texts (id, text) that have a term as whole words.
 

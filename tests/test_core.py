@@ -242,3 +242,12 @@ def test_rounds_alternate_and_keep_gold(spark):
     assert [(r["teacher"], r["n_new"]) for r in log.orderBy("round").collect()] == [("content", 8), ("graph", 8), ("content", 3), ("graph", 0)]
     rows = {(r["src"], r["label"]) for r in memory.collect()}
     assert (40, 1) in rows and (0, 0) not in rows
+
+
+def test_refused_options_are_replaced(spark):
+    answered = spark.createDataFrame([("a", "p", "a", "x"), ("b", "p", "b", "x")], "concept string, plan string, correct string, basis string")
+    made = spark.createDataFrame([("a", "p", "Which method fits?", {"A": "a", "B": "training error", "C": "ridge regression", "D": "c"}, "A"), ("b", "p", "Which one?", {"A": "b", "B": "c", "C": "d", "D": "e"}, "A")], "concept string, plan string, stem string, options map<string,string>, answer string")
+    review = quiz.distractor_review(made)
+    assert {(r["concept"], r["n_weak"], r["weak"], r["passed"], r["constraint"]) for r in review.collect()} == {("a", 1, "B=training error", False, "methods"), ("b", 0, "", True, "same type")}
+    pool = spark.createDataFrame([("a", "training error", "s", 1, 1), ("a", "test set", "s", 1, 2), ("a", "greedy algorithm", "s", 1, 3), ("a", "a", "s", 1, 4)], "name string, option string, source string, prio int, rank int")
+    assert [(r["option"], r["source"]) for r in quiz.revised(answered, made, review, pool).orderBy("rank").collect()] == [("greedy algorithm", "s"), ("hold-out validation", "synthetic"), ("bootstrap validation", "synthetic")]
