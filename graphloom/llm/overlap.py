@@ -112,7 +112,8 @@ def _joined_keys(text: str, probe: bool) -> set[str]:
     m = len(text)
     out = {f"w{k}" for k in deletions(text, 2)} if m <= SHORT + 2 else set()
     if m > SHORT:
-        firsts, seconds = (range(m // 2 - 2, m // 2 + 3), range((m + 1) // 2 - 2, (m + 1) // 2 + 3)) if probe else ([m // 2], [m - m // 2])
+        # the other text's halves are at most one letter longer or shorter; cut at the same place, texts with one slip before it share a deletion
+        firsts, seconds = (range(m // 2 - 1, m // 2 + 2), range((m + 1) // 2 - 1, (m + 1) // 2 + 2)) if probe else ([m // 2], [m - m // 2])
         out |= {f"a{k}" for h in firsts for k in deletions(text[:h], 1)} | {f"b{k}" for h in seconds for k in deletions(text[m - h :], 1)}
     return out
 

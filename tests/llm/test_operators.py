@@ -148,6 +148,29 @@ def test_overlap_of_short_and_joined_names(spark):
     assert {tuple(r) for r in overlap.found(pairs(spark, train), pairs(spark, evaluation)).collect()} == {(i, 100 + i) for i in range(len(alike))}
 
 
+def test_texts_within_two_slips_share_a_key():
+    rng = random.Random(8)
+    for _ in range(4000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 24)))
+        b = list(a)
+        for _ in range(2):
+            i = rng.randrange(len(b) + 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                b.insert(i, rng.choice("abcd"))
+            elif i < len(b):
+                if kind == 1:
+                    del b[i]
+                elif kind == 2:
+                    b[i] = rng.choice("abcd")
+                elif i + 1 < len(b):
+                    b[i], b[i + 1] = b[i + 1], b[i]
+        b = "".join(b)
+        if slips(a, b) <= 2:
+            assert overlap._joined_keys(a, False) & overlap._joined_keys(b, True), (a, b)
+            assert overlap._joined_keys(b, False) & overlap._joined_keys(a, True), (a, b)
+
+
 def test_overlap_empty(spark):
     some = pairs(spark, [(1, "a b c", "d e f", "train")])
     assert overlap.found(some, pairs(spark, [])).count() == 0
