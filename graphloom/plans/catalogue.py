@@ -733,6 +733,14 @@ def phrase_matches(spark, d):
     return evidence.phrase_matches(table(spark, d, "passage"), names, "passage_id", "text")
 
 
+@query()
+def phrase_totals(spark, d):
+    """Words of all texts, phrases met in them, and words that these cover."""
+    words = table(spark, d, "passage").filter("text is not null").agg(F.sum(F.size(F.filter(F.split(keys.plain_key(F.col("text")), " "), lambda w: w != ""))).alias("n_words"))
+    met = phrase_matches(spark, d).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"), F.coalesce(F.sum(F.col("n") * F.size(F.split("phrase", " "))), F.lit(0)).alias("n_covered"))
+    return words.join(F.broadcast(met))  # single rows
+
+
 @query()
 def fuzzy_merge(spark, d):
     rows = table(spark, d, "mlr_formula").filter("concept is not null").select(F.coalesce("chapter", F.lit(-1)).cast("string").alias("group"), keys.plural_key(F.col("concept")).alias("name"), F.col("pdf_page").alias("page"))

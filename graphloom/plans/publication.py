@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import labels, publication
+from graphloom.operators import extraction, labels, publication
 from graphloom.plans.catalogue import PLAIN, UNIVERSE, query
 from graphloom.session import table
 
@@ -89,8 +89,12 @@ def page_boxes(spark, d):
 
 
 @query("""WITH r AS (SELECT DISTINCT lower(concept) AS concept, evidence FROM source_context WHERE evidence IS NOT NULL AND concept IS NOT NULL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY length(evidence) DESC, evidence) AS rn FROM r) WHERE rn <= 3)
-SELECT concept, count(*) AS n, sha256(string_agg(evidence, chr(10) ORDER BY rn)) AS input_hash FROM k GROUP BY 1""")
+SELECT concept, count(*) AS n, sha256(to_json({'concept': concept, 'evidence': list(evidence ORDER BY rn)})::VARCHAR) AS input_hash FROM k GROUP BY 1""")
 def profile_inputs(spark, d):
+    """The three longest texts of each concept, and the digest of concept and texts as JSON with its keys in order."""
     r = table(spark, d, "source_context").filter("evidence is not null and concept is not null").select(F.lower("concept").alias("concept"), "evidence").distinct()
     k = r.withColumn("rn", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc(F.length("evidence")), "evidence"))).filter("rn <= 3")
-    return k.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rn", "evidence"))).alias("l")).select("concept", "n", F.sha2(F.array_join(F.col("l.evidence"), "\n"), 256).alias("input_hash"))
+    one = k.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rn", "evidence"))).alias("l"))
+    return one.select("concept", "n", extraction.input_hash(F.struct("concept", F.col("l.evidence").alias("evidence"))).alias("input_hash"))
+
+

@@ -166,8 +166,8 @@ def test_sibling_parts_of_a_hot_whole(spark):
 
 def test_claims(spark):
     schema = "i int, claims array<struct<text: string, kind: string, ids: array<string>>>"
-    ok, bare, back = ("a", "supported", ["1"]), ("a", "supported", []), ("b", "background", [])
-    rows = [(0, [ok, back]), (1, []), (2, None), (3, [("a", "other", [])]), (4, [bare]), (5, [("b", "background", ["1"])]), (6, [back, back])]
+    ok, bare, back = ("a", "source_supported", ["1"]), ("a", "source_supported", []), ("b", "background_context", [])
+    rows = [(0, [ok, back]), (1, []), (2, None), (3, [("a", "other", [])]), (4, [bare]), (5, [("b", "background_context", ["1"])]), (6, [back, back])]
     got = {r["i"]: r["r"] for r in spark.createDataFrame(rows, schema).select("i", publication.claims_reason(F.col("claims")).alias("r")).collect()}
     assert got == {0: "ok", 1: "none", 2: "none", 3: "kind", 4: "unsupported", 5: "background_ids", 6: "backgrounds"}
 
