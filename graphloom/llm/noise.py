@@ -29,6 +29,7 @@ from graphloom.session import cut, nonempty
 
 BODY, HEADER, NUMBER, BREAK, GAP, SPLIT = range(6)
 STATES = 6
+COLUMNS = np.arange(STATES)
 HYPHENS = "-‐‑¬­"
 
 #: Characters and groups that optical recognition takes for others, seen form first.
@@ -131,6 +132,7 @@ class LineModel:
         self.start = np.zeros(STATES)
         self.move = np.zeros((STATES, STATES))
         self.emit = [np.zeros((STATES, n)) for n in SIZES]
+        self.sums: dict[tuple[int, ...], np.ndarray] = {}
 
     def fit(self, passages: list[list[tuple[int, ...]]], rounds: int = 3) -> LineModel:
         """Counts from seed labels, then Viterbi training: label, count again."""
@@ -151,19 +153,27 @@ class LineModel:
             self.start = np.log(start / start.sum())
             self.move = np.log(move / move.sum(1, keepdims=True))
             self.emit = [np.log(e / e.sum(1, keepdims=True)) for e in emit]
+            self.sums = {}
             labels = [self.decode(p) for p in passages]
         return self
 
+    def emission(self, f: tuple[int, ...]) -> np.ndarray:
+        """Score of a line's features in each state; there are few different ones."""
+        got = self.sums.get(f)
+        if got is None:
+            got = self.sums[f] = sum(e[:, v] for e, v in zip(self.emit, f))
+        return got
+
     def decode(self, passage: list[tuple[int, ...]]) -> list[int]:
         """Most likely states of the lines."""
         if not passage:
             return []
-        score = self.start + sum(e[:, v] for e, v in zip(self.emit, passage[0]))
-        back = []
+        score, back = self.start + self.emission(passage[0]), []
         for f in passage[1:]:
             via = score[:, None] + self.move
-            back.append(via.argmax(0))
-            score = via.max(0) + sum(e[:, v] for e, v in zip(self.emit, f))
+            best = via.argmax(0)
+            back.append(best)
+            score = via[best, COLUMNS] + self.emission(f)
         path = [int(score.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
