@@ -204,9 +204,11 @@ def leakage_check(spark, d):
     return labels.leakage(table(spark, d, "train_labels_initial"), table(spark, d, "test_neg"))
 
 
-@query("SELECT source_id AS src, target_id AS dst, count(DISTINCT coalesce(negative_type, 'missing')) AS n_pools FROM train_labels_initial WHERE label = 0 GROUP BY 1, 2 HAVING count(DISTINCT coalesce(negative_type, 'missing')) > 1")
+@query("""WITH t AS (SELECT source_id AS src, target_id AS dst, split || ':' || coalesce(negative_type, 'missing') AS pool FROM (SELECT * FROM train_labels_initial UNION ALL SELECT * FROM test_neg) WHERE label = 0) SELECT src, dst, count(DISTINCT pool) AS n_pools FROM t GROUP BY 1, 2 HAVING count(DISTINCT pool) > 1""")
 def overlapping_pools(spark, d):
-    return labels.overlapping_pools(table(spark, d, "train_labels_initial"))
+    """Negative pairs that stand in several pools of either table, by split and kind."""
+    t = table(spark, d, "train_labels_initial").unionByName(table(spark, d, "test_neg"))
+    return labels.overlapping_pools(t.withColumn("negative_type", F.concat_ws(":", "split", F.coalesce("negative_type", F.lit("missing")))))
 
 
 UNIVERSE = "SELECT row_number() OVER (ORDER BY a.concept_id, b.concept_id) - 1 AS pair_id, a.concept_id AS left_id, b.concept_id AS right_id FROM mlr_concepts a JOIN mlr_concepts b ON a.concept_id < b.concept_id"

@@ -251,3 +251,33 @@ def test_refused_options_are_replaced(spark):
     assert {(r["concept"], r["n_weak"], r["weak"], r["passed"], r["constraint"]) for r in review.collect()} == {("a", 1, "B=training error", False, "methods"), ("b", 0, "", True, "same type")}
     pool = spark.createDataFrame([("a", "training error", "s", 1, 1), ("a", "test set", "s", 1, 2), ("a", "greedy algorithm", "s", 1, 3), ("a", "a", "s", 1, 4)], "name string, option string, source string, prio int, rank int")
     assert [(r["option"], r["source"]) for r in quiz.revised(answered, made, review, pool).orderBy("rank").collect()] == [("greedy algorithm", "s"), ("hold-out validation", "synthetic"), ("bootstrap validation", "synthetic")]
+
+
+def test_reports_on_cases_that_the_tables_lack(spark):
+    from graphloom.operators import extraction, hierarchy
+
+    rows = spark.createDataFrame([("1", "a", "The core loop runs."), ("2", "a", "core LOOP"), ("3", "b", "core loop"), ("4", "a", "the core-loop runs"), ("5", "a", "")], "id string, concept string, evidence string")
+    assert {tuple(r) for r in publication.contained_evidence(rows).collect()} == {("2", "1")}
+    parts = spark.createDataFrame([("X", "b"), ("x ", "A"), ("x", "a"), ("y", "z")], "part_concept string, whole_concept string")
+    assert {tuple(r) for r in hierarchy.conflicts(parts).collect()} == {("x", "b", 2)}
+    names = spark.createDataFrame([(1, f"n{k}") for k in range(20)] + [(2, "m"), (2, "m")], "chapter int, name string")
+    assert {tuple(r) for r in extraction.thin_chapters(names).collect()} == {(2, 1)}
+    pools = spark.createDataFrame([(1, 2, 0, "hard"), (1, 2, 0, None), (2, 3, 0, "hard"), (2, 3, 1, "none")], "source_id int, target_id int, label int, negative_type string")
+    assert {tuple(r) for r in labels.overlapping_pools(pools).collect()} == {(1, 2, 2)}
+
+
+def test_loops_by_doubling_match_brute_force(spark):
+    from graphloom.operators import hierarchy
+
+    rng = random.Random(11)
+    parent = {f"n{k}": f"n{rng.randrange(60)}" for k in range(45)} | {f"c{k}": f"c{k + 1}" for k in range(40)} | {"c40": "c33"}
+    on_loop = set()
+    for x in parent:
+        y, seen = parent[x], set()
+        while y in parent and y not in seen and y != x:
+            seen.add(y)
+            y = parent[y]
+        if y == x:
+            on_loop.add(x)
+    df = spark.createDataFrame(list(parent.items()), "part_concept string, whole_concept string")
+    assert {r[0] for r in hierarchy.loops(df).collect()} == on_loop and on_loop
