@@ -4,9 +4,10 @@ Method: a character-level bidirectional LSTM with CRF transitions, trained in nu
 into overlapping windows; all windows of a block of texts run through the network together; every window is decoded
 by Viterbi, and each character takes the label of the window in which it stands furthest from the edges. A mention is
 a first character and the stretch of characters of one type behind it. Mentions are reconciled over the whole text:
-they are widened to whole words, those that can't be of their type (an address of mail without a domain, a phone
-number of three digits) are dropped, and a mention found once counts wherever the same text stands again in it. No
-list of words and no pattern of a type decides what comes out.
+they are widened to whole words, an abbreviation with a full stop before a name (a title) is cut off, those that can't
+be of their type are dropped (a mail without an at sign and a domain, a phone number of three digits, a name with
+digits), and a mention found once counts wherever the same text stands again in it. No list of words and no pattern
+finds a mention or sets its ends.
 
 Texts in capitals, of any script and of any length are read whole; windows of all texts of a block are batched, so a
 long text costs no more than as many short ones.
