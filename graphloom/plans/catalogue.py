@@ -332,7 +332,7 @@ def hard_negatives(spark, d):
 
 @query(f"""WITH {LABEL_NODES}, {GOLD_SPLIT}, {SIMILAR} SELECT g.src, g.dst, coalesce(similarity, 0) AS similarity FROM gd g LEFT JOIN sm ON sm.src = g.src AND sm.dst = g.dst""")
 def attached_similarity(spark, d):
-    return labels.attach_similarity(labels.edges(table(spark, d, "train_labels_initial")), labels.name_similarity(_label_nodes(spark, d)))
+    return labels.attach_similarity(labels.edges(table(spark, d, "train_labels_initial")), _label_nodes(spark, d))
 
 
 @query("""WITH t AS (SELECT * FROM train_labels_initial UNION ALL SELECT * FROM test_neg) SELECT 'missing id' AS rule, count(*) FILTER (source_id IS NULL OR target_id IS NULL OR source_index IS NULL OR target_index IS NULL) AS n FROM t UNION ALL SELECT 'negative id', count(*) FILTER (least(source_id, target_id, source_index, target_index) < 0) FROM t
