@@ -349,7 +349,7 @@ def contiguous_concepts(spark, d):
 @query(f"WITH {LABEL_NODES}, {SIMILAR} SELECT count(*) AS n, 0::BIGINT AS n_bad, count(*) = (SELECT count(*) * count(*) FROM nd) AS square FROM sm")
 def similarity_matrix_check(spark, d):
     nodes = _label_nodes(spark, d)
-    return labels.finite_square(labels.name_similarity(nodes), nodes.count())
+    return labels.finite_square(labels.similarity_levels(nodes), nodes.count())
 
 
 def _append_input(spark, d):
