@@ -309,7 +309,7 @@ def _pools(spark, d):
     gold = cut(t.filter("label = 1 and source_id <> target_id").groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.min("label_id").alias("ord")))
     splits = cut(labels.hash_split(gold).join(gold, ["src", "dst"]))
     file_negatives = labels.edges(t, 0)
-    return splits, gold, labels.negative_pools(splits, gold, file_negatives, numbered(nodes.select("node"), "node"), cut(labels.name_similarity(nodes)), 20, 20)
+    return splits, gold, labels.negative_pools(splits, gold, file_negatives, numbered(nodes.select("node"), "node"), nodes, 20, 20)
 
 
 @query(f"WITH {PARTS} SELECT src, dst, 'reverse' AS pool FROM rv UNION ALL SELECT src, dst, 'hard' FROM hd UNION ALL SELECT src, dst, 'label_file_random' FROM fr UNION ALL SELECT src, dst, 'val_random' FROM vr UNION ALL SELECT src, dst, 'test_random' FROM tr")
@@ -327,7 +327,7 @@ def split_violations(spark, d):
 SELECT src, dst, similarity FROM sm WHERE src IN (SELECT node FROM tn) AND dst IN (SELECT node FROM tn) AND NOT EXISTS (SELECT 1 FROM gd WHERE gd.src = sm.src AND gd.dst = sm.dst) ORDER BY similarity DESC, src, dst LIMIT 200""")
 def hard_negatives(spark, d):
     gold = labels.edges(table(spark, d, "train_labels_initial"))
-    return labels.hard_negatives(gold, gold, gold.limit(0), labels.name_similarity(_label_nodes(spark, d)), 200)
+    return labels.hard_negatives(gold, gold, gold.limit(0), _label_nodes(spark, d), 200)
 
 
 @query(f"""WITH {LABEL_NODES}, {GOLD_SPLIT}, {SIMILAR} SELECT g.src, g.dst, coalesce(similarity, 0) AS similarity FROM gd g LEFT JOIN sm ON sm.src = g.src AND sm.dst = g.dst""")
