@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.keys import clean_field, plain_key, plural_key
 from graphloom.operators import graphq
+from graphloom.session import cut
 
 KEY = ["concept", "plan"]
 
@@ -269,21 +270,33 @@ def revised(answered: DataFrame, made: DataFrame, review: DataFrame, pool: DataF
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("p.tier", "p.prio", "p.rank", "option"))).filter(F.col("rank") <= k).select(*KEY, "option", F.col("p.source").alias("source"), "rank")
 
 
+#: Fixed value: bits that tell most runs of words that are no term; more terms only let more runs through.
+RUN_BITS = 1 << 22
+
+
 def mentions(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, id) of the texts (id, text) that have a term as whole words.
 
-    A text's runs of as many words as terms have meet the terms by equality; the bounded phrase is then looked for.
+    Digests of a text's runs of as many words as terms have meet those of the terms by equality; the bounded phrase is
+    then looked for. Runs whose bit no term sets are left out before they are moved.
     """
-    t = terms.select("term", plain_key(F.col("term")).alias("k")).filter("k <> ''").distinct().withColumn("w", F.size(F.split("k", " ")))
+    spark = terms.sparkSession
+    t = cut(terms.select("term", plain_key(F.col("term")).alias("k")).filter("k <> ''").distinct().select("term", F.size(F.split("k", " ")).alias("w"), F.xxhash64("k").alias("h")))
     sizes = sorted(r[0] for r in t.select("w").distinct().collect())  # word counts of names
     if not sizes:
         return terms.select("term").join(texts.select("id"), F.lit(False))
     words = texts.select("id", clean_field(F.col("text")).alias("text"), F.split(plain_key(F.col("text")), " ").alias("ws"))
     def runs_of(w: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - w + 1, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, F.lit(w)), " "))
-
-    runs = F.array_distinct(F.flatten(F.array(*map(runs_of, sizes))))
-    met = words.select("id", F.explode(runs).alias("k")).join(t.select("term", "k"), "k").select("id", "term").distinct().join(words.select("id", "text"), "id")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - w + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(w)), " ")))
+
+    bit = F.pmod(F.col("h"), F.lit(RUN_BITS))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    place = F.floor(bit / 64)
+    bits = spark.range(RUN_BITS // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("m")).unionByName(t.select(place.alias("i"), mask.alias("m"))).groupBy("i").agg(F.bit_or("m").alias("m"))
+    known = bits.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda b: b["m"]).alias("bits"))  # one row
+    runs = words.select("id", F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, sizes))))).alias("h"))
+    kept = runs.join(F.broadcast(known), F.get("bits", place.cast("int")).bitwiseAND(mask) != 0).select("id", "h")
+    met = kept.join(t.select("h", "term"), "h").select("id", "term").distinct().join(words.select("id", "text"), "id")
     whole = F.concat(F.lit(r"(?<![a-z0-9])\Q"), clean_field(F.col("term")), F.lit(r"\E(?![a-z0-9])"))
     return met.filter(F.rlike("text", whole)).select("term", "id")
 
@@ -292,17 +305,16 @@ def course_evidence(terms: DataFrame, aliases: DataFrame, profiles: DataFrame, c
     """(term, kind, n): evidence that a term is part of a course.
 
     A term that is a name or alias (alias_key, concept) has its concept, profile (concept, profile) and contexts
-    (id, concept, evidence); any other has the profiles and contexts that mention it.
+    (id, concept, evidence); any other has the profiles and contexts that mention it, a context that came twice once.
     """
-    t = terms.select("term").distinct().withColumn("alias_key", clean_field(F.col("term"))).join(aliases.select("alias_key", "concept"), "alias_key", "left").drop("alias_key")
+    t = cut(terms.select("term").distinct().withColumn("alias_key", clean_field(F.col("term"))).join(aliases.select("alias_key", "concept"), "alias_key", "left").drop("alias_key"))
     known, other = t.filter("concept is not null"), t.filter("concept is null").select("term")
-    n = lambda d, kind: d.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", F.lit(kind).alias("kind"), "n")
-    said = profiles.select(F.col("concept").alias("id"), F.col("profile").alias("text"))
-    texts = contexts.filter("concept is not null").select("id", F.col("evidence").alias("text"))
-    return (
-        n(known, "concept").unionByName(n(known.join(profiles, "concept"), "profile")).unionByName(n(known.join(contexts, "concept"), "metadata"))
-        .unionByName(n(mentions(other, said), "profile_mention")).unionByName(n(mentions(other, texts), "metadata_mention"))
-    )
+    own = known.select("term", F.lit("concept").alias("kind")).unionByName(known.join(profiles, "concept").select("term", F.lit("profile").alias("kind"))).unionByName(known.join(contexts, "concept").select("term", F.lit("metadata").alias("kind")))
+    # both kinds of text are searched at once; the first letter of their ids tells them apart
+    text = lambda d, kind, i, x: d.select(F.concat(F.lit(kind), F.col(i)).alias("id"), F.col(x).alias("text"))
+    texts = text(profiles, "p", "concept", "profile").unionByName(text(contexts.filter("concept is not null").select("id", "evidence").distinct(), "c", "id", "evidence"))
+    said = mentions(other, texts).select("term", F.when(F.col("id").startswith("p"), "profile_mention").otherwise("metadata_mention").alias("kind"))
+    return own.unionByName(said).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Scores of the relations between a concept and a possible replacement.
@@ -325,9 +337,9 @@ def scope_candidates(answered: DataFrame, wrong: DataFrame, edges: DataFrame, co
         .unionByName(row(pre, "dst", "src", "prerequisite", 3)).unionByName(row(pre, "src", "dst", "prerequisite", 4)).unionByName(row(part, "dst", "src", "part-of", 5)).unionByName(row(part, "src", "dst", "part-of", 6))
         .unionByName(row(graphq.similar(labels, None), "src", "dst", "similarity", 7))
     ).join(asked, "name", "left_semi")
-    side = lambda c: answered.select(*KEY, F.col(c).alias("name")).join(rel, "name").select(*KEY, "option", "score", "relation", "o")
+    sides = answered.select(*KEY, F.explode(F.array_distinct(F.array("concept", "correct"))).alias("name"))
     out = answered.select(*KEY, F.explode(F.array("concept", "correct")).alias("option")).unionByName(wrong.select(*KEY, "option"))
-    best = side("concept").unionByName(side("correct")).join(out, [*KEY, "option"], "left_anti").groupBy(*KEY, "option").agg(F.max(F.struct("score", (-F.col("o")).alias("o"), "relation")).alias("b"))
+    best = sides.join(rel, "name").select(*KEY, "option", "score", "relation", "o").join(out, [*KEY, "option"], "left_anti").groupBy(*KEY, "option").agg(F.max(F.struct("score", (-F.col("o")).alias("o"), "relation")).alias("b"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("b.score"), "option"))).filter(F.col("rank") <= most)
     return ranked.join(evidenced.select(F.col("term").alias("option")).distinct(), "option", "left_semi").select(*KEY, "option", F.col("b.score").alias("score"), F.col("b.relation").alias("relation"), "rank")
 
