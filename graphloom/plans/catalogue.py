@@ -297,19 +297,22 @@ DRAW = DRAW.replace("t.src = a0 AND t.dst = b0", "t.src = q.src AND t.dst = q.ds
 PARTS = f"{LABEL_NODES}, {GOLD_SPLIT}, {SIMILAR}, {POOLS}, {DRAW.format(name='vr', seed=143, split='val', taken='t2')}, t3 AS (SELECT * FROM t2 UNION SELECT * FROM vr), {DRAW.format(name='tr', seed=244, split='test', taken='t3')}"
 
 
-def _label_nodes(spark, d):
+def _named_nodes(spark, d):
     t = table(spark, d, "train_labels_initial")
     both = t.select(F.col("source_id").alias("node"), keys.plain_key(F.col("source")).alias("name")).union(t.select("target_id", keys.plain_key(F.col("target"))))
-    return cut(both.groupBy("node").agg(F.min("name").alias("name")))
+    return both.groupBy("node").agg(F.min("name").alias("name"))
+
+
+def _label_nodes(spark, d):
+    return cut(_named_nodes(spark, d))
 
 
 def _pools(spark, d):
     t = table(spark, d, "train_labels_initial")
-    nodes = _label_nodes(spark, d)
     gold = cut(t.filter("label = 1 and source_id <> target_id").groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.min("label_id").alias("ord")))
-    splits = cut(labels.hash_split(gold).join(gold, ["src", "dst"]))
-    file_negatives = labels.edges(t, 0)
-    return splits, gold, labels.negative_pools(splits, gold, file_negatives, numbered(nodes.select("node"), "node"), nodes, 20, 20)
+    splits = labels.hash_split(gold, kept=("ord",))
+    nodes = numbered(t.select(F.col("source_id").alias("node")).union(t.select("target_id")).distinct(), "node")
+    return splits, gold, labels.negative_pools(splits, gold, labels.edges(t, 0), nodes, _named_nodes(spark, d), 20, 20)
 
 
 @query(f"WITH {PARTS} SELECT src, dst, 'reverse' AS pool FROM rv UNION ALL SELECT src, dst, 'hard' FROM hd UNION ALL SELECT src, dst, 'label_file_random' FROM fr UNION ALL SELECT src, dst, 'val_random' FROM vr UNION ALL SELECT src, dst, 'test_random' FROM tr")
